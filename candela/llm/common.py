@@ -53,10 +53,41 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def keep_rows(docs: DataFrame, kept: DataFrame, id_col: str = "doc_id", anti: bool = False) -> DataFrame:
-    """Rows of docs whose id is (or, with anti, isn't) in kept; null ids compare as equal.
+#: Ids that one row of a bitmap covers, as Spark's bitmap functions lay it out.
+BITMAP_ROW = 32_768
+#: Most bits of a bitmap: 16 MB, whatever the number of ids.
+BITMAP_BITS = 1 << 27
 
-    kept has the one column id_col and is renamed, so extra columns of docs can't clash.
+
+def split_by_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """(rows whose id surely isn't in ids, rows whose id may be), ids having the one column id_col.
+
+    Ids are hashed into a bitmap of at most 16 MB, which is broadcast, so rows
+    that can't match are told apart in the scan and need no shuffle. Null ids
+    are ids like any other.
     """
-    ids = kept.select(F.col(id_col).alias("__kept_id"))
-    return docs.join(ids, docs[id_col].eqNullSafe(ids["__kept_id"]), "left_anti" if anti else "left_semi")
+    wanted = ids.select(F.xxhash64(F.col(id_col).cast("long")).alias("__h"))
+    bits = max(BITMAP_ROW, min(BITMAP_BITS, 1 << (16 * max(1, wanted.count()) - 1).bit_length()))
+    slot = lambda h: F.pmod(h, F.lit(bits).cast("long")) + 1
+    bitmap = wanted.select(slot(F.col("__h")).alias("s")).groupBy(F.bitmap_bucket_number("s").alias("__b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("__m"))
+    at = slot(F.xxhash64(F.col(id_col).cast("long")))
+    # At most 4096 rows of 4 KB.
+    marked = docs.join(F.broadcast(bitmap), F.bitmap_bucket_number(at) == F.col("__b"), "left")
+    place = F.bitmap_bit_position(at)
+    byte = F.conv(F.hex(F.substring("__m", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+    maybe = F.coalesce(F.getbit(byte, F.pmod(place, F.lit(8)).cast("int")), F.lit(0)) == 1
+    return marked.where(~maybe).drop("__b", "__m"), marked.where(maybe).drop("__b", "__m")
+
+
+def drop_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Rows of docs whose id isn't in ids; only those whose bit is set are shuffled."""
+    sure, unsure = split_by_ids(docs, ids, id_col)
+    named = ids.select(F.col(id_col).cast("long").alias("__dropped"))
+    return sure.unionByName(unsure.join(named, unsure[id_col].cast("long").eqNullSafe(named["__dropped"]), "left_anti"))
+
+
+def only_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Rows of docs whose id is in ids; only those whose bit is set are shuffled."""
+    _, unsure = split_by_ids(docs, ids, id_col)
+    named = ids.select(F.col(id_col).cast("long").alias("__wanted"))
+    return unsure.join(named, unsure[id_col].cast("long").eqNullSafe(named["__wanted"]), "left_semi")
