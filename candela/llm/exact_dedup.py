@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from candela.llm.common import WHITE_SPACE, shuffle_width, stage_table, text_or_empty
+from candela.llm.common import WHITE_SPACE, drop_ids, only_ids, shuffle_width, split_by_ids, stage_table, table, text_or_empty
 
 #: Digests that one bucket, and so one filter and one task's group, holds on average.
 BUCKET_DIGESTS = 20_000
@@ -136,7 +136,8 @@ def build_snapshot(rows: DataFrame, buckets: int) -> tuple[DataFrame, DataFrame]
 def _same_bytes(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The pairs (__sha, __new, __old) whose two normalised texts are equal byte for byte."""
     wanted = pairs.select("__sha", F.explode(F.array("__new", "__old")).alias("__id"))
-    texts = docs.select(F.col(id_col).cast("long").alias("__id"), normalised(text_col).alias("__t"))
+    near = split_by_ids(docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("__t")), wanted, "__id")[1]
+    texts = near.select("__id", normalised("__t").alias("__t"))
     seen = wanted.join(texts, wanted["__id"].eqNullSafe(texts["__id"])).where(F.sha2("__t", 256) == F.col("__sha"))
     equal = seen.groupBy("__sha").agg((F.min("__t") == F.max("__t")).alias("__same"))
     return equal.where("__same").select("__sha")
@@ -188,27 +189,26 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns; one row of each group of equal texts."""
+    """The rows of docs that stay, with all their columns; one row of each group of equal texts.
+
+    Ids that only name rows that go are dropped without moving the other rows.
+    An id that names rows of both kinds, or repeats, is settled row by row.
+    """
     decided = stage_table(exact_dedup(docs, id_col, text_col), "decided")
+    per_id = decided.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("kept").cast("int")).alias("k"))
+    gone = stage_table(per_id.where("k < n").select(F.col("doc_id").alias(id_col), F.col("k")), "gone")
+    kept = drop_ids(docs, gone.select(id_col), id_col)
+    mixed = stage_table(gone.where("k > 0").select(id_col), "mixed")
+    if mixed.isEmpty():
+        return kept
+    rows = only_ids(docs, mixed, id_col).withColumns({"__i": F.col(id_col).cast("long"), "__sha": F.sha2(normalised(text_col), 256)})
     stays = decided.where("kept").select("doc_id", "text_sha256")
-    repeated = decided.groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").join(stays, ["doc_id", "text_sha256"], "left_semi")
-    # An id may name several texts, so the digest is part of the match.
-    marked = docs.withColumn("__sha", F.sha2(normalised(text_col), 256)).withColumn("__i", F.col(id_col).cast("long"))
-    match = lambda right: marked["__i"].eqNullSafe(right["doc_id"]) & (marked["__sha"] == right["text_sha256"])
-    kept = marked.join(stays, match(stays), "left_semi")
-    if repeated.isEmpty():
-        return kept.drop("__sha", "__i")
-    again = repeated.select(F.col("doc_id").alias("__ri"), F.col("text_sha256").alias("__rs"))
-    same = kept["__i"].eqNullSafe(again["__ri"]) & (kept["__sha"] == again["__rs"])
-    single = kept.join(again, same, "left_anti")
-    double = kept.join(again, same, "left_semi").dropDuplicates(["__i", "__sha"])
-    return single.unionByName(double).drop("__sha", "__i")
+    match = rows["__i"].eqNullSafe(stays["doc_id"]) & (rows["__sha"] == stays["text_sha256"])
+    return kept.unionByName(rows.join(stays, match, "left_semi").dropDuplicates(["__i", "__sha"]).drop("__i", "__sha"))
 
 
 def op3_exact_dedup(spark, sf_dir: str) -> DataFrame:
     """Exact dedup of all documents."""
-    from candela.llm.common import table
-
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
