@@ -10,6 +10,7 @@ from candela.llm.packing import op1_packing
 from candela.llm.quality import op10_quality
 from candela.llm.sharding import op2_feistel_shards
 from candela.llm.simhash import op7_simhash
+from candela.llm.substring import op5_shared_passages
 from candela.llm.toxicity import op6_toxicity
 
 QUERIES: dict = {
@@ -17,6 +18,7 @@ QUERIES: dict = {
     "op2_feistel_shards": op2_feistel_shards,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_license_scan": op4_license_scan,
+    "op5_shared_passages": op5_shared_passages,
     "op6_toxicity": op6_toxicity,
     "op7_simhash": op7_simhash,
     "op8_decontamination": op8_decontamination,
