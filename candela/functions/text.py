@@ -8,12 +8,13 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Legal-form words dropped from the end of an organisation's name.
 LEGAL_FORMS = ["ag", "sa", "sas", "sarl", "gmbh", "bv", "nv", "ltd", "limited", "plc", "llc", "inc", "corp", "corporation", "spa", "srl", "oy", "ab", "as", "a/s", "se"]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _fold(values: pd.Series) -> pd.Series:
     """NFKC and case folding, for the rows that have more than ASCII."""
     return values.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v).casefold())
@@ -59,7 +60,7 @@ def trigram_similarity(a: Column, b: Column) -> Column:
     return F.when(union == 0, F.lit(0.0)).otherwise(F.size(F.array_intersect(a, b)) / union)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for x, y in zip(a, b)])
 
