@@ -90,7 +90,7 @@ def loose_decimal(value: Column) -> Column:
 
 def loose_date(value: Column) -> Column:
     """an ISO date, or one in the first ten characters; else null."""
-    return F.coalesce(F.try_to_date(value, F.lit("yyyy-MM-dd")), F.try_to_date(F.substring(value, 1, 10), F.lit("yyyy-MM-dd")))
+    return F.coalesce(F.try_to_date(value, "yyyy-MM-dd"), F.try_to_date(F.substring(value, 1, 10), "yyyy-MM-dd"))
 
 
 def currency_code(value: Column) -> Column:

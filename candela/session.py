@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -18,3 +21,20 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, memory: str = "8g
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors share: the cluster's spark.checkpoint.dir.
+
+    Only where that is unset, as in local tests, is a folder of this machine chosen and set.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        folder = tempfile.mkdtemp(prefix="spark-candela-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def fresh_path(spark: SparkSession, label: str) -> str:
+    """A path in the shared folder that nothing uses yet."""
+    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
