@@ -58,10 +58,10 @@ def scalar(value: Column, *paths: str) -> Column:
     """the first text among a variant itself, its usual fields and its first element; blank is null."""
     tries = []
     for path in paths:
-        for tail in ("", ".value", ".name", ".label", ".text", ".en", "[0]", "[0].value", "[0].name"):
-            text = F.try_variant_get(value, f"${path}{tail}", "string")
-            tries.append(F.when(~text.startswith("{") & ~text.startswith("["), F.nullif(F.trim(text), F.lit(""))))
-    return F.coalesce(*tries)
+        tries += [F.try_variant_get(value, f"${path}{tail}", "string") for tail in ("", ".value", ".name", ".label", ".text", ".en", "[0]", "[0].value")]
+    # Objects and lists come back as JSON text and are passed over.
+    plain = F.filter(F.transform(F.array(*tries), lambda t: F.trim(t)), lambda t: t.rlike(r"^[^{\[]"))
+    return F.try_element_at(plain, F.lit(1))
 
 
 def strings(value: Column, path: str) -> Column:
