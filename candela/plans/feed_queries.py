@@ -5,18 +5,18 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from candela.functions.text import celex_of, instant, loose_date, loose_decimal, object_key, route_group
-from candela.operators import quality, temporal
+from candela.operators import imports, quality, temporal
 from candela.plans import views
 from candela.plans.analysis_queries import PAYLOAD
 from candela.plans.views import money, table
-from candela.session import fresh_path
-from candela.sources import feeds, registers
+from candela.session import fresh_path, staged
+from candela.sources import feeds, landing, registers
 from candela.streaming import jobs
 
 
 def _through_json(rows, schema):
-    """rows as JSON text, read back by the feed's schema."""
-    return rows.select(F.to_json(F.struct(*rows.columns)).alias("j")).select(F.from_json("j", schema).alias("r")).select("r.*")
+    """rows as JSON text, parsed back by the feed's schema and staged once for the readers' branches."""
+    return staged(rows.select(F.to_json(F.struct(*rows.columns)).alias("j")).select(F.from_json("j", schema).alias("r")).select("r.*"), "feed")
 
 
 def _tally(parsed):
@@ -28,8 +28,8 @@ def _tally(parsed):
     return e.unionByName(n).unionByName(p)
 
 
-def src_contracting(spark, sf_dir):
-    """Orders as releases; pending ones are not active."""
+def _contracting(spark, sf_dir):
+    """Orders as releases; pending ones are not active."""
     n = views.notices(spark, sf_dir).join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("notice_id"), "o_orderstatus"), "notice_id")
     buyer = F.col("buyers")[0]
     party = lambda i: F.struct(i.alias("id"), F.concat(F.lit("N "), i).alias("name"))
@@ -39,7 +39,43 @@ def src_contracting(spark, sf_dir):
         F.transform(F.concat("buyers", "winners"), party).alias("parties"),
         F.array(F.struct(F.lit("1").alias("id"), F.when(F.col("o_orderstatus") == "P", "pending").otherwise("active").alias("status"), F.col("decision_date").cast("string").alias("date"), F.struct(F.col("total_value").alias("amount"), F.lit("EUR").alias("currency")).alias("value"), F.transform("winners", party).alias("suppliers"))).alias("awards"),
     )
-    return _tally(feeds.contracting_releases(_through_json(rows, feeds.OCDS)))
+    return feeds.contracting_releases(_through_json(rows, feeds.OCDS))
+
+
+def src_contracting(spark, sf_dir):
+    """S1/P13."""
+    return _tally(_contracting(spark, sf_dir))
+
+
+def import_job(spark, sf_dir):
+    """Rows per table after importing the releases."""
+    empty = [spark.createDataFrame([], s) for s in (imports.NO_MAPPINGS, imports.NO_IDENTIFIERS)]
+    tables = imports.import_tables(_contracting(spark, sf_dir), "releases", "batch-1", *empty)
+    path = fresh_path(spark, "import")
+    imports.write_import(tables, path, "1", "none")
+    out = None
+    for name in tables:
+        own = spark.read.parquet(f"{path}/{name}").agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("part"), "rows")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def document_versions(spark, sf_dir):
+    """Documents of a source under one external id as versions, equal texts once."""
+    d = table(spark, sf_dir, "documents")
+    rows = imports.document_versions(d.select("source", (F.col("doc_id") % 100).alias("external_id"), F.sha2("text", 256).alias("content_hash"), F.substring("text", 1, 20).alias("title"), F.col("doc_id").alias("seen_at")))
+    return rows.select("source", "external_id", "content_hash", "title", "seen_at", F.col("version").cast("long").alias("version"))
+
+
+def src_envelopes(spark, sf_dir):
+    """Nations as envelopes of their customers and suppliers."""
+    c, s = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
+    e = c.select("c_nationkey", F.struct(F.concat(F.lit("c"), "c_custkey").alias("key"), F.col("c_name").alias("name"), F.lit("PUBLIC_BODY").alias("entity_type")).alias("e"))
+    e = e.unionByName(s.select(F.col("s_nationkey").alias("c_nationkey"), F.struct(F.concat(F.lit("s"), "s_suppkey").alias("key"), F.col("s_name").alias("name"), F.lit("ORGANIZATION").alias("entity_type")).alias("e")))
+    r = c.select("c_nationkey", F.struct(F.concat(F.lit("c"), "c_custkey").alias("subject"), F.concat(F.lit("s"), F.col("c_custkey") % 10).alias("object"), F.lit("AWARDED_TO").alias("relation"), money("c_acctbal").alias("amount"), F.lit("/r").alias("locator")).alias("r"))
+    left = e.groupBy("c_nationkey").agg(F.collect_list("e").alias("entities"))
+    rows = left.join(r.groupBy("c_nationkey").agg(F.collect_list("r").alias("relationships")), "c_nationkey").drop("c_nationkey")
+    return _tally(landing.normalized_envelopes(_through_json(rows, landing.ENVELOPE)))
 
 
 def _people(spark, sf_dir):
@@ -222,7 +258,7 @@ def stream_audit_seal(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        src_contracting, src_ownership_statements, src_ownership_records, src_procurement, src_lei, src_lei_parents, src_tender_rows, src_legal_relations, src_sdg, src_lobbying,
+        src_contracting, src_envelopes, import_job, document_versions, src_ownership_statements, src_ownership_records, src_procurement, src_lei, src_lei_parents, src_tender_rows, src_legal_relations, src_sdg, src_lobbying,
         src_wealth_rules, loose_values, stream_metric_rollup, stream_distinct_observations, stream_ingest, stream_versions, stream_audit_seal,
     )
 }

@@ -31,6 +31,18 @@ ORACLE_SQL = {
             ("problem", "amount is not divided between suppliers", "n", "o_orderstatus <> 'P' AND len(winners) <> 1", 0, 0),
         ],
     ),
+    "src_envelopes": _rows(
+        "e AS (SELECT c_nationkey AS n FROM customer), s AS (SELECT s_nationkey AS n FROM supplier WHERE s_nationkey IN (SELECT n FROM e))",
+        [("edge", "AWARDED_TO", "e", "true", "count(*)", 0), ("entity", "PUBLIC_BODY", "e", "true", 0, 0), ("entity", "ORGANIZATION", "s", "true", 0, 0)],
+    ),
+    "import_job": f"""
+WITH {_N}, a AS (SELECT * FROM n WHERE o_orderstatus <> 'P'), w AS (SELECT *, unnest(winners) AS winner FROM a)
+SELECT 'entities' AS part, (SELECT count(*) FROM n) + (SELECT count(*) FROM a) + (SELECT CAST(sum(len(winners)) AS BIGINT) FROM n) AS rows
+UNION ALL SELECT 'edges', (SELECT count(*) FROM a) + 2 * (SELECT count(*) FROM w) UNION ALL SELECT 'claims', (SELECT count(*) FROM a) + 2 * (SELECT count(*) FROM w)
+UNION ALL SELECT 'money_flows', count(*) FROM a WHERE len(winners) = 1 UNION ALL SELECT 'ownership', 0 UNION ALL SELECT 'quarantine', 0""",
+    "document_versions": """
+SELECT *, row_number() OVER (PARTITION BY source, external_id ORDER BY seen_at, content_hash) AS version
+FROM (SELECT source, doc_id % 100 AS external_id, sha256(text) AS content_hash, min(substr(text, 1, 20)) AS title, min(doc_id) AS seen_at FROM documents GROUP BY 1, 2, 3)""",
     "src_ownership_statements": _rows(
         f"{_OWN}, k AS (SELECT *, p % 2 = 0 AS ben FROM own WHERE p % 10 <> 0), i AS (SELECT *, unnest([true, p % 7 <> 0]) AS ok, unnest([1, 0]) AS exact FROM k)",
         [
