@@ -270,3 +270,57 @@ def test_positional_zip(spark):
     v = F.parse_json(F.lit('{"n": ["A", "A", "B"], "i": ["1"]}'))
     got = spark.range(1).select(registers.parties(registers.strings(v, ".n"), registers.strings(v, ".i"), F.array().cast("array<string>")).alias("p")).first().p
     assert [(p["name"], p["identifier"], p["country"]) for p in got] == [("A", "1", None), ("B", None, None)]
+
+
+def test_archive_lines_and_quarantine(spark, tmp_path):
+    import zipfile
+
+    from candela.sources import landing
+
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("x.json", '{"position": 1, "recordId": "r"}\n{"position": 2, "rec')
+    lines = landing.archive_lines(spark, str(tmp_path))
+    good, bad = landing.parse_lines(lines, feeds.RECORD)
+    assert [r.recordId for r in good.collect()] == ["r"] and [r.line for r in bad.collect()] == [1]
+    assert landing.landed_files(spark, str(tmp_path)).count() == 1
+
+
+def test_stored_snapshot_must_exist(spark):
+    from candela.sources import landing
+
+    rows = spark.createDataFrame([("a", 1)], "source_record_id string, v int")
+    assert landing.stored_snapshot(rows, "a").count() == 1
+    with pytest.raises(LookupError):
+        landing.stored_snapshot(rows, "b")
+
+
+def test_import_quarantines_unresolved_edges(spark):
+    from candela.operators import imports
+    from candela.sources import landing
+
+    rows = spark.createDataFrame(
+        [([("a", "A", "ORGANIZATION", "LEI", "1", None), ("b", "", "PERSON", None, None, None)], [("a", "a", "OWNS", None, None, None, None, None, None, "/1"), ("a", "b", "OWNS", None, None, None, None, None, None, "/2")], ["w"])],
+        landing.ENVELOPE,
+    )
+    tables = imports.import_tables(landing.normalized_envelopes(rows), "s", "1", spark.createDataFrame([], imports.NO_MAPPINGS), spark.createDataFrame([], imports.NO_IDENTIFIERS))
+    assert tables["entities"].count() == 1 and tables["edges"].count() == 0
+    assert sorted(r.reason for r in tables["quarantine"].collect()) == ["name_length", "self_edge", "unresolved_reference"]
+
+
+def test_export_paths_ignore_time(spark):
+    edges = spark.createDataFrame([("1", "a", "b"), ("2", "c", "b")], "edge_id string, subject_id string, object_id string")
+    requests = spark.createDataFrame([(1, "a", "c", None, None, 5)], REQUEST)
+    assert [r.nodes for r in graph.export_paths(edges, requests, 99).collect()] == [["a", "b", "c"]]
+
+
+def test_request_rules(spark):
+    rows = spark.createDataFrame([("percent_change", 1, 1), ("percent_change", 1, 2), ("sum", None, None)], "operation string, base_period int, current_period int")
+    good, bad = quality.split(rows, quality.recalculation_rules())
+    assert good.count() == 2 and bad.count() == 1
+
+
+def test_literal_claims_are_kept_once(spark):
+    from candela.operators import imports
+
+    rows = spark.createDataFrame([("s", "p", "1", "r")] * 2, "subject_id string, predicate string, literal_value string, source_record_id string")
+    assert imports.literal_claims(rows).count() == 1
