@@ -175,7 +175,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     buckets = max(shuffle_width(spark), -(-rows // BUCKET_DIGESTS))
     old = F.col("__id") < F.lit(pivot if pivot is not None else 0)
     snapshot = build_snapshot(digests.where(old), buckets)
-    classes = dedup_batch(docs, digests.where(~old | F.col("__id").isNull()), snapshot, buckets, id_col, text_col)
+    # Staged, so that both sides of the join are plain exchanges and a hot digest's rows can be split.
+    classes = stage_table(dedup_batch(docs, digests.where(~old | F.col("__id").isNull()), snapshot, buckets, id_col, text_col), "classes")
     out = digests.join(classes, "__sha").withColumn("__k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n"))))
     return out.select(
         F.col("__id").alias("doc_id"),
