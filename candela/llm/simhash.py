@@ -176,7 +176,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     linked = components(near_links(nodes.select("fp"), nodes.count()), "a", "b")
     named = linked.join(nodes, linked["node"] == nodes["fp"]).groupBy("root").agg(F.min("least").alias("component_id"))
     of_fp = linked.join(named, "root").select(F.col("node").alias("fp"), "component_id")
-    own = nodes.join(of_fp, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    # Staged, so that both sides of the join are plain exchanges and a hot fingerprint's rows can be split.
+    own = stage_table(nodes.join(of_fp, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "named")
     return rows.join(own, "fp").select("doc_id", "fp", "component_id")
 
 
