@@ -31,6 +31,8 @@ SHARES = (1.0, 0.1, 0.1)
 STARTS = (5, 6, 7)
 #: Toxic rows that must have a feature, and the least lower bound of its log odds ratio.
 LEAST_ROWS, LEAST_ODDS = 4, 1.0
+#: Features of the model: those with the largest lower bounds.
+MOST_FEATURES = 600
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -84,14 +86,13 @@ def kept_features(counts: list[Counter], toxic: np.ndarray) -> list[str]:
     for words, t in zip(counts, toxic):
         seen[int(t)].update({f for w in words for f in word_features(w)})
     n = [int((toxic == k).sum()) for k in (0, 1)]
-    out = []
-    for f, a in seen[1].items():
-        b = seen[0].get(f, 0)
-        odds = np.log((a + 0.5) / (n[1] - a + 0.5)) - np.log((b + 0.5) / (n[0] - b + 0.5))
-        error = np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
-        if a >= LEAST_ROWS and odds - 1.64 * error >= LEAST_ODDS:
-            out.append(f)
-    return sorted(out)
+    names = sorted(f for f, a in seen[1].items() if a >= LEAST_ROWS)
+    a = np.array([seen[1][f] for f in names], float)
+    b = np.array([seen[0].get(f, 0) for f in names], float)
+    odds = np.log((a + 0.5) / (n[1] - a + 0.5)) - np.log((b + 0.5) / (n[0] - b + 0.5))
+    least = odds - 1.64 * np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
+    best = np.argsort(-least, kind="stable")[:MOST_FEATURES]
+    return sorted(names[k] for k in best if least[k] >= LEAST_ODDS)
 
 
 def fit(texts: list[str], toxic: np.ndarray, steps: int = 25, ridge: float = 0.02) -> Severity:
@@ -126,6 +127,8 @@ def fit(texts: list[str], toxic: np.ndarray, steps: int = 25, ridge: float = 0.0
             bend[width + k, width + k] += curve.sum()
         move = np.linalg.solve(bend, slope)
         values = values - move * min(1.0, 5.0 / max(1e-9, np.abs(move).max()))
+        if np.abs(move).max() < 1e-3:
+            break
     model.weights = values[:width]
     model.limits = np.maximum.accumulate(values[width:])
     model.cut = best_cut(model.chances(rows)[:, 0], toxic)
@@ -148,7 +151,7 @@ def best_cut(chance: np.ndarray, toxic: np.ndarray) -> float:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = FIT_ROWS) -> Severity:
     """The model learned from at most `limit` labelled rows of either label; rows with crc32(id) mod 4 = 2 are held out."""
     marks = labels.select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int").alias("toxic"))
-    marks = marks.where("toxic is not null and id is not null").dropDuplicates(["id"])
+    marks = marks.where("toxic is not null and id is not null").groupBy("id").agg(F.max("toxic").alias("toxic"))
     marks = marks.where(F.pmod(F.crc32(F.col("id").cast("string").cast("binary")), F.lit(4)) != 2).withColumn("h", F.xxhash64("id"))
     part = [marks.where(F.col("toxic") == k).orderBy("h", "id").limit(limit).select("id", "toxic") for k in (0, 1)]
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
