@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from candela.llm.common import table, text_or_empty
+from candela.llm.common import small_batches, table, text_or_empty
 
 WINDOW = 13
 #: Words of one block of items: about twice as many states, some 250 bytes each.
@@ -211,7 +211,7 @@ SPAN = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
 def _measure(blocks: list):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b.value for b in blocks]
-        for batch in batches:
+        for batch in small_batches(batches):
             out: dict[str, list] = {k: [] for k in ("n_words", "n_hit", "n_items", "items_sha256", "spans")}
             for text in batch.column(1).to_pylist():
                 words = words_of(text)
@@ -245,7 +245,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
 def _filter(blocks: list, column: int, min_span: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b.value for b in blocks]
-        for batch in batches:
+        for batch in small_batches(batches):
             keep = []
             for text in batch.column(column).to_pylist():
                 words = words_of(text or "")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from candela.llm.common import stage_table, table, text_or_empty
+from candela.llm.common import small_batches, stage_table, table, text_or_empty
 from candela.llm.sharding import numbered
 
 CAPACITY = 2048
@@ -85,7 +85,7 @@ def cuts(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
 
 def _pieces(path: str, capacity: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             out: list[tuple] = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids = document_ids(text, path)

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from candela.llm.common import drop_ids, only_ids, stage_table, table, text_or_empty
+from candela.llm.common import drop_ids, only_ids, small_batches, stage_table, table, text_or_empty
 from candela.llm.components import components
 
 BYTES, MAX_BITS = 8, 3
@@ -51,7 +51,7 @@ def fingerprint(text: str, words_per_shingle: int = 3) -> int:
 
 def _fingerprints(words_per_shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             found = np.array([fingerprint(t, words_per_shingle) for t in batch.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from candela.llm.common import table, text_or_empty
+from candela.llm.common import small_batches, table, text_or_empty
 
 #: Most labelled rows of either label that the fit sees, those with the smallest hashes of their ids.
 FIT_ROWS = 5_000
@@ -159,7 +159,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     chosen = rows.join(F.broadcast(part[0].unionByName(part[1])), "id").select("toxic", "id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             words = [" ".join(w for w, n in sorted(text_words(t).items()) for _ in range(n)) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(words, pa.string())], ["toxic", "id", "words"])
 
@@ -176,7 +176,7 @@ def score_toxicity(docs: DataFrame, model: Severity, id_col: str = "doc_id", tex
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small_batches(batches):
             p = held.value.chances(held.value.rows(batch.column(1).to_pylist()))
             grade = pa.array((p > 0.5).sum(axis=1), pa.int32())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p.sum(axis=1)), grade, pa.array(p[:, 0])], ["doc_id", "severity", "grade", "p_toxic"])
