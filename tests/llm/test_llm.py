@@ -239,6 +239,36 @@ def test_shared_passages_finds_planted_ones(spark):
     assert all(r.first_word == 100 and r.last_word == 159 and r.other_first == 100 for r in got)
 
 
+def uncovered(texts, got):
+    """Words of runs of LEAST_WORDS that a smaller id holds too, and that no passage tells of."""
+    n, first, out = substring.LEAST_WORDS, {}, []
+    for doc in sorted(texts):
+        words = texts[doc].split()
+        told = {k for r in got if r.doc_id == doc for k in range(r.first_word, r.last_word + 1)}
+        for k in range(len(words) - n + 1):
+            if first.setdefault(tuple(words[k : k + n]), doc) != doc:
+                out += [(doc, x) for x in range(k, k + n) if x not in told]
+    return out
+
+
+def test_shared_passages_through_partial_sharers(spark):
+    texts = {}
+    for trial in range(12):
+        p = [f"p{trial}x{k}" for k in range(60)]
+        for doc in range(1, 10):
+            own = {1: p[:40], 7: p[:40], 2: p[20:], 8: p[20:], 5: p, 9: p}.get(doc, [])
+            fill = [[f"f{trial}x{doc}x{side}x{k}" for k in range(70)] for side in (0, 1)]
+            texts[trial * 10 + doc] = " ".join(fill[0] + own + fill[1])
+    got = substring.shared_passages(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert not uncovered(texts, got)
+
+
+def test_shared_passages_of_repeated_words(spark):
+    texts = {k: " ".join(["a"] * 40 * k + ["b", "c"] * 50 + [f"w{k}"] * 60) for k in range(1, 5)}
+    got = substring.shared_passages(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert not uncovered(texts, got)
+
+
 def test_shared_passages_empty(none):
     assert substring.shared_passages(none).count() == 0
 
