@@ -269,6 +269,18 @@ def test_shared_passages_of_repeated_words(spark):
     assert not uncovered(texts, got)
 
 
+def test_shared_passages_when_a_better_chain_gives_none(spark):
+    texts = {}
+    for trial in range(12):
+        w = [f"p{trial}x{k}" for k in range(55 + 20 + 45)]
+        fill = lambda tag, n: [f"{tag}{trial}x{k}" for k in range(n)]  # noqa: E731, B023
+        texts[trial * 10 + 1] = " ".join(fill("q", 70) + w[:55] + fill("r", 70))
+        texts[trial * 10 + 2] = " ".join(fill("s", 70) + w[:49] + fill("t", 26) + w[75:] + fill("u", 70))
+        texts[trial * 10 + 3] = " ".join(fill("v", 70) + w + fill("x", 70))
+    got = substring.shared_passages(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert not uncovered(texts, got)
+
+
 def test_shared_passages_empty(none):
     assert substring.shared_passages(none).count() == 0
 
