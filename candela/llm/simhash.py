@@ -21,6 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from candela.llm.common import drop_ids, only_ids, small_batches, stage_table, table, text_or_empty
 from candela.llm.components import components
@@ -171,29 +172,53 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     any other; repeated rows give one row each; a null id is reachable but is
     named only where a component has no other id.
     """
+    return rooted_components(docs, id_col, text_col, words_per_shingle).drop("root")
+
+
+def rooted_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_per_shingle: int = 3) -> DataFrame:
+    """simhash_components with each component's root, a fingerprint, as ids that are null or repeat name several components."""
     rows = stage_table(fingerprints(docs, id_col, text_col, words_per_shingle), "fingerprints")
     nodes = stage_table(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     linked = components(near_links(nodes.select("fp"), nodes.count()), "a", "b")
     named = linked.join(nodes, linked["node"] == nodes["fp"]).groupBy("root").agg(F.min("least").alias("component_id"))
-    of_fp = linked.join(named, "root").select(F.col("node").alias("fp"), "component_id")
+    of_fp = linked.join(named, "root").select(F.col("node").alias("fp"), "component_id", "root")
     # Staged, so that both sides of the join are plain exchanges and a hot fingerprint's rows can be split.
-    own = stage_table(nodes.join(of_fp, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")), "named")
-    return rows.join(own, "fp").select("doc_id", "fp", "component_id")
+    own = stage_table(nodes.join(of_fp, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), F.coalesce("root", "fp").alias("root")), "named")
+    return rows.join(own, "fp").select("doc_id", "fp", "component_id", "root")
+
+
+def with_fingerprints(docs: DataFrame, text_col: str = "text", words_per_shingle: int = 3) -> DataFrame:
+    """docs with all their columns and __fp."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches):
+            found = np.array([fingerprint(t or "", words_per_shingle) for t in batch.column(at).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found.view(np.int64))], [*batch.schema.names, "__fp"])
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("__fp", LongType())]))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns: one document of each component.
+    """The rows of docs that stay, with all their columns: one row of each component.
 
-    Of rows that repeat the id that stays, one stays; where a component has
-    null ids only, one of those rows stays.
+    Ids that name one row are settled by id, without moving the other rows. An
+    id that repeats, or null ids, can name rows of several components and are
+    settled row by row, by their fingerprints.
     """
-    found = stage_table(simhash_components(docs, id_col, text_col), "components")
-    goes = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(id_col)).distinct()
-    kept = drop_ids(docs, stage_table(goes, "near"), id_col)
+    found = stage_table(rooted_components(docs, id_col, text_col), "components")
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id"))
     again = stage_table(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("doc_id").alias(id_col)), "again")
+    goes = found.where(~stays).select(F.col("doc_id").alias(id_col)).unionByName(again).distinct()
+    kept = drop_ids(docs, stage_table(goes, "near"), id_col)
     if again.isEmpty():
         return kept
-    return drop_ids(kept, again, id_col).unionByName(only_ids(kept, again, id_col).dropDuplicates([id_col]))
+    rows = with_fingerprints(only_ids(docs, again, id_col), text_col).withColumn("__i", F.col(id_col).cast("long"))
+    named = only_ids(found.where(stays), again.select(F.col(id_col).alias("doc_id")), "doc_id")
+    # Rows of the id that stays can differ in their fingerprints; the smallest is taken.
+    one = named.groupBy("root", "doc_id").agg(F.min("fp").alias("fp")).select(F.col("doc_id").alias("__kept"), "fp")
+    match = rows["__i"].eqNullSafe(one["__kept"]) & (rows["__fp"] == one["fp"])
+    return kept.unionByName(rows.join(one, match, "left_semi").dropDuplicates(["__i", "__fp"]).drop("__i", "__fp"))
 
 
 def op7_simhash(spark, sf_dir: str) -> DataFrame:

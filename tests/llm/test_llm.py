@@ -395,6 +395,13 @@ def test_near_dedup_stage(docs, none):
     assert simhash.drop_near_copies(none).count() == 0
 
 
+def test_near_dedup_stage_settles_repeated_and_null_ids_row_by_row(spark):
+    text = lambda k: " ".join(f"w{k}x{i}" for i in range(60))
+    rows = [(None, text(1)), (None, text(2)), (None, text(3)), (1, text(3)), (2, text(4)), (2, text(5)), (3, text(5)), (4, text(6)), (4, text(6)), (5, text(7)), (5, text(3)), (None, text(2)), (6, text(8))]
+    kept = simhash.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.text) for r in kept) == Counter([(None, text(1)), (None, text(2)), (1, text(3)), (2, text(4)), (2, text(5)), (4, text(6)), (5, text(7)), (6, text(8))])
+
+
 # ---- 8
 
 
