@@ -107,6 +107,17 @@ def test_plan_holds_every_piece_once(counts, groups):
     assert [x[0] for x in sorted(seen)] == list(range(sum(counts.values())))
 
 
+def test_added_tokens_in_a_text_are_the_tokenizers_librarys(spark):
+    from tokenizers import Tokenizer
+
+    path = packing.default_tokenizer()
+    texts = ["x <|endoftext|> y", "<|endoftext|>", "a<|endoftext|><|endoftext|>b <|endoftext", *(t or "" for t in TEXTS)]
+    packed = packing.pack_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), with_ids=True).collect()
+    for k, text in enumerate(texts):
+        got = [x for r in sorted((r for r in packed if r.doc_id == k), key=lambda r: r.piece) for x in r.ids]
+        assert got == [*Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids, 0]
+
+
 # ---- 2
 
 
