@@ -328,6 +328,16 @@ def test_quality_on_held_out_rows(spark):
     assert np.mean([q == p for q, p in marks]) > 0.95
 
 
+def test_compression_is_of_whole_texts():
+    rng = np.random.default_rng(5)
+    head = " ".join("".join(rng.choice(list("abcdefghijklmnop"), 6)) for _ in range(800))
+    at = quality.NAMES.index("compressed")
+    for tail in (" spam" * 40_000, " " + head[::-1]):
+        raw = (head + tail).encode()
+        assert quality.features(head + tail)[at] == pytest.approx(len(zlib.compress(raw, 1)) / len(raw), rel=1e-3)
+    assert quality.features(head + " spam" * 40_000)[at] < 0.1
+
+
 def test_quality_degenerate(spark, docs, none):
     model = quality.fit(np.zeros((0, len(quality.NAMES))), np.zeros(0, int))
     assert quality.score_quality(none, model).count() == 0
