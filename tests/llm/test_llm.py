@@ -486,28 +486,60 @@ def test_escapes_are_reversible(spark, texts):
     segments = chat.format_turns(turns)
     for r in segments.collect():
         assert r.segment.count(chat.OPEN) == 1 and r.segment.count(chat.CLOSE) == 1
-    got = chat.read_back(segments).first()
+    rows_placed = chat.placed(segments)
+    got = chat.read_back(chat.examples(rows_placed), rows_placed).first()
     assert got.turns_sha256 == hashlib.sha256("".join(f"{r}\n{t}\n" for _, _, r, t in rows).encode()).hexdigest()
     loss = "".join(t for _, k, _, t in rows if k % 2)
     assert (got.loss_chars, got.loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
 
 
+CHAT = "conv_id long, turn long, role string, text string"
+
+
 def test_examples_are_prefixes(spark):
-    rows = [(1, 0, "user", "q"), (1, 1, "assistant", "one </s>"), (1, 2, "user", None), (1, 3, "assistant", "two"), (2, 0, "user", "x"), (None, 0, "assistant", "y")]
-    segments = chat.format_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
-    got = {(r.conv_id, r.example): r for r in chat.render_examples(segments).collect()}
-    assert set(got) == {(1, 0), (1, 1), (None, 0)}
-    assert got[1, 1].text.startswith(got[1, 0].text)
-    for key, reply in (((1, 0), "one </s>"), ((1, 1), "two"), ((None, 0), "y")):
+    rows = [(1, 0, "user", "q"), (1, 1, "assistant", "one </s>"), (1, 2, "user", None), (1, 3, "assistant", "two"), (2, 0, "user", "x"), (None, 0, "assistant", "y"), (1, 3, "assistant", "two"), (1, None, "system", "s"), (1, 4, None, "")]
+    segments = chat.placed(chat.format_turns(spark.createDataFrame(rows, CHAT)))
+    own = chat.examples(segments)
+    got = {(r.conv_id, r.example): r for r in chat.render_examples(own, segments).collect()}
+    assert set(got) == {(1, 0), (1, 1), (1, 2), (None, 0)}
+    assert got[1, 1].text.startswith(got[1, 0].text) and got[1, 2].text.startswith(got[1, 1].text)
+    for key, reply in (((1, 0), "one </s>"), ((1, 1), "two"), ((1, 2), "two"), ((None, 0), "y")):
         r = got[key]
         assert chat.unescaped(r.text[r.loss_start : r.loss_start + r.loss_chars]) == reply
+        assert r.text.endswith(chat.CLOSE) and r.loss_start + r.loss_chars + len(chat.CLOSE) == len(r.text)
     total = sum(len(r.text) for r in got.values())
-    assert total == sum(r.formatted_chars for r in chat.read_back(segments).collect())
+    assert total == sum(r.formatted_chars for r in chat.read_back(own, segments).collect())
+
+
+def test_read_back_depends_on_every_example(spark):
+    rows = [(1, k, "assistant" if k % 2 else "user", f"text {k}") for k in range(6)]
+    segments = chat.placed(chat.format_turns(spark.createDataFrame(rows, CHAT)))
+    own = chat.examples(segments)
+    whole = chat.read_back(own, segments).first()
+    for k in range(3):
+        less = chat.read_back(own.where(f"example <> {k}"), segments).first()
+        assert less.loss_sha256 != whole.loss_sha256 and less.loss_chars < whole.loss_chars and less.formatted_chars < whole.formatted_chars
+    with pytest.raises(Exception, match="does not end with the turn"):
+        chat.read_back(own.withColumn("chars", own["chars"] + 1), segments).collect()
+
+
+def test_a_conversation_over_many_partitions(spark):
+    rows = [(c, k, "assistant" if (k + c) % 3 else "user", "x" * ((7 * k + c) % 40)) for c, n in ((1, 3), (2, 900), (3, 2), (4, 300)) for k in range(n)]
+    segments = chat.placed(chat.format_turns(spark.createDataFrame(rows, CHAT)))
+    own = defaultdict(list)
+    for r in sorted(segments.collect(), key=lambda r: (r.conv_id, r.turn)):
+        own[r.conv_id].append(r)
+    for parts in own.values():
+        chars = replies = 0
+        for k, r in enumerate(parts):
+            assert (r.k, r.start, r.example) == (k, chars, replies)
+            chars += len(r.segment)
+            replies += r.loss_start is not None
 
 
 def test_chat_empty(spark):
-    turns = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
-    assert chat.read_back(chat.format_turns(turns)).count() == 0
+    segments = chat.placed(chat.format_turns(spark.createDataFrame([], CHAT)))
+    assert chat.read_back(chat.examples(segments), segments).count() == 0
 
 
 # ---- the pipeline
