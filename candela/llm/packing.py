@@ -9,7 +9,10 @@ and time do not depend on the number of documents:
 2. a linear program over configurations of those few sizes is solved by column
    generation, and each configuration's count is rounded down;
 3. actual pieces, which are no longer than their rounded size, take the places;
-4. what is left, then the small pieces, longest first, go where they fit best.
+4. what rounding down has left is grouped anew, more finely as it is less, until
+   no configuration is whole;
+5. the few large pieces still left and the small ones, longest first, go where
+   they fit best.
 
 Pieces are numbered globally in order of length, and a run's place for a piece
 is an interval of those numbers, looked up by binary search in the tasks.
@@ -34,9 +37,9 @@ from candela.llm.sharding import numbered
 
 CAPACITY = 2048
 END_ID = 0
-GROUPS = 32
-#: Pieces of at most the capacity over this are small; each is tried, the fewest sequences win.
-SMALL = (2, 3, 4)
+GROUPS = 256
+#: Pieces of at most the capacity over this are small.
+SMALL = 3
 
 # ---- tokens
 
@@ -204,6 +207,26 @@ def _priced(sizes: list[int], prices: np.ndarray, capacity: int) -> tuple[float,
     return float(layers[-1][capacity]), config
 
 
+def _times(matrix: np.ndarray, vector: np.ndarray) -> np.ndarray:
+    """Their product, without the linear algebra library, whose threads may hang in a process that has forked, as Spark's driver has."""
+    return (matrix * vector).sum(axis=1)
+
+
+def _inverse(matrix: np.ndarray) -> np.ndarray:
+    """The inverse, by elimination with row exchange."""
+    n = len(matrix)
+    both = np.concatenate((matrix, np.eye(n)), axis=1)
+    for k in range(n):
+        pivot = k + int(np.abs(both[k:, k]).argmax())
+        both[[k, pivot]] = both[[pivot, k]]
+        both[k] /= both[k, k]
+        others = both[:, k].copy()
+        others[k] = 0
+        rows = np.flatnonzero(others)
+        both[rows] -= others[rows, None] * both[k]
+    return both[:, n:]
+
+
 def configurations(sizes: list[int], demand: list[int], capacity: int, rounds: int = 2000) -> list[tuple[int, list[int]]]:
     """(count, configuration) that hold at most the demand, from the linear program's optimum rounded down."""
     if not sizes:
@@ -211,15 +234,15 @@ def configurations(sizes: list[int], demand: list[int], capacity: int, rounds: i
     m = len(sizes)
     basis = [[capacity // s if j == k else 0 for j in range(m)] for k, s in enumerate(sizes)]
     inverse = np.diag([1.0 / (capacity // s) for s in sizes])
-    x = inverse @ np.array(demand, float)
+    x = _times(inverse, np.array(demand, float))
     for step in range(rounds):
-        if step % 50 == 49:
-            inverse = np.linalg.inv(np.array(basis, float).T)
-            x = np.maximum(inverse @ np.array(demand, float), 0)
+        if step % 200 == 199:
+            inverse = _inverse(np.array(basis, float).T)
+            x = np.maximum(_times(inverse, np.array(demand, float)), 0)
         worth, config = _priced(sizes, np.maximum(inverse.sum(axis=0), 0), capacity)
         if worth <= 1 + 1e-7:
             break
-        direction = inverse @ np.array(config, float)
+        direction = _times(inverse, np.array(config, float))
         limits = np.where(direction > 1e-10, x / np.where(direction > 1e-10, direction, 1), np.inf)
         out = int(limits.argmin())
         x = x - limits[out] * direction
@@ -238,21 +261,24 @@ def configurations(sizes: list[int], demand: list[int], capacity: int, rounds: i
     return chosen
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS, small: tuple[int, ...] = SMALL) -> Runs:
+def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS, small: int = SMALL) -> Runs:
     """Runs of sequences that hold every piece of these length counts once."""
-    tried = [grouped_plan(counts, capacity, groups, capacity // share) for share in small]
-    return min(tried, key=lambda runs: sum(n for n, _ in runs.all()))
-
-
-def grouped_plan(counts: dict[int, int], capacity: int, groups: int, above: int) -> Runs:
-    """The plan with pieces over `above` grouped, the others fitted in last."""
     runs = Runs(counts, capacity)
     if full := counts.get(capacity):
         runs.add(full, [runs.take(capacity, full)])
-    others = {k: v for k, v in counts.items() if k != capacity}
-    grouped = linear_groups(others, above, groups)
-    chosen = configurations([size for size, _ in grouped], [sum(n for _, n in part) for _, part in grouped], capacity)
-    parts = [[list(x) for x in part] for _, part in grouped]
+    while True:
+        grouped = linear_groups({k: n for k, n in runs.left.items() if n}, capacity // small, groups)
+        chosen = configurations([size for size, _ in grouped], [sum(n for _, n in part) for _, part in grouped], capacity)
+        if not chosen:
+            break
+        substitute(runs, chosen, [[list(x) for x in part] for _, part in grouped])
+    for length in sorted(counts, reverse=True):
+        runs.best_fit(length)
+    return runs
+
+
+def substitute(runs: Runs, chosen: list[tuple[int, list[int]]], parts: list[list[list[int]]]) -> None:
+    """Add sequences of the chosen configurations with actual pieces, [length, how many are left] for each group, longest first."""
     for n, config in chosen:
         while n:
             # As many sequences as have one length in each place.
@@ -276,9 +302,6 @@ def grouped_plan(counts: dict[int, int], capacity: int, groups: int, above: int)
             for j, _, _ in wanted:
                 while parts[j] and not parts[j][0][1]:
                     parts[j].pop(0)
-    for length in sorted(counts, reverse=True):
-        runs.best_fit(length)
-    return runs
 
 
 def intervals(runs: Runs) -> dict[str, np.ndarray]:
