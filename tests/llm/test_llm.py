@@ -308,6 +308,112 @@ def test_shared_passages_when_a_better_chain_gives_none(spark):
     assert not uncovered(texts, got)
 
 
+def stretches_by_recursion(gain, at=0):
+    """The definition: the stretch of the largest sum, then those before and after it in the same way."""
+    best, where = 0, None
+    for s in range(len(gain)):
+        total = 0
+        for e in range(s, len(gain)):
+            total += gain[e]
+            if total > best or total == best and where and e + 1 - s > where[1] - where[0]:
+                best, where = total, (s, e + 1)
+    if where is None:
+        return []
+    s, e = where
+    return [*stretches_by_recursion(gain[:s], at), (at + s, at + e), *stretches_by_recursion(gain[e:], at + e)]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from([1, -4]), max_size=60), st.integers(1, 5))
+def test_best_stretches(gain, least):
+    kept, substring.LEAST_WORDS = substring.LEAST_WORDS, least
+    try:
+        got = substring.best_stretches(np.array(gain, int))
+    finally:
+        substring.LEAST_WORDS = kept
+    total = lambda p: sum(gain[p[0] : p[1]])
+    want = [p for p in stretches_by_recursion(gain) if p[1] - p[0] >= least]
+    assert [total(p) for p in got] == [total(p) for p in want] or sum(map(total, got)) >= sum(map(total, want))
+    assert all(a[1] <= b[0] for a, b in zip(got, got[1:]))
+
+
+def test_thousands_of_passages_in_one_chain():
+    gain = np.tile(np.concatenate((np.ones(60), np.full(60, -4))), 5_000)
+    assert substring.best_stretches(gain) == [(120 * k, 120 * k + 60) for k in range(5_000)]
+
+
+def holders(texts):
+    """Documents of each run of LEAST_WORDS words."""
+    out = defaultdict(set)
+    for doc, text in texts.items():
+        words = text.split()
+        for k in range(len(words) - substring.LEAST_WORDS + 1):
+            out[tuple(words[k : k + substring.LEAST_WORDS])].add(doc)
+    return out
+
+
+def test_members_of_a_run_name_its_first_document(spark):
+    rng = np.random.default_rng(11)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), 6))
+    passages = [[word() for _ in range(int(n))] for n in rng.integers(50, 150, 12)]
+    texts = {}
+    for doc in range(60):
+        parts = [word() for _ in range(30)]
+        for k in rng.choice(12, 3, replace=False):
+            p = passages[k]
+            cut = sorted(rng.integers(0, len(p) + 1, 2)) if rng.random() < 0.5 else (0, len(p))
+            parts += p[cut[0] : cut[1]] + [word() for _ in range(int(rng.integers(1, 40)))]
+        texts[doc] = " ".join(parts)
+    got = substring.shared_passages(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    words = {d: t.split() for d, t in texts.items()}
+    classes = {}
+    for r in got:
+        assert classes.setdefault(r.doc_id, r.class_id) == r.class_id <= r.other_id < r.doc_id
+    for run, docs in holders(texts).items():
+        first = min(docs)
+        for doc in docs - {first}:
+            at = [k for k in range(len(words[doc])) if tuple(words[doc][k : k + len(run)]) == run]
+            rows = [r for r in got if r.doc_id == doc and r.other_id == first]
+            assert any(r.first_word <= k and k + len(run) - 1 <= r.last_word for r in rows for k in at), (doc, first)
+            assert first not in classes or classes[doc] == classes[first]
+
+
+@pytest.mark.parametrize(("alike", "least"), [(0.9, 0.9), (0.95, 0.95), (1.0, 1.0)])
+def test_recall_of_passages(spark, alike, least):
+    rng = np.random.default_rng(int(100 * alike))
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), 6))
+    texts, places = {}, {}
+    for group in range(60):
+        passage = [word() for _ in range(int(rng.integers(80, 240)))]
+        for member in range(int(rng.integers(2, 5))):
+            own = list(passage)
+            if member:
+                for k in rng.choice(len(own), round((1 - alike) * len(own)), replace=False):
+                    own[k] = word()
+            lead = int(rng.integers(0, 120))
+            doc = len(texts)
+            texts[doc] = " ".join([word() for _ in range(lead)] + own + [word() for _ in range(int(rng.integers(0, 120)))])
+            places[doc] = (group, member, lead, lead + len(own))
+    got = defaultdict(set)
+    for r in substring.shared_passages(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect():
+        got[r.doc_id].update(range(r.first_word, r.last_word + 1))
+        assert places[r.doc_id][0] == places[r.other_id][0]
+    # Every later member of a group is alike to a smaller id, word by word.
+    later = [doc for doc, p in places.items() if p[1]]
+    found = [len(got[d] & set(range(*places[d][2:]))) >= 0.5 * (places[d][3] - places[d][2]) for d in later]
+    assert np.mean(found) >= least, np.mean(found)
+
+
+def test_shared_passages_of_repeated_ids_and_hot_documents(spark, monkeypatch):
+    monkeypatch.setattr(substring, "REQUESTS", 2)
+    p = " ".join(f"p{k}" for k in range(60))
+    rows = [(k, f"own{k} {p} end{k}") for k in range(9)] + [(3, p), (3, "zzz"), (None, p), (None, p), (20, None)]
+    got = substring.shared_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in got} == set(range(1, 9)) and {r.class_id for r in got} == {0}
+    links = {r.doc_id: r.links for r in substring.passage_classes(spark.createDataFrame([(r.doc_id, r.other_id) for r in got], "doc_id long, other_id long")).collect()}
+    assert set(links) == set(range(9)) and min(links.values()) >= 1
+
+
 def test_shared_passages_empty(none):
     assert substring.shared_passages(none).count() == 0
 
