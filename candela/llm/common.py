@@ -21,11 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is the cluster's spark.checkpoint.dir. Only where that is unset, as in
-    local tests, is a folder of this machine chosen and set.
+    It is the cluster's spark.checkpoint.dir. Only where that is unset and all
+    tasks run on this machine, as in local tests, is a folder of it chosen and set.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="spark-candela-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -55,6 +57,17 @@ def small_batches(batches, rows: int = 1_000):
             yield batch.slice(k, rows)
 
 
+def fresh_names(df: DataFrame, *stems: str) -> list[str]:
+    """Names like these that no column of df has, in any case of letters."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in stems:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def shuffle_width(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
@@ -76,14 +89,15 @@ def split_by_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> tup
     wanted = ids.select(F.xxhash64(F.col(id_col).cast("long")).alias("__h"))
     bits = max(BITMAP_ROW, min(BITMAP_BITS, 1 << (16 * max(1, wanted.count()) - 1).bit_length()))
     slot = lambda h: F.pmod(h, F.lit(bits).cast("long")) + 1
-    bitmap = wanted.select(slot(F.col("__h")).alias("s")).groupBy(F.bitmap_bucket_number("s").alias("__b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("__m"))
+    bucket, bits_of = fresh_names(docs, "bucket", "bits")
+    bitmap = wanted.select(slot(F.col("__h")).alias("s")).groupBy(F.bitmap_bucket_number("s").alias(bucket)).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias(bits_of))
     at = slot(F.xxhash64(F.col(id_col).cast("long")))
     # At most 4096 rows of 4 KB.
-    marked = docs.join(F.broadcast(bitmap), F.bitmap_bucket_number(at) == F.col("__b"), "left")
+    marked = docs.join(F.broadcast(bitmap), F.bitmap_bucket_number(at) == F.col(bucket), "left")
     place = F.bitmap_bit_position(at)
-    byte = F.conv(F.hex(F.substring("__m", (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
+    byte = F.conv(F.hex(F.substring(bits_of, (F.floor(place / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("long")
     maybe = F.coalesce(F.getbit(byte, F.pmod(place, F.lit(8)).cast("int")), F.lit(0)) == 1
-    return marked.where(~maybe).drop("__b", "__m"), marked.where(maybe).drop("__b", "__m")
+    return marked.where(~maybe).drop(bucket, bits_of), marked.where(maybe).drop(bucket, bits_of)
 
 
 def drop_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -1,8 +1,10 @@
 """Benchmark decontamination by a generalised suffix automaton over item words.
 
-The items' words form one automaton per block of items (a block's size is
-bounded, so what is broadcast is, too; further blocks are further passes in the
-same tasks). Documents stream by in Arrow batches. Words are numbered by the
+The items' words form one automaton per block of items. Blocks are built by the
+tasks, of a bounded number of words, and staged; a pass over the documents holds
+at most PASS_BLOCKS of them, so what is sent to the tasks is bounded whatever the
+benchmark's size, and a larger benchmark takes more passes, whose hits are put
+together by row. Documents stream by in Arrow batches. Words are numbered by the
 benchmark's vocabulary, and only stretches whose neighbouring words also are
 neighbours in some item are walked through the automaton, which keeps the
 longest matching length at each word. Matches that cover a window mark words.
@@ -11,6 +13,7 @@ longest matching length at each word. Matches that cover a window mark words.
 from __future__ import annotations
 
 import hashlib
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,11 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from candela.llm.common import small_batches, table, text_or_empty
+from candela.llm.common import fresh_names, small_batches, stage_table, table, text_or_empty
 
 WINDOW = 13
 #: Words of one block of items: about twice as many states, some 250 bytes each.
-BLOCK_WORDS = 200_000
+BLOCK_WORDS = 100_000
+#: Blocks that one pass over the documents holds.
+PASS_BLOCKS = 4
 #: Documents are contaminated if hit words are at least one in this many.
 COVERAGE = 20
 
@@ -183,21 +188,63 @@ def hits_of(words: list[bytes], blocks: list[Block]) -> tuple[np.ndarray, set]:
     return hit, found
 
 
-def benchmark_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW) -> list:
-    """Broadcasts of the benchmark's blocks; items are read one partition at a time."""
-    spark = benchmark.sparkSession
-    blocks, part, size = [], [], 0
-    rows = benchmark.select(F.col(id_col).alias("i"), text_or_empty(text_col).alias("t")).orderBy("i")
-    for row in rows.toLocalIterator():
-        words = words_of(row.t)
-        part.append((row.i, words))
-        size += len(words)
-        if size >= block_words:
-            blocks.append(spark.sparkContext.broadcast(build_block(part, window)))
-            part, size = [], 0
-    if part:
-        blocks.append(spark.sparkContext.broadcast(build_block(part, window)))
-    return blocks
+def cut_item(words: list[bytes], most: int, window: int = WINDOW) -> Iterator[list[bytes]]:
+    """An item in parts of at most so many words that overlap by one less than a window, so each window is in a part."""
+    most = max(most, 2 * window)
+    for s in range(0, max(1, len(words) - window + 1), most - window + 1):
+        yield words[s : s + most]
+
+
+def _block_rows(block_words: int, window: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part: list[tuple] = []
+        size = 0
+
+        def told() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([pickle.dumps(build_block(part, window), pickle.HIGHEST_PROTOCOL)], pa.binary())], ["payload"])
+
+        for batch in small_batches(batches, 100):
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for words in cut_item(words_of(text), block_words, window):
+                    part.append((item, words))
+                    size += len(words)
+                    if size >= block_words:
+                        yield told()
+                        part, size = [], 0
+        if size:
+            yield told()
+
+    return run
+
+
+class Blocks:
+    """The benchmark's blocks, staged, and the passes that go over them."""
+
+    def __init__(self, benchmark: DataFrame, block_words: int = BLOCK_WORDS, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW, pass_blocks: int = PASS_BLOCKS):
+        rows = benchmark.select(F.col(id_col).alias("i"), text_or_empty(text_col).alias("t"))
+        size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+        # Some six bytes a word: about a block for each task.
+        dealt = rows.repartition(max(1, -(-size // (6 * block_words))))
+        built = dealt.mapInArrow(_block_rows(block_words, window), "payload binary").withColumn("block", F.monotonically_increasing_id())
+        self.staged = stage_table(built, "blocks")
+        numbers = sorted(r["block"] for r in self.staged.select("block").collect())
+        self.passes = [numbers[k : k + pass_blocks] for k in range(0, len(numbers), pass_blocks)] or [[]]
+
+    def sent(self, numbers: list[int]):
+        """A broadcast of one pass's blocks."""
+        got = self.staged.where(F.col("block").isin(numbers)).select("payload").collect() if numbers else []
+        return self.staged.sparkSession.sparkContext.broadcast([bytes(r["payload"]) for r in got])
+
+
+_LOADED: dict[int, list[Block]] = {}
+
+
+def loaded(sent) -> list[Block]:
+    """The blocks of a broadcast, unpacked once in a worker, which holds one pass's at a time."""
+    if sent.value is not _LOADED.get("of"):
+        _LOADED.clear()
+        _LOADED.update({"of": sent.value, "blocks": [pickle.loads(p) for p in sent.value]})
+    return _LOADED["blocks"]
 
 
 def _spans(hit: np.ndarray) -> list[dict]:
@@ -208,63 +255,125 @@ def _spans(hit: np.ndarray) -> list[dict]:
 SPAN = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))
 
 
-def _measure(blocks: list):
+HIT = [("n_words", pa.int64()), ("spans", SPAN), ("items", pa.list_(pa.string()))]
+HIT_SQL = "n_words long, spans array<struct<first: long, last: long>>, items array<string>"
+
+
+def _hits(sent, only_hits: bool = False):
+    """Rows (row, text) as (row, n_words, spans, items) by one pass's blocks."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b.value for b in blocks]
+        blocks = loaded(sent)
         for batch in small_batches(batches):
-            out: dict[str, list] = {k: [] for k in ("n_words", "n_hit", "n_items", "items_sha256", "spans")}
+            out: dict[str, list] = {k: [] for k, _ in HIT}
             for text in batch.column(1).to_pylist():
                 words = words_of(text)
-                hit, found = hits_of(words, held)
-                names = sorted(str(x) for x in found)
+                hit, found = hits_of(words, blocks)
                 out["n_words"].append(len(words))
-                out["n_hit"].append(int(hit.sum()))
-                out["n_items"].append(len(found))
-                out["items_sha256"].append(hashlib.sha256(",".join(names).encode()).hexdigest())
                 out["spans"].append(_spans(hit) if found else [])
-            arrays = [pa.array(out[k], pa.int64()) for k in ("n_words", "n_hit", "n_items")]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *arrays, pa.array(out["items_sha256"], pa.string()), pa.array(out["spans"], SPAN)], ["doc_id", *out])
+                out["items"].append(sorted(map(str, found)))
+            got = pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(out[k], t) for k, t in HIT)], ["row", *out])
+            yield got.filter(pa.array([bool(x) for x in out["items"]], pa.bool_())) if only_hits else got
 
     return run
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
+def joined_spans(spans: list[dict]) -> list[dict]:
+    """Spans that meet or overlap as one."""
+    out: list[dict] = []
+    for s in sorted(spans, key=lambda s: (s["first"], s["last"])):
+        if out and s["first"] <= out[-1]["last"] + 1:
+            out[-1]["last"] = max(out[-1]["last"], s["last"])
+        else:
+            out.append(dict(s))
+    return out
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in small_batches(batches):
+        spans = pa.array([joined_spans(s) for s in batch.column(2).to_pylist()], SPAN)
+        items = pa.array([sorted(set(x)) for x in batch.column(3).to_pylist()], pa.list_(pa.string()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), spans, items], batch.schema.names)
+
+
+def hits_by_row(rows: DataFrame, blocks: Blocks) -> DataFrame:
+    """(row, n_words, spans, items) of rows (row, text); with several passes, rows must be staged and row numbers differ."""
+    schema = f"row {rows.schema['row'].dataType.simpleString()}, {HIT_SQL}"
+    if len(blocks.passes) == 1:
+        return rows.mapInArrow(_hits(blocks.sent(blocks.passes[0])), schema)
+    parts = None
+    for k, numbers in enumerate(blocks.passes):
+        sent = blocks.sent(numbers)
+        got = stage_table(rows.mapInArrow(_hits(sent, only_hits=k > 0), schema), "hits")
+        sent.unpersist()
+        parts = got if parts is None else parts.unionByName(got)
+    # At most as many parts a row as there are passes.
+    put = parts.groupBy("row").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items"))
+    return put.mapInArrow(_joined, schema)
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_words: int = BLOCK_WORDS, pass_blocks: int = PASS_BLOCKS) -> DataFrame:
     """One row per document: words, hit words, items, their digest, spans of hit words and the verdict.
 
     Defined results: null texts and texts without words have no hits; equal
     items each count; an item without words never matches; an empty benchmark
     hits nothing; repeated rows are measured each.
     """
-    blocks = benchmark_blocks(benchmark, block_words)
+    blocks = Blocks(benchmark, block_words, pass_blocks=pass_blocks)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, spans array<struct<first: long, last: long>>"
-    found = rows.mapInArrow(_measure(blocks), schema)
+    if len(blocks.passes) == 1:
+        found = hits_by_row(rows.select(F.col("doc_id").alias("row"), "text"), blocks).withColumnRenamed("row", "doc_id")
+    else:
+        rows = stage_table(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
+        found = hits_by_row(rows.select("row", "text"), blocks).join(rows.select("row", "doc_id"), "row").drop("row")
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["last"] - s["first"] + 1)
+    found = found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), "spans")
     return found.withColumn("contaminated", (F.col("n_hit") > 0) & (COVERAGE * F.col("n_hit") >= F.col("n_words")))
 
 
-def _filter(blocks: list, column: int, min_span: int | None):
+def contaminated(n_words: int, spans: list[dict], min_span: int | None) -> bool:
+    """Whether these spans contaminate a text of so many words."""
+    sizes = [s["last"] - s["first"] + 1 for s in spans]
+    return bool(sizes) and (COVERAGE * sum(sizes) >= n_words or bool(min_span) and max(sizes) >= min_span)
+
+
+def _filter(sent, column: int, min_span: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b.value for b in blocks]
+        blocks = loaded(sent)
         for batch in small_batches(batches):
             keep = []
             for text in batch.column(column).to_pylist():
                 words = words_of(text or "")
-                hit, found = hits_of(words, held)
-                n = int(hit.sum())
-                longest = max((s["last"] - s["first"] + 1 for s in _spans(hit)), default=0) if found else 0
-                keep.append(not (n > 0 and COVERAGE * n >= len(words)) and not (min_span and longest >= min_span))
+                hit, found = hits_of(words, blocks)
+                keep.append(not (found and contaminated(len(words), _spans(hit), min_span)))
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", min_span: int | None = None) -> DataFrame:
-    """The rows of docs that are not contaminated, with all their columns, in one pass without a shuffle.
+def _clean_rows(min_span: int | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bad = [contaminated(n, spans, min_span) for n, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(bad, pa.bool_()))], ["row"])
+
+    return run
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", min_span: int | None = None, block_words: int = BLOCK_WORDS, pass_blocks: int = PASS_BLOCKS) -> DataFrame:
+    """The rows of docs that are not contaminated, with all their columns; where one pass is enough, without a shuffle.
 
-    min_span also drops documents with a hit span of so many words, whatever their coverage.
+    min_span also drops documents with a hit span of so many words, whatever
+    their coverage. Null and empty texts stay; repeated rows are judged each.
     """
-    text = docs.columns.index(text_col)
-    return docs.mapInArrow(_filter(benchmark_blocks(benchmark), text, min_span), docs.schema)
+    blocks = Blocks(benchmark, block_words, pass_blocks=pass_blocks)
+    if len(blocks.passes) == 1:
+        return docs.mapInArrow(_filter(blocks.sent(blocks.passes[0]), docs.columns.index(text_col), min_span), docs.schema)
+    (row,) = fresh_names(docs, "row")
+    rows = stage_table(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    found = hits_by_row(rows.select(F.col(row).alias("row"), text_or_empty(text_col).alias("text")), blocks)
+    bad = found.mapInArrow(_clean_rows(min_span), "row long").withColumnRenamed("row", row)
+    return rows.join(bad, row, "left_anti").select(*docs.columns)
 
 
 _CUT = None
@@ -290,19 +399,14 @@ def _cut_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cut, pa.string())], ["doc_id", "text"])
 
 
-def remove_spans(docs: DataFrame, benchmark: DataFrame, min_words: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text) with spans of hit words of at least min_words cut out of each text."""
-    blocks = benchmark_blocks(benchmark)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b.value for b in blocks]
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            spans = [[s for s in _spans(hits_of(words_of(t), held)[0]) if s["last"] - s["first"] + 1 >= min_words] for t in texts]
-            yield from _cut_rows(iter([pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(spans, SPAN)], ["doc_id", "text", "spans"])]))
-
+def remove_spans(docs: DataFrame, benchmark: DataFrame, min_words: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", block_words: int = BLOCK_WORDS, pass_blocks: int = PASS_BLOCKS) -> DataFrame:
+    """(doc_id, text) with spans of hit words of at least min_words cut out of each text; a null text is an empty one."""
+    blocks = Blocks(benchmark, block_words, pass_blocks=pass_blocks)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, text string")
+    rows = stage_table(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
+    long = F.filter("spans", lambda s: s["last"] - s["first"] + 1 >= min_words)
+    found = hits_by_row(rows.select("row", "text"), blocks).select("row", long.alias("spans")).where(F.size("spans") > 0)
+    return rows.join(found, "row", "left").select("doc_id", "text", "spans").mapInArrow(_cut_rows, "doc_id long, text string")
 
 
 def op8_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from candela.llm.common import WHITE_SPACE, drop_ids, only_ids, shuffle_width, split_by_ids, stage_table, table, text_or_empty
+from candela.llm.common import WHITE_SPACE, drop_ids, fresh_names, only_ids, shuffle_width, split_by_ids, stage_table, table, text_or_empty
 
 #: Digests that one bucket, and so one filter and one task's group, holds on average.
 BUCKET_DIGESTS = 20_000
@@ -144,7 +144,11 @@ def _same_bytes(docs: DataFrame, pairs: DataFrame, id_col: str, text_col: str) -
 
 
 def dedup_batch(docs: DataFrame, batch: DataFrame, snapshot: tuple[DataFrame, DataFrame], buckets: int, id_col: str, text_col: str) -> DataFrame:
-    """Classes (__sha, __keep, __rows) over the snapshot and the batch together, one row per digest."""
+    """Classes (__sha, __new, __keep, __rows) over the snapshot and the batch together, one row for each digest of either.
+
+    Where the byte check shows that two texts of one digest differ, they are
+    two classes.
+    """
     exact, filters = snapshot
     groups = stage_table(_groups(batch, buckets), "batch")
     positive = groups.groupBy("__bucket").cogroup(filters.groupBy("bucket")).applyInPandas(_screen_bucket, "__sha string")
@@ -155,10 +159,12 @@ def dedup_batch(docs: DataFrame, batch: DataFrame, snapshot: tuple[DataFrame, Da
         "pairs",
     )
     same = _same_bytes(docs, pairs, id_col, text_col).withColumn("__known", F.lit(True))
-    new = groups.join(same, "__sha", "left").where("__known is null").select("__sha", "__first", "__rows")
-    known = groups.join(same, "__sha", "left_semi").select("__sha", "__first", "__rows")
-    joined = exact.select("__sha", "__first", "__rows").unionByName(known).groupBy("__sha").agg(F.min("__first").alias("__keep"), F.sum("__rows").alias("__rows"))
-    return joined.unionByName(new.select("__sha", F.col("__first").alias("__keep"), "__rows"))
+    new = groups.join(same, "__sha", "left").where("__known is null").select("__sha", F.lit(True).alias("__new"), F.col("__first").alias("__keep"), "__rows")
+    known = groups.join(same, "__sha", "left_semi").select("__sha", "__first", "__rows", F.lit(True).alias("__new"))
+    both = exact.select("__sha", "__first", "__rows", F.lit(False).alias("__new")).unionByName(known)
+    joined = both.groupBy("__sha").agg(F.min("__first").alias("__keep"), F.sum("__rows").alias("__rows"), F.max("__new").alias("__both"))
+    sides = F.when(F.col("__both"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
+    return joined.select("__sha", F.explode(sides).alias("__new"), "__keep", "__rows").unionByName(new)
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", snapshot_share: float = 0.5) -> DataFrame:
@@ -176,8 +182,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     old = F.col("__id") < F.lit(pivot if pivot is not None else 0)
     snapshot = build_snapshot(digests.where(old), buckets)
     # Staged, so that both sides of the join are plain exchanges and a hot digest's rows can be split.
-    classes = stage_table(dedup_batch(docs, digests.where(~old | F.col("__id").isNull()), snapshot, buckets, id_col, text_col), "classes")
-    out = digests.join(classes, "__sha").withColumn("__k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n"))))
+    new = ~old | F.col("__id").isNull()
+    classes = stage_table(dedup_batch(docs, digests.where(new), snapshot, buckets, id_col, text_col), "classes")
+    out = digests.withColumn("__new", F.coalesce(new, F.lit(True))).join(classes, ["__sha", "__new"]).withColumn("__k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n"))))
     return out.select(
         F.col("__id").alias("doc_id"),
         F.col("__keep").alias("keep_id"),
@@ -202,10 +209,11 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     mixed = stage_table(gone.where("k > 0").select(id_col), "mixed")
     if mixed.isEmpty():
         return kept
-    rows = only_ids(docs, mixed, id_col).withColumns({"__i": F.col(id_col).cast("long"), "__sha": F.sha2(normalised(text_col), 256)})
+    own, sha = fresh_names(docs, "own", "sha")
+    rows = only_ids(docs, mixed, id_col).withColumns({own: F.col(id_col).cast("long"), sha: F.sha2(normalised(text_col), 256)})
     stays = decided.where("kept").select("doc_id", "text_sha256")
-    match = rows["__i"].eqNullSafe(stays["doc_id"]) & (rows["__sha"] == stays["text_sha256"])
-    return kept.unionByName(rows.join(stays, match, "left_semi").dropDuplicates(["__i", "__sha"]).drop("__i", "__sha"))
+    match = rows[own].eqNullSafe(stays["doc_id"]) & (rows[sha] == stays["text_sha256"])
+    return kept.unionByName(rows.join(stays, match, "left_semi").dropDuplicates([own, sha]).drop(own, sha))
 
 
 def op3_exact_dedup(spark, sf_dir: str) -> DataFrame:

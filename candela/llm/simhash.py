@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from candela.llm.common import drop_ids, only_ids, small_batches, stage_table, table, text_or_empty
+from candela.llm.common import drop_ids, fresh_names, only_ids, small_batches, stage_table, table, text_or_empty
 from candela.llm.components import components
 
 BYTES, MAX_BITS = 8, 3
@@ -187,16 +187,16 @@ def rooted_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return rows.join(own, "fp").select("doc_id", "fp", "component_id", "root")
 
 
-def with_fingerprints(docs: DataFrame, text_col: str = "text", words_per_shingle: int = 3) -> DataFrame:
-    """docs with all their columns and __fp."""
+def with_fingerprints(docs: DataFrame, name: str, text_col: str = "text", words_per_shingle: int = 3) -> DataFrame:
+    """docs with all their columns and their fingerprints under the given name."""
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches):
             found = np.array([fingerprint(t or "", words_per_shingle) for t in batch.column(at).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found.view(np.int64))], [*batch.schema.names, "__fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found.view(np.int64))], [*batch.schema.names, name])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("__fp", LongType())]))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, LongType())]))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -213,12 +213,13 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     kept = drop_ids(docs, stage_table(goes, "near"), id_col)
     if again.isEmpty():
         return kept
-    rows = with_fingerprints(only_ids(docs, again, id_col), text_col).withColumn("__i", F.col(id_col).cast("long"))
+    own, fp = fresh_names(docs, "own", "fp")
+    rows = with_fingerprints(only_ids(docs, again, id_col), fp, text_col).withColumn(own, F.col(id_col).cast("long"))
     named = only_ids(found.where(stays), again.select(F.col(id_col).alias("doc_id")), "doc_id")
     # Rows of the id that stays can differ in their fingerprints; the smallest is taken.
     one = named.groupBy("root", "doc_id").agg(F.min("fp").alias("fp")).select(F.col("doc_id").alias("__kept"), "fp")
-    match = rows["__i"].eqNullSafe(one["__kept"]) & (rows["__fp"] == one["fp"])
-    return kept.unionByName(rows.join(one, match, "left_semi").dropDuplicates(["__i", "__fp"]).drop("__i", "__fp"))
+    match = rows[own].eqNullSafe(one["__kept"]) & (rows[fp] == one["fp"])
+    return kept.unionByName(rows.join(one, match, "left_semi").dropDuplicates([own, fp]).drop(own, fp))
 
 
 def op7_simhash(spark, sf_dir: str) -> DataFrame:

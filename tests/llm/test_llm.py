@@ -680,6 +680,15 @@ def brute_contamination(text, items):
     return len(words), len(hit), found
 
 
+def test_parts_of_an_item_hold_all_its_windows():
+    words = [b"%d" % k for k in range(200)]
+    for n in (0, 5, 13, 14, 26, 27, 200):
+        parts = list(decontam.cut_item(words[:n], 3))
+        windows = {tuple(p[k : k + 13]) for p in parts for k in range(len(p) - 12)}
+        assert windows == {tuple(words[k : k + 13]) for k in range(n - 12)}
+        assert all(len(p) <= 26 for p in parts) and (n >= 13 or parts == [words[:n]])
+
+
 WORDS = st.lists(st.sampled_from("abcd"), max_size=40).map(" ".join)
 
 
@@ -696,8 +705,14 @@ def test_decontamination_equals_brute_force(text, items):
 def test_decontamination_in_blocks(spark, docs, none):
     bench = spark.createDataFrame([(1, "one two three four five"), (2, "word"), (3, None), (4, LONG[:400]), (5, "one two three four five")], "item_id long, text string")
     items = [(r.item_id, r.text or "") for r in bench.collect()]
-    for block_words in (3, 10_000):
-        got = {r.doc_id: r for r in decontam.find_contamination(docs, bench, block_words=block_words).collect()}
+    for block_words, pass_blocks in ((3, 1), (3, 2), (10_000, 4)):
+        got = {r.doc_id: r for r in decontam.find_contamination(docs.dropDuplicates(["doc_id"]), bench, block_words=block_words, pass_blocks=pass_blocks).collect()}
+        assert len(decontam.find_contamination(docs, bench, block_words=block_words, pass_blocks=pass_blocks).collect()) == docs.count()
+        clean = decontam.drop_contaminated(docs, bench, block_words=block_words, pass_blocks=pass_blocks)
+        assert clean.columns == docs.columns
+        assert sorted((r.doc_id, r.text or "") for r in clean.collect()) == sorted((d, t) for d, t in rows_of(docs) if not got[d].contaminated)
+        cut = {r.doc_id: r.text for r in decontam.remove_spans(docs, bench, block_words=block_words, pass_blocks=pass_blocks).collect()}
+        assert cut[10] == "one two three four five" and len(cut[12]) < len(LONG) - 300
         for doc, text in rows_of(docs):
             n_words, n_hit, found = brute_contamination(text, items)
             r = got[doc]
@@ -782,6 +797,29 @@ def test_chat_empty(spark):
     assert chat.read_back(chat.examples(segments), segments).count() == 0
 
 
+# ---- all
+
+CLASHES = "b m __b __m __i __sha __fp __row row bucket bits own sha fp __dropped __wanted doc h chain __keep __new x0 k id".split()
+
+
+def test_columns_whose_names_the_operators_use(spark, docs):
+    from pyspark.sql import functions as F
+
+    bench = spark.createDataFrame([(1, "one two three four five")], "item_id long, text string")
+    odd = docs.select("doc_id", "text", *[F.lit(c).alias(c) for c in CLASHES])
+    plain = docs.select("doc_id", "text")
+    counted = lambda df: Counter((r.doc_id, r.text) for r in df.collect())
+    for stage in (exact_dedup.drop_exact_copies, simhash.drop_near_copies, lambda d: decontam.drop_contaminated(d, bench), lambda d: decontam.drop_contaminated(d, bench, block_words=3, pass_blocks=1)):
+        got = stage(odd)
+        assert got.columns == odd.columns and counted(got) == counted(stage(plain))
+    model = quality.fit(quality.matrix(["a b", "c"]), np.array([1, 0]))
+    assert quality.drop_poor(odd, model).columns == odd.columns
+    assert packing.pack_documents(odd).count() == packing.pack_documents(plain).count()
+    assert counted(odd) == counted(plain) and sharding.shard_rows(odd).count() == docs.count()
+    assert licenses.scan_licenses(odd).count() == docs.count() and exact_dedup.exact_dedup(odd).count() == docs.count()
+    assert len(substring.shared_passages(odd).collect()) == len(substring.shared_passages(plain).collect())
+
+
 # ---- the pipeline
 
 
