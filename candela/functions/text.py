@@ -122,8 +122,8 @@ def object_key(value: Column) -> Column:
 
 
 def route_group(path: Column) -> Column:
-    """the first segments of an API path, other paths whole."""
-    return F.when(path.startswith("/api/"), F.substring_index(path, "/", 4)).otherwise(path)
+    """the first segments of an internal, versioned or public API path, other paths whole."""
+    return F.when(path.rlike("^/api/(?:internal|v1|public)/"), F.substring_index(path, "/", 4)).otherwise(path)
 
 
 def html_title(html: Column) -> Column:

@@ -8,6 +8,7 @@ from candela.functions.predicates import dimensions_match, not_restricted, overl
 from candela.functions.text import drop_legal_forms, html_title, normalize_ascii, plain_number, strict_number
 from candela.operators import audit, cases, evidence, metrics, quality, resolution, statistics, wealth
 from candela.plans.views import money, stamp, table
+from candela.session import staged
 
 # ---- statistics
 
@@ -168,7 +169,7 @@ def name_candidates(spark, sf_dir):
 
 def review_queue(spark, sf_dir):
     """ER4/F22: candidate pairs that no open entry holds."""
-    found = resolution.name_candidates(_named(spark, sf_dir))
+    found = staged(resolution.name_candidates(_named(spark, sf_dir)), "candidates")
     held = found.where("(entity_id + other_id) % 4 = 0").select(F.least(F.col("entity_id").cast("string"), F.col("other_id").cast("string")).alias("entity_a"), F.greatest(F.col("entity_id").cast("string"), F.col("other_id").cast("string")).alias("entity_b"))
     rows = resolution.review_queue(found, held.distinct())
     return rows.select("entity_a", "entity_b", F.round("score", 6).alias("score"))
@@ -321,14 +322,14 @@ def claim_review(spark, sf_dir):
     """B16/C9/G6."""
     o, line = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
     claims = o.where("o_orderkey % 13 <> 0").select(F.col("o_orderkey").alias("claim_id"), F.lit("UNVERIFIED").alias("verification_status"))
-    reviews = o.select(F.col("o_orderkey").alias("claim_id"), F.when(F.col("o_orderstatus") == "F", "HUMAN_VERIFIED").when(F.col("o_orderstatus") == "O", "MACHINE_VERIFIED").otherwise("RETRACTED").alias("new_status"))
+    reviews = o.select(F.col("o_orderkey").alias("claim_id"), F.when(F.col("o_orderstatus") == "F", "VERIFIED_PRIMARY").when(F.col("o_orderstatus") == "O", "CORROBORATED").otherwise("RETRACTED").alias("new_status"))
     return cases.review_claims(claims, reviews, line.select(F.col("l_orderkey").alias("claim_id"), (F.col("l_linenumber") == 7).alias("is_demo")))
 
 
 def validity_correction(spark, sf_dir):
     """B15."""
     o = table(spark, sf_dir, "orders")
-    edges = o.select(F.col("o_orderkey").alias("edge_id"), F.col("o_orderdate").alias("valid_from"), F.lit(None).cast("timestamp_ntz").alias("valid_to"), F.lit("HUMAN_VERIFIED").alias("verification_status"))
+    edges = o.select(F.col("o_orderkey").alias("edge_id"), F.col("o_orderdate").alias("valid_from"), F.lit(None).cast("timestamp_ntz").alias("valid_to"), F.lit("VERIFIED_PRIMARY").alias("verification_status"))
     fixes = edges.where("edge_id % 9 = 0").select("edge_id", (F.col("valid_from") - F.expr("INTERVAL 10 DAYS")).alias("valid_from"), F.col("valid_from").alias("valid_to"))
     return cases.correct_validity(edges, fixes)
 

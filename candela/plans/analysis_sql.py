@@ -155,15 +155,15 @@ SELECT * FROM (SELECT o_orderkey AS case_id, o_custkey % 7 AS creator, CASE WHEN
 WHERE coalesce(reviewer = creator, false) OR coalesce(publisher = creator OR publisher = reviewer, false)""",
     "claim_review": """
 WITH ev AS (SELECT l_orderkey, count(*) AS n, bool_or(l_linenumber = 7) AS demo FROM lineitem GROUP BY 1),
-r AS (SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'HUMAN_VERIFIED' WHEN 'O' THEN 'MACHINE_VERIFIED' ELSE 'RETRACTED' END AS s, coalesce(n, 0) AS n, coalesce(demo, false) AS demo FROM orders LEFT JOIN ev ON o_orderkey = l_orderkey),
+r AS (SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'VERIFIED_PRIMARY' WHEN 'O' THEN 'CORROBORATED' ELSE 'RETRACTED' END AS s, coalesce(n, 0) AS n, coalesce(demo, false) AS demo FROM orders LEFT JOIN ev ON o_orderkey = l_orderkey),
 o AS (SELECT *, CASE WHEN o_orderkey % 13 = 0 THEN 'UNKNOWN_CLAIM' WHEN s <> 'RETRACTED' AND n = 0 THEN 'NO_EVIDENCE' WHEN s <> 'RETRACTED' AND demo THEN 'SYNTHETIC_EVIDENCE' ELSE 'ACCEPTED' END AS outcome FROM r)
 SELECT o_orderkey AS claim_id, outcome, CASE WHEN outcome = 'ACCEPTED' THEN s WHEN outcome <> 'UNKNOWN_CLAIM' THEN 'UNVERIFIED' END AS verification_status, n AS n_evidence FROM o""",
-    "validity_correction": "SELECT o_orderkey AS edge_id, CASE WHEN o_orderkey % 9 = 0 THEN o_orderdate - INTERVAL 10 DAYS ELSE o_orderdate END AS valid_from, CASE WHEN o_orderkey % 9 = 0 THEN o_orderdate END AS valid_to, CASE WHEN o_orderkey % 9 = 0 THEN 'UNVERIFIED' ELSE 'HUMAN_VERIFIED' END AS verification_status, o_orderkey % 9 = 0 AS corrected FROM orders",
+    "validity_correction": "SELECT o_orderkey AS edge_id, CASE WHEN o_orderkey % 9 = 0 THEN o_orderdate - INTERVAL 10 DAYS ELSE o_orderdate END AS valid_from, CASE WHEN o_orderkey % 9 = 0 THEN o_orderdate END AS valid_to, CASE WHEN o_orderkey % 9 = 0 THEN 'UNVERIFIED' ELSE 'VERIFIED_PRIMARY' END AS verification_status, o_orderkey % 9 = 0 AS corrected FROM orders",
     "parser_retirement": "SELECT CASE WHEN l_returnflag = 'R' THEN 'parser/1' ELSE 'parser/2' END AS derivation_method, CASE WHEN l_returnflag = 'R' THEN 'RETRACTED' ELSE 'UNVERIFIED' END AS verification_status, l_returnflag = 'R' OR l_linestatus = 'F' AS superseded, count(*) AS rows FROM lineitem GROUP BY 1, 2, 3",
     "request_metrics": "SELECT event_type AS route, count(*) AS requests, count(*) FILTER (event_type = 'error') AS errors, CAST(sum(l) AS DECIMAL(34,6)) AS latency_sum, "
     + ", ".join(f"count(*) FILTER (l <= {b}) AS le_{k}" for k, b in enumerate(BOUNDS))
     + " FROM (SELECT event_type, CAST(CAST(value AS DECIMAL(24,6)) / 100 AS DECIMAL(24,6)) AS l FROM events) GROUP BY 1",
-    "latency_percentiles": "SELECT event_type AS route, quantile_disc(l, 0.5) AS p50, quantile_disc(l, 0.95) AS p95, quantile_disc(l, 0.99) AS p99 FROM (SELECT event_type, CAST(CAST(value AS DECIMAL(24,6)) / 100 AS DECIMAL(24,6)) AS l FROM events) GROUP BY 1",
+    "latency_percentiles": "SELECT event_type AS route, CAST((l[(n + 1) // 2] + l[n // 2 + 1]) / 2 AS DOUBLE) AS p50, l[greatest(1, CAST(floor(n * CAST(0.95 AS DOUBLE)) AS BIGINT))] AS p95, l[greatest(1, CAST(floor(n * CAST(0.99 AS DOUBLE)) AS BIGINT))] AS p99 FROM (SELECT event_type, list_sort(list(l)) AS l, len(list(l)) AS n FROM (SELECT event_type, CAST(CAST(value AS DECIMAL(24,6)) / 100 AS DECIMAL(24,6)) AS l FROM events) GROUP BY 1)",
     "reconciliation_summary": "SELECT 'active_edges' AS part, count(*) AS rows FROM orders WHERE o_orderstatus <> 'P' UNION ALL SELECT 'observations', count(*) FROM lineitem WHERE l_returnflag <> 'R' UNION ALL SELECT 'entities', count(*) FROM customer UNION ALL SELECT 'open_reviews', count(*) FROM events WHERE event_type = 'error'",
     "keyset_page": "SELECT event_id, event_type FROM events WHERE event_id > 1000 ORDER BY event_id LIMIT 50",
     "history_topk": "SELECT event_id, ts, user_id FROM events WHERE event_type = 'error' ORDER BY ts DESC, event_id LIMIT 25",

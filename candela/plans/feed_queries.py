@@ -14,6 +14,10 @@ from candela.sources import feeds, landing, registers
 from candela.streaming import jobs
 
 
+#: The tag of the export that the queries build and read.
+PROCUREMENT_TAG = "procurement-export/1"
+
+
 def _through_json(rows, schema):
     """rows as JSON text, parsed back by the feed's schema and staged once for the readers' branches."""
     return staged(rows.select(F.to_json(F.struct(*rows.columns)).alias("j")).select(F.from_json("j", schema).alias("r")).select("r.*"), "feed")
@@ -63,7 +67,7 @@ def import_job(spark, sf_dir):
 def document_versions(spark, sf_dir):
     """Documents of a source under one external id as versions, equal texts once."""
     d = table(spark, sf_dir, "documents")
-    rows = imports.document_versions(d.select("source", (F.col("doc_id") % 100).alias("external_id"), F.sha2("text", 256).alias("content_hash"), F.substring("text", 1, 20).alias("title"), F.col("doc_id").alias("seen_at")))
+    rows = imports.document_versions(d.select("source", (F.col("doc_id") % 100).alias("external_id"), F.sha2("text", 256).alias("content_hash"), F.substring_index("text", "\n", 1).alias("title"), F.col("doc_id").alias("seen_at")))
     return rows.select("source", "external_id", "content_hash", "title", "seen_at", F.col("version").cast("long").alias("version"))
 
 
@@ -117,8 +121,8 @@ def src_procurement(spark, sf_dir):
     """Orders of one supplier as mapped notices."""
     n = views.notices(spark, sf_dir).where(F.size("winners") == 1)
     side = lambda i: F.struct(F.lit("VAT").alias("scheme"), i.alias("id"), i.alias("name"))
-    rows = n.select(F.col("notice_id").cast("int").alias("position"), F.lit(feeds.PROCUREMENT_SCHEMA).alias("schema"), F.col("notice_id").alias("id"), F.when(F.col("notice_id").cast("int") % 3 == 0, "DRAFT").otherwise("AWARDED").alias("status"), F.col("decision_date").cast("string").alias("decision_date"), F.col("total_value").alias("amount"), "currency", side(F.col("buyers")[0]).alias("buyer"), side(F.col("winners")[0]).alias("supplier"))
-    return _tally(feeds.procurement_export(_through_json(rows, feeds.NOTICE)))
+    rows = n.select(F.col("notice_id").cast("int").alias("position"), F.lit(PROCUREMENT_TAG).alias("schema"), F.col("notice_id").alias("id"), F.when(F.col("notice_id").cast("int") % 3 == 0, "DRAFT").otherwise("AWARDED").alias("status"), F.col("decision_date").cast("string").alias("decision_date"), F.col("total_value").alias("amount"), "currency", side(F.col("buyers")[0]).alias("buyer"), side(F.col("winners")[0]).alias("supplier"))
+    return _tally(feeds.procurement_export(_through_json(rows, feeds.NOTICE), PROCUREMENT_TAG))
 
 
 def src_lei(spark, sf_dir):
@@ -201,7 +205,7 @@ def loose_values(spark, sf_dir):
         instant(F.date_format("o_orderdate", "yyyy-MM-dd")).cast("timestamp_ntz").alias("t"),
     )
     first = a.agg(F.count("n").alias("decimals"), F.count("d").alias("dates"), F.max("t").alias("latest"))
-    second = p.agg(F.countDistinct(route_group(F.concat(F.lit("/api/v1/"), F.substring("url", 1, 9)))).alias("routes"), F.countDistinct(object_key(F.col("url"))).alias("keys"), F.count(celex_of(F.col("url"))).alias("acts"))
+    second = p.agg(F.countDistinct(route_group(F.concat(F.lit("/api/v1/"), F.col("url")))).alias("routes"), F.countDistinct(object_key(F.col("url"))).alias("keys"), F.count(celex_of(F.col("url"))).alias("acts"))
     return first.crossJoin(second)  # one row each
 
 

@@ -42,7 +42,7 @@ UNION ALL SELECT 'edges', (SELECT count(*) FROM a) + 2 * (SELECT count(*) FROM w
 UNION ALL SELECT 'money_flows', count(*) FROM a WHERE len(winners) = 1 UNION ALL SELECT 'ownership', 0 UNION ALL SELECT 'quarantine', 0""",
     "document_versions": """
 SELECT *, row_number() OVER (PARTITION BY source, external_id ORDER BY seen_at, content_hash) AS version
-FROM (SELECT source, doc_id % 100 AS external_id, sha256(text) AS content_hash, min(substr(text, 1, 20)) AS title, min(doc_id) AS seen_at FROM documents GROUP BY 1, 2, 3)""",
+FROM (SELECT source, doc_id % 100 AS external_id, sha256(text) AS content_hash, min(split_part(text, chr(10), 1)) AS title, min(doc_id) AS seen_at FROM documents GROUP BY 1, 2, 3)""",
     "src_ownership_statements": _rows(
         f"{_OWN}, k AS (SELECT *, p % 2 = 0 AS ben FROM own WHERE p % 10 <> 0), i AS (SELECT *, unnest([true, p % 7 <> 0]) AS ok, unnest([1, 0]) AS exact FROM k)",
         [
@@ -95,7 +95,7 @@ WITH r AS (SELECT list_filter([CASE WHEN c_custkey % 9 = 0 THEN 'period' END, CA
 SELECT rule, count(*) AS rows FROM (SELECT unnest(rules) AS rule FROM r) GROUP BY 1""",
     "loose_values": """
 SELECT (SELECT count(*) FROM orders WHERE o_orderkey % 4 <> 0) AS decimals, (SELECT count(*) FROM orders WHERE o_orderkey % 5 <> 0) AS dates, (SELECT max(date_trunc('day', o_orderdate)) FROM orders) AS latest,
-  (SELECT count(DISTINCT split_part(substr(url, 1, 9), '/', 1)) FROM pages) AS routes, (SELECT count(DISTINCT substr(regexp_replace(url, '[^A-Za-z0-9._-]', '_', 'g'), 1, 180)) FROM pages) AS keys, (SELECT count(*) FROM pages WHERE contains(url, '/resource/celex/')) AS acts""",
+  (SELECT count(DISTINCT split_part(url, '/', 1)) FROM pages) AS routes, (SELECT count(DISTINCT substr(regexp_replace(url, '[^A-Za-z0-9._-]', '_', 'g'), 1, 180)) FROM pages) AS keys, (SELECT count(*) FROM pages WHERE contains(url, '/resource/celex/')) AS acts""",
     "stream_metric_rollup": "SELECT date_trunc('hour', ts) AS window_start, event_type AS route, count(*) AS requests, count(*) FILTER (event_type = 'error') AS errors, "
     + ", ".join(f"count(*) FILTER (l <= {b}) AS le_{k}" for k, b in enumerate(BOUNDS))
     + " FROM (SELECT ts, event_type, CAST(CAST(value AS DECIMAL(24,6)) / 100 AS DECIMAL(24,6)) AS l FROM events) GROUP BY 1, 2",

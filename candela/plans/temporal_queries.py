@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from candela.functions.predicates import live, verified_only
 from candela.operators import facts, graph, signals, temporal
 from candela.plans import views
+from candela.session import staged
 from candela.plans.views import table
 
 CUTOFF = "2024-01-15"
@@ -39,7 +40,7 @@ def cutoff_status(spark, sf_dir):
 
 def conflict_scan(spark, sf_dir):
     """J4/P12/B17."""
-    return signals.conflict_scan(views.roles(spark, sf_dir), views.owns(spark, sf_dir), views.awards(spark, sf_dir))
+    return signals.conflict_scan(views.roles(spark, sf_dir), views.owns(spark, sf_dir), views.awards(spark, sf_dir), CUTOFF)
 
 
 def conflict_signals(spark, sf_dir):
@@ -123,14 +124,14 @@ def _entities(spark, sf_dir):
 def entity_summary(spark, sf_dir):
     """J7/V12."""
     orders = table(spark, sf_dir, "orders").select(F.concat(F.lit("c"), F.col("o_custkey")).alias("entity_id"), F.col("o_orderpriority").alias("identifier_id"))
-    edges = views.path_edges(spark, sf_dir).select("edge_id", "subject_id", "object_id")
+    edges = views.all_edges(spark, sf_dir).select("edge_id", "subject_id", "object_id")
     return graph.entity_summary(_entities(spark, sf_dir), orders, edges)
 
 
 def verified_edges(spark, sf_dir):
     """Live edges on verified claims."""
     o = table(spark, sf_dir, "orders")
-    status = F.when(F.col("o_orderstatus") == "F", "HUMAN_VERIFIED").when(F.col("o_orderstatus") == "O", "UNVERIFIED")
+    status = F.when(F.col("o_orderstatus") == "F", "VERIFIED_PRIMARY").when(F.col("o_orderstatus") == "O", "UNVERIFIED")
     kind = F.when(F.col("o_orderkey") % 5 == 0, "HYPOTHESIS").otherwise("FACT")
     gone = F.when(F.col("o_orderkey") % 11 == 0, F.col("o_orderdate"))
     rows = o.select("o_orderkey", status.alias("status"), kind.alias("claim_type"), gone.alias("superseded_at"))
@@ -139,15 +140,15 @@ def verified_edges(spark, sf_dir):
 
 def graph_export(spark, sf_dir):
     """K5: nodes and edges by kind."""
-    edges = views.path_edges(spark, sf_dir).select("edge_id", "subject_id", "object_id", F.lit("AWARDED_TO").alias("relation"), "valid_from", "valid_to", F.col("edge_id").alias("claim_id"))
-    claims = edges.where(F.col("edge_id").endswith("0")).select("claim_id", F.lit("HUMAN_VERIFIED").alias("verification_status"))
+    edges = views.all_edges(spark, sf_dir).select("edge_id", "subject_id", "object_id", F.lit("AWARDED_TO").alias("relation"), "valid_from", "valid_to", F.col("edge_id").alias("claim_id"))
+    claims = edges.where(F.col("edge_id").endswith("0")).select("claim_id", F.lit("VERIFIED_PRIMARY").alias("verification_status"))
     nodes, rows = graph.export(_entities(spark, sf_dir), edges, claims)
     return nodes.groupBy(F.lit("node").alias("part"), F.col("entity_type").alias("kind")).agg(F.count(F.lit(1)).alias("n")).unionByName(rows.groupBy(F.lit("edge").alias("part"), F.col("status").alias("kind")).agg(F.count(F.lit(1)).alias("n")))
 
 
 def edge_provenance(spark, sf_dir):
     """PF6: canonical edges with their observations and conflicts."""
-    keyed = _keyed(spark, sf_dir)
+    keyed = staged(_keyed(spark, sf_dir), "keyed")
     edges = facts.canonical_edges(keyed).select(F.col("semantic_key").alias("edge_id"), "subject_id", "object_id")
     named = lambda c: F.concat_ws("/", "semantic_key", c)  # noqa: E731  observations are numbered within their key
     own = keyed.select(named("observation_id").alias("observation_id"), F.col("semantic_key").alias("edge_id"), "source_record_id")
@@ -158,12 +159,13 @@ def edge_provenance(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (asof_snapshot, asof_many_cutoffs, snapshot_diff, cutoff_status, conflict_scan, conflict_signals, canonical_edges, numeric_mismatch, edge_support, fact_claims, money_flows, ownership_rows, award_rows, tender_builder, temporal_paths, paths_batch, entity_summary, verified_edges, graph_export, edge_provenance)}
 
 _SNAP = f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY committed_at DESC, version_id DESC) AS rn FROM ({views.LOG}) WHERE committed_at <= TIMESTAMP '@') WHERE rn = 1 AND operation <> 'DELETE')"
-_SCAN = """
+_SCAN = f"""
 SELECT r.person_id, r.body_id, o.company_id, a.award_id, a.decision_date, true AS temporal_uncertainty,
-  sha256('=' || r.person_id || '|=' || r.body_id || '|=' || o.company_id || '|=' || a.award_id) AS fingerprint
-FROM (SELECT a.c_custkey AS person_id, b.c_custkey AS body_id, DATE '1992-01-01' + CAST(a.c_custkey % 2000 AS INTEGER) AS since FROM customer a JOIN customer b ON a.c_nationkey = b.c_nationkey AND a.c_custkey % 5 = b.c_custkey % 5 AND a.c_custkey <> b.c_custkey) r
-JOIN (SELECT c_custkey AS person_id, c_custkey % (SELECT count(*) FROM supplier) AS company_id FROM customer) o USING (person_id)
-JOIN (SELECT DISTINCT o_orderkey AS award_id, o_custkey AS body_id, l_suppkey AS company_id, CAST(o_orderdate AS DATE) AS decision_date FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus <> 'P') a
+  sha256('={CUTOFF}|=r-' || r.person_id || '-' || r.body_id || '|=o-' || r.person_id || '|=a-' || a.award_id || '-' || o.company_id || '|=' || a.award_id) AS fingerprint
+FROM (SELECT a.c_custkey AS person_id, b.c_custkey AS body_id, DATE '1992-01-01' + CAST(a.c_custkey % 2000 AS INTEGER) AS since FROM customer a JOIN customer b ON b.c_custkey > a.c_custkey AND b.c_custkey <= a.c_custkey + 10
+  WHERE b.c_custkey % 17 <> 0 AND a.c_custkey % 29 <> 0 AND a.c_custkey % 23 <> 0) r
+JOIN (SELECT c_custkey AS person_id, c_custkey % (SELECT count(*) FROM supplier) AS company_id FROM customer WHERE c_custkey % 31 <> 0 AND c_custkey % 13 <> 0) o USING (person_id)
+JOIN (SELECT DISTINCT o_orderkey AS award_id, o_custkey AS body_id, l_suppkey AS company_id, CAST(o_orderdate AS DATE) AS decision_date FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus <> 'P' AND o_orderkey % 19 <> 0) a
   ON a.body_id = r.body_id AND a.company_id = o.company_id
 WHERE r.since <= a.decision_date
 """
@@ -218,15 +220,15 @@ SELECT relation, count(*) AS edges, count(amount) AS with_amount, CAST(sum(amoun
 SELECT r.request_id, CASE WHEN r.source_id NOT IN (SELECT id FROM known) OR r.target_id NOT IN (SELECT id FROM known) THEN 'UNKNOWN_ENTITY' WHEN count(f.found) = 0 THEN 'NO_PATH_FOUND' ELSE 'FOUND' END AS status,
   count(f.found) AS paths, CAST(min(f.hops) AS BIGINT) AS fewest_hops FROM req r LEFT JOIN first f USING (request_id) GROUP BY r.request_id, r.source_id, r.target_id""",
     "entity_summary": f"""
-WITH e AS ({views.PATH_EDGES}), ent AS (SELECT 'c' || c_custkey AS entity_id, 'PUBLIC_BODY' AS entity_type, c_name AS name FROM customer UNION ALL SELECT 's' || s_suppkey, 'ORGANIZATION', s_name FROM supplier),
+WITH e AS ({views.ALL_EDGES}), ent AS (SELECT 'c' || c_custkey AS entity_id, 'PUBLIC_BODY' AS entity_type, c_name AS name FROM customer UNION ALL SELECT 's' || s_suppkey, 'ORGANIZATION', s_name FROM supplier),
 i AS (SELECT 'c' || o_custkey AS entity_id, count(DISTINCT o_orderpriority) AS identifiers FROM orders GROUP BY 1),
 t AS (SELECT entity_id, count(DISTINCT edge_id) AS relationships FROM (SELECT a AS entity_id, edge_id FROM e UNION ALL SELECT b, edge_id FROM e) GROUP BY 1)
 SELECT entity_id, entity_type, name, coalesce(identifiers, 0) AS identifiers, coalesce(relationships, 0) AS relationships FROM ent LEFT JOIN i USING (entity_id) LEFT JOIN t USING (entity_id)""",
-    "verified_edges": "SELECT o_orderkey, 'HUMAN_VERIFIED' AS status, 'FACT' AS claim_type FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 5 <> 0 AND o_orderkey % 11 <> 0",
+    "verified_edges": "SELECT o_orderkey, 'VERIFIED_PRIMARY' AS status, 'FACT' AS claim_type FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 5 <> 0 AND o_orderkey % 11 <> 0",
     "graph_export": f"""
-WITH e AS ({views.PATH_EDGES})
+WITH e AS ({views.ALL_EDGES})
 SELECT 'node' AS part, 'PUBLIC_BODY' AS kind, count(*) AS n FROM customer UNION ALL SELECT 'node', 'ORGANIZATION', count(*) FROM supplier
-UNION ALL SELECT 'edge', CASE WHEN edge_id LIKE '%0' THEN 'HUMAN_VERIFIED' ELSE 'UNVERIFIED' END, count(*) FROM e GROUP BY 2""",
+UNION ALL SELECT 'edge', CASE WHEN edge_id LIKE '%0' THEN 'VERIFIED_PRIMARY' ELSE 'UNVERIFIED' END, count(*) FROM e GROUP BY 2""",
     "edge_provenance": f"""
 WITH {views.KEYED}, c AS (SELECT semantic_key, amount, currency, min(observation_id) AS id FROM keyed GROUP BY 1, 2, 3),
 m AS (SELECT a.semantic_key, count(*) AS conflicts FROM c a JOIN c b ON a.semantic_key = b.semantic_key AND a.id < b.id GROUP BY 1)

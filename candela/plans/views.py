@@ -77,20 +77,28 @@ SELECT CAST(o_orderkey AS VARCHAR) AS notice_id, 'c' || o_custkey AS buyer, w.wi
 """
 
 
+def _claimed(claim, retracted, superseded):
+    """A claim's columns: its id, and whether it is retracted or its edge superseded."""
+    status = F.when(retracted, "RETRACTED").otherwise("VERIFIED_PRIMARY")
+    return [claim.alias("claim_id"), status.alias("verification_status"), F.when(superseded, F.lit("2024-01-01").cast("timestamp_ntz")).alias("superseded_at")]
+
+
 def awards(spark, sf_dir) -> DataFrame:
     """Distinct (order, supplier) of orders that aren't pending."""
     line, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
     rows = line.join(orders.where("o_orderstatus <> 'P'"), F.col("l_orderkey") == F.col("o_orderkey"))
-    return rows.select(F.col("o_orderkey").alias("award_id"), F.col("o_custkey").alias("body_id"), F.col("l_suppkey").alias("company_id"), F.col("o_orderdate").cast("date").alias("decision_date")).distinct()
+    found = rows.select(F.col("o_orderkey").alias("award_id"), F.col("o_custkey").alias("body_id"), F.col("l_suppkey").alias("company_id"), F.col("o_orderdate").cast("date").alias("decision_date")).distinct()
+    return found.select("*", *_claimed(F.concat_ws("-", F.lit("a"), "award_id", "company_id"), F.col("award_id") % 19 == 0, F.lit(False)))
 
 
 def roles(spark, sf_dir) -> DataFrame:
-    """A customer has a role in the others of its nation whose key is the same modulo 5, from some day on."""
-    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    a = c.select(F.col("c_custkey").alias("person_id"), "c_nationkey", F.pmod("c_custkey", F.lit(5)).alias("m"))
-    b = c.select(F.col("c_custkey").alias("body_id"), "c_nationkey", F.pmod("c_custkey", F.lit(5)).alias("m"))
+    """A customer has a role in the ten with the next keys, from some day on."""
+    c = table(spark, sf_dir, "customer").select("c_custkey")
+    a = c.select(F.col("c_custkey").alias("person_id"), F.explode(F.sequence(F.col("c_custkey") + 1, F.col("c_custkey") + 10)).alias("body_id"))
     start = F.date_add(F.lit("1992-01-01").cast("date"), F.pmod("person_id", F.lit(2000)).cast("int")).cast("timestamp_ntz")
-    return a.join(b, ["c_nationkey", "m"]).where("person_id <> body_id").select("person_id", "body_id", start.alias("valid_from"), F.lit(None).cast("timestamp_ntz").alias("valid_to"))
+    rows = a.join(c.select(F.col("c_custkey").alias("body_id")), "body_id", "left_semi")
+    claim = _claimed(F.concat_ws("-", F.lit("r"), "person_id", "body_id"), F.col("body_id") % 17 == 0, F.col("person_id") % 29 == 0)
+    return rows.select("person_id", "body_id", start.alias("valid_from"), F.lit(None).cast("timestamp_ntz").alias("valid_to"), (F.col("person_id") % 23 == 0).alias("is_demo"), *claim)
 
 
 def owns(spark, sf_dir) -> DataFrame:
@@ -98,13 +106,22 @@ def owns(spark, sf_dir) -> DataFrame:
     n = table(spark, sf_dir, "supplier").agg(F.count(F.lit(1)).alias("n"))
     c = table(spark, sf_dir, "customer").crossJoin(F.broadcast(n))  # one row
     none = F.lit(None).cast("timestamp_ntz")
-    return c.select(F.col("c_custkey").alias("person_id"), F.pmod("c_custkey", "n").alias("company_id"), none.alias("valid_from"), none.alias("valid_to"))
+    claim = _claimed(F.concat_ws("-", F.lit("o"), F.col("c_custkey")), F.col("c_custkey") % 31 == 0, F.col("c_custkey") % 13 == 0)
+    return c.select(F.col("c_custkey").alias("person_id"), F.pmod("c_custkey", "n").alias("company_id"), none.alias("valid_from"), none.alias("valid_to"), *claim)
+
+
+def all_edges(spark, sf_dir) -> DataFrame:
+    """Edges between customer and supplier of all lines, valid for a year from the first order."""
+    return _edges_of(table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders"))
 
 
 def path_edges(spark, sf_dir) -> DataFrame:
     """Sparse edges: large returned lines between customer and supplier, valid for a year from the order."""
-    line, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
-    rows = line.where("l_quantity = 50 and l_returnflag = 'R'").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    return _edges_of(table(spark, sf_dir, "lineitem").where("l_quantity = 50 and l_returnflag = 'R'"), table(spark, sf_dir, "orders"))
+
+
+def _edges_of(line, orders) -> DataFrame:
+    rows = line.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     per = rows.groupBy("o_custkey", "l_suppkey").agg(F.min("o_orderdate").alias("valid_from"), F.count(F.lit(1)).alias("observation_count"))
     return per.select(
         F.concat_ws("-", F.col("o_custkey"), F.col("l_suppkey")).alias("edge_id"),
@@ -117,11 +134,12 @@ def path_edges(spark, sf_dir) -> DataFrame:
     )
 
 
-PATH_EDGES = """
+ALL_EDGES = """
 SELECT o_custkey || '-' || l_suppkey AS edge_id, 'c' || o_custkey AS a, 's' || l_suppkey AS b, min(o_orderdate) AS valid_from,
   min(o_orderdate) + INTERVAL 365 DAYS AS valid_to, count(*) AS n
-FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity = 50 AND l_returnflag = 'R' GROUP BY o_custkey, l_suppkey
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_custkey, l_suppkey
 """
+PATH_EDGES = ALL_EDGES.replace("GROUP BY", "WHERE l_quantity = 50 AND l_returnflag = 'R' GROUP BY")
 
 
 def path_requests(spark, sf_dir) -> DataFrame:

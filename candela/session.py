@@ -26,10 +26,12 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, memory: str = "8g
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: the cluster's spark.checkpoint.dir.
 
-    Only where that is unset, as in local tests, is a folder of this machine chosen and set.
+    Only where that is unset and all tasks run on this machine, as in local tests, is a folder of it chosen and set.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="spark-candela-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")

@@ -185,12 +185,77 @@ def test_wealth_bridge(spark):
 # ---- signals, facts, cases, audit, evidence
 
 
-def test_conflict_scan_dates(spark):
-    roles = spark.createDataFrame([(1, 10, D(2020, 1, 1), D(2020, 6, 1)), (2, 10, None, None)], "person_id int, body_id int, valid_from timestamp_ntz, valid_to timestamp_ntz")
-    owns = spark.createDataFrame([(1, 20, D(2019, 1, 1), None), (2, 20, D(2021, 1, 1), None)], "person_id int, company_id int, valid_from timestamp_ntz, valid_to timestamp_ntz")
-    awards = spark.createDataFrame([(100, 10, 20, dt.date(2020, 6, 1)), (101, 10, 20, dt.date(2020, 6, 2)), (102, 10, 20, None)], "award_id int, body_id int, company_id int, decision_date date")
-    got = {(r.person_id, r.award_id, r.temporal_uncertainty) for r in signals.conflict_scan(roles, owns, awards).collect()}
-    assert got == {(1, 100, False), (1, 102, True), (2, 102, True)}
+CLAIM = "claim_id string, verification_status string, superseded_at timestamp_ntz"
+
+
+def test_conflict_scan_dates_and_live_claims(spark):
+    ok = ("c", "UNVERIFIED", None)
+    roles = [(1, 10, D(2020, 1, 1), D(2020, 6, 1), False, *ok), (2, 10, None, None, False, "c2", "UNVERIFIED", None), (1, 10, None, None, False, "x", "RETRACTED", None), (3, 10, None, None, True, *ok), (4, 10, None, None, None, "d", None, D(2021, 1, 1))]
+    owns = [(k, 20, D(2019, 1, 1) if k == 1 else D(2021, 1, 1), None, *ok) for k in (1, 2, 3, 4)] + [(1, 20, None, None, "y", "UNVERIFIED", D(2020, 1, 1))]
+    awards = [(100, 10, 20, dt.date(2020, 6, 1), *ok), (101, 10, 20, dt.date(2020, 6, 2), *ok), (102, 10, 20, None, *ok), (103, 10, 20, None, "z", "RETRACTED", None)]
+    frames = [
+        spark.createDataFrame(roles, f"person_id int, body_id int, valid_from timestamp_ntz, valid_to timestamp_ntz, is_demo boolean, {CLAIM}"),
+        spark.createDataFrame(owns, f"person_id int, company_id int, valid_from timestamp_ntz, valid_to timestamp_ntz, {CLAIM}"),
+        spark.createDataFrame(awards, f"award_id int, body_id int, company_id int, decision_date date, {CLAIM}"),
+    ]
+    found = signals.conflict_scan(*frames, known_at="2024-01-01")
+    assert {(r.person_id, r.award_id, r.temporal_uncertainty) for r in found.collect()} == {(1, 100, False), (1, 102, True), (2, 102, True)}
+    assert 3 in {r.person_id for r in signals.conflict_scan(*frames, known_at="2024-01-01", include_demo=True).collect()}
+    # A scan at another cutoff, or on other claims, gives signals of its own.
+    later = signals.conflict_scan(*frames, known_at="2024-02-01")
+    assert signals.new_signals(later, found).count() == 3 and signals.new_signals(found, found).count() == 0
+    other = signals.conflict_scan(frames[0].withColumn("claim_id", F.concat("claim_id", F.lit("-new"))), *frames[1:], known_at="2024-01-01")
+    assert signals.new_signals(other, found).count() == 3
+
+
+def test_verified_statuses(spark):
+    rows = [("VERIFIED_PRIMARY", "FACT"), ("VERIFIED_AUTHORITATIVE", "FACT"), ("CORROBORATED", "FACT"), ("VERIFIED_PRIMARY", "HYPOTHESIS"), ("UNVERIFIED", "FACT"), (None, "FACT"), ("CORROBORATED", None)]
+    df = spark.createDataFrame(rows, "s string, c string")
+    assert df.where(predicates.verified_only(F.col("s"), F.col("c"))).count() == 3
+
+
+def test_latency_percentiles_by_place(spark):
+    import statistics as st
+
+    from candela.operators import metrics
+
+    values = {"a": [5, 1, 9, 9, 2, 7, 7, 7, 3], "b": list(range(1, 121)), "c": [4]}
+    df = spark.createDataFrame([(k, Decimal(v)) for k, vs in values.items() for v in vs], "route string, latency decimal(24,6)")
+    got = {r.route: (r.p50, r.p95, r.p99) for r in metrics.latency_percentiles(df, ["route"]).collect()}
+    for k, vs in values.items():
+        vs = sorted(vs)
+        assert got[k] == (st.median(vs), *(vs[max(0, int(len(vs) * q) - 1)] for q in (0.95, 0.99)))
+
+
+@pytest.mark.parametrize(("path", "want"), [("/api/v1/a/b/c", "/api/v1/a"), ("/api/internal/x/1", "/api/internal/x"), ("/api/public/r/2", "/api/public/r"), ("/api/other/a/b", "/api/other/a/b"), ("/health", "/health")])
+def test_route_group(spark, path, want):
+    assert one(spark, text.route_group, path) == want
+
+
+@pytest.mark.parametrize("threshold", [0.4, 0.6, 0.8, 0.9])
+def test_name_candidates_equal_brute_force(spark, threshold):
+    import random
+
+    pick = random.Random(int(threshold * 10))
+    names = ["".join(pick.choice("abc ") for _ in range(pick.randint(1, 14))).strip() or "a" for _ in range(80)] + ["ab", "a", "a", "b"]
+    rows = [(k, pick.choice(["PERSON", "ORGANIZATION"]), " ".join(n.split()), pick.choice([None, "SK", "CZ"])) for k, n in enumerate(names)]
+    df = spark.createDataFrame(rows, "entity_id long, entity_type string, normalized_name string, jurisdiction_code string")
+    grams = lambda n: {f"  {w} "[i : i + 3] for w in n.split() for i in range(len(w) + 1)}
+    want = {}
+    for a, ta, na, ja in rows:
+        own = []
+        for b, tb, nb, jb in rows:
+            score = len(grams(na) & grams(nb)) / len(grams(na) | grams(nb))
+            if a != b and ta == tb and (ja is None or jb is None or ja == jb) and score >= threshold:
+                own.append((-score, b))
+        want[a] = {b for _, b in sorted(own)}, [b for _, b in sorted(own)[:5]]
+    every, best = {}, {}
+    for r in resolution.name_candidates(df, threshold=threshold, top=None).collect():
+        every.setdefault(r.entity_id, set()).add(r.other_id)
+    for r in sorted(resolution.name_candidates(df, threshold=threshold).collect(), key=lambda r: r["rank"]):
+        best.setdefault(r.entity_id, []).append(r.other_id)
+    assert every == {a: w for a, (w, _) in want.items() if w}
+    assert best == {a: w for a, (_, w) in want.items() if w}
 
 
 def test_observations_fold_and_disagree(spark):
@@ -310,7 +375,9 @@ def test_import_quarantines_unresolved_edges(spark):
 def test_export_paths_ignore_time(spark):
     edges = spark.createDataFrame([("1", "a", "b"), ("2", "c", "b")], "edge_id string, subject_id string, object_id string")
     requests = spark.createDataFrame([(1, "a", "c", None, None, 5)], REQUEST)
-    assert [r.nodes for r in graph.export_paths(edges, requests, 99).collect()] == [["a", "b", "c"]]
+    assert [r.nodes for r in graph.export_paths(edges, requests, 8).collect()] == [["a", "b", "c"]]
+    with pytest.raises(ValueError, match="max_depth"):
+        graph.export_paths(edges, requests, 99)
 
 
 def test_request_rules(spark):
