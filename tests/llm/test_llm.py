@@ -246,6 +246,34 @@ def test_license_scan(docs):
         assert 0 <= r.score <= 1
 
 
+def test_license_templates_align_and_verify(spark):
+    """The key phrase alone, within its notice, a notice whose phrase is broken, and a scattered notice."""
+    body = licenses.BODIES["gpl"]
+    broken = body.replace("general public", "general and public")
+    scattered = " filler ".join(body.replace("gnu general public license", "gnu license").split())
+    texts = ["gnu general public license", f"x y {body} z", broken, scattered, "public license", body + " " + body]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scan_licenses(docs).collect()}
+    assert [got[k].base_labels for k in range(6)] == ["gpl", "gpl", "", "", "", "gpl"]
+    assert got[1].score == 1.0 and got[5].score == 1.0 and got[5].n_base == 2
+    templates, vocabulary = licenses.templates_of(licenses.BASE, licenses.MORE)
+    files = [t.split() for t in texts]
+    weight = [int(1000 * (np.log(7 / (sum(w in f for f in files) + 1)) + 1) + 0.5) for w in vocabulary]
+    for doc, words in enumerate(files):
+        best = 0.0
+        for t in templates:
+            names = [vocabulary[w] for w in t.phrase]
+            rarest = max(t.phrase, key=lambda w: weight[w])
+            if vocabulary[rarest] not in words:
+                continue
+            start_sums = [sum(weight[w] for place, w in t.body if 0 <= i + place < len(words) and words[i + place] == vocabulary[w]) for i in range(-40, len(words) + 40)]
+            stands = any(words[i : i + len(names)] == names for i in range(len(words)))
+            best = max(best, 0.5 * stands + 0.5 * max(start_sums) / sum(weight[w] for _, w in t.body))
+        assert abs(got[doc].score - best) < 1e-6
+    assert got[3].score < got[2].score < 0.5 < got[0].score < 1.0
+    assert got[4].score < got[0].score and got[1].first_word == 2 + body.split().index("gnu")
+
+
 def test_license_scan_empty(none):
     assert licenses.scan_licenses(none).count() == 0
 
