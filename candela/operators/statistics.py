@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from candela.functions.keys import fingerprint
+from candela.functions.predicates import dimensions_allowed
 from candela.functions.text import plain_number
 
 OPERATIONS = ["count", "distinct_geographies", "sum", "mean", "percent_change"]
@@ -20,11 +22,18 @@ def recalculate(observations: DataFrame, specs: DataFrame) -> DataFrame:
 
     observations: snapshot_id, geography, period, number (null where the text
     isn't numeric), dimension; specs: spec_id, snapshot_id, operation,
-    dimension (null for any), base_period, current_period. Specs are requests
+    dimension (null for any), base_period, current_period. Where specs have
+    them, dimension_filters and attribute_filters (maps of allowed values) go by
+    the observations' maps dimensions and attributes (P5), and aggregation, sum
+    or mean, tells what percent_change compares (else sums). Specs are requests
     and join on the snapshot; errors are statuses, never missing rows.
     """
     rows = specs.join(observations.withColumnRenamed("dimension", "own_dimension"), "snapshot_id")
     rows = rows.where(F.col("dimension").isNull() | F.col("dimension").eqNullSafe(F.col("own_dimension")))
+    for filters, own in (("dimension_filters", "dimensions"), ("attribute_filters", "attributes")):
+        if filters in specs.columns:
+            rows = rows.where(dimensions_allowed(F.col(own), F.col(filters)))
+    means = F.coalesce(F.col("aggregation") == "mean", F.lit(False)) if "aggregation" in specs.columns else F.lit(False)
     base, current = F.col("period") == F.col("base_period"), F.col("period") == F.col("current_period")
     got = rows.groupBy("spec_id").agg(
         F.count(F.lit(1)).alias("n"),
@@ -33,9 +42,14 @@ def recalculate(observations: DataFrame, specs: DataFrame) -> DataFrame:
         F.sum("number").alias("total"),
         F.sum(F.when(base, F.col("number"))).alias("base_total"),
         F.sum(F.when(current, F.col("number"))).alias("current_total"),
+        F.count(F.when(base, F.col("number"))).alias("base_n"),
+        F.count(F.when(current, F.col("number"))).alias("current_n"),
         F.count(F.when(base | current, 1)).alias("both"),
     )
     full = specs.join(got, "spec_id", "left")
+    for side in ("base", "current"):
+        total = F.col(f"{side}_total").cast("decimal(38,12)")
+        full = full.withColumn(f"{side}_total", F.when(means, exact_mean(total, F.col(f"{side}_n")).cast("decimal(38,12)")).otherwise(total))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("decimal(38,12)")
     op = F.col("operation")
     delta = (F.col("current_total") - F.col("base_total")).cast("decimal(38,12)")
@@ -54,6 +68,15 @@ def recalculate(observations: DataFrame, specs: DataFrame) -> DataFrame:
     return full.select("spec_id", "operation", status.alias("status"), F.when(status == "OK", result).alias("result"), F.coalesce(used, F.lit(0)).alias("used"))
 
 
+def run_log(specs: DataFrame, recalculated: DataFrame, engine_version: str) -> DataFrame:
+    """V2: the runs' log rows; a run's id tells spec, engine and result, so a repeated run appends nothing new."""
+    settings = [c for c in specs.columns if c not in ("spec_id", "snapshot_id", "operation")]
+    rows = specs.select("spec_id", "snapshot_id", F.to_json(F.struct(*settings)).alias("settings")).join(recalculated, "spec_id")
+    text = result_text()
+    run = fingerprint(F.col("spec_id"), F.col("settings"), F.lit(engine_version), F.col("status"), text)
+    return rows.select(run.alias("run_id"), "spec_id", "snapshot_id", "operation", "settings", F.lit(engine_version).alias("engine_version"), "status", text.alias("result"), "used")
+
+
 def verify(recalculated: DataFrame, assertions: DataFrame) -> DataFrame:
     """V3: VERIFIED within tolerance, REFUTED beyond it, INDETERMINATE where nothing could be calculated."""
     rows = assertions.join(recalculated, "spec_id", "left")

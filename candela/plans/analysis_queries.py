@@ -45,6 +45,34 @@ def recalculate_batch(spark, sf_dir):
     return _recalculated(spark, sf_dir).select("spec_id", "operation", "status", F.round(F.col("result").cast("double"), 4).alias("result"), "used")
 
 
+def _filtered(spark, sf_dir):
+    """Specs with filters on single and listed values, on a missing key and on attributes, over orders' numbers."""
+    o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    rows = o.join(c, F.col("o_custkey") == F.col("c_custkey"))
+    value = F.concat(F.when(F.col("o_orderstatus") == "P", "<").otherwise(""), money("o_totalprice").cast("decimal(24,2)").cast("string"))
+    own = lambda name: F.array(F.col(name).cast("string"))
+    observations = rows.select(
+        F.pmod("c_nationkey", F.lit(5)).alias("snapshot_id"), F.col("c_nationkey").alias("geography"), F.year("o_orderdate").cast("long").alias("period"), strict_number(value).alias("number"), F.lit(None).cast("string").alias("dimension"),
+        F.create_map(F.lit("segment"), own("c_mktsegment"), F.lit("tags"), F.array(F.col("o_orderpriority"), F.col("o_orderstatus"))).alias("dimensions"),
+        F.create_map(F.lit("nation"), own("c_nationkey")).alias("attributes"),
+    )
+    allowed = lambda **kw: F.create_map(*[x for k, v in kw.items() for x in (F.lit(k), F.array(*[F.lit(i) for i in v]))]) if kw else F.create_map().cast("map<string,array<string>>")
+    cases = [("none", {}, {}), ("segment", {"segment": ["BUILDING"]}, {}), ("tags", {"tags": ["1-URGENT", "P"]}, {}), ("both", {"segment": ["BUILDING", "MACHINERY"], "tags": ["F"]}, {"nation": ["1", "2", "3", "4", "5"]}), ("absent", {"region": ["None"]}, {}), ("unmet", {"region": ["EU"]}, {})]
+    kinds = F.array(*[F.struct(F.lit(name).alias("name"), allowed(**d).alias("dimension_filters"), allowed(**a).alias("attribute_filters")) for name, d, a in cases])
+    ops = F.array(*[F.struct(F.lit(op).alias("operation"), F.lit(how).alias("aggregation")) for op, how in (("count", "sum"), ("mean", "sum"), ("percent_change", "sum"), ("percent_change", "mean"))])
+    specs = spark.range(5).select(F.col("id").alias("snapshot_id"), F.explode(kinds).alias("f")).select("*", F.explode(ops).alias("o")).select("snapshot_id", "f.*", "o.*")
+    name = F.concat_ws("-", "snapshot_id", "operation", "aggregation", "name")
+    specs = specs.select(name.alias("spec_id"), "snapshot_id", "operation", "aggregation", "dimension_filters", "attribute_filters", F.lit(None).cast("string").alias("dimension"), F.lit(1996).cast("long").alias("base_period"), F.lit(1999).cast("long").alias("current_period"))
+    return specs, statistics.recalculate(observations, specs)
+
+
+def recalculate_filtered(spark, sf_dir):
+    """V1 with P5's lists and G5's mean, as V2's log rows."""
+    specs, got = _filtered(spark, sf_dir)
+    log = statistics.run_log(specs, got, "1")
+    return log.select("spec_id", "snapshot_id", "operation", "engine_version", "status", F.round(F.col("result").cast("double"), 4).alias("result"), "used")
+
+
 def verify_assertions(spark, sf_dir):
     """V3: three assertions per spec: right, within tolerance, and wrong."""
     got = _recalculated(spark, sf_dir)
@@ -393,7 +421,7 @@ def plain_numbers(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        recalculate_batch, verify_assertions, page_completeness, dimension_filter, wealth_bridge, row_quality, row_quarantine, unresolved_references, validity_overlap,
+        recalculate_batch, recalculate_filtered, verify_assertions, page_completeness, dimension_filter, wealth_bridge, row_quality, row_quarantine, unresolved_references, validity_overlap,
         restricted_evidence, name_normalization, name_candidates, review_queue, pair_scoring, identifier_resolution, identifier_upsert, identifier_type_clash, entity_search,
         legal_titles, evidence_manifest, evidence_missing, evidence_tampered, evidence_digest, artifact_upsert, import_idempotence, audit_chain_seal, audit_chain_check,
         case_state, public_releases, duty_violations, claim_review, validity_correction, parser_retirement, request_metrics, latency_percentiles, reconciliation_summary,

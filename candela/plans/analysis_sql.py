@@ -169,6 +169,28 @@ SELECT o_orderkey AS claim_id, outcome, CASE WHEN outcome = 'ACCEPTED' THEN s WH
     "history_topk": "SELECT event_id, ts, user_id FROM events WHERE event_type = 'error' ORDER BY ts DESC, event_id LIMIT 25",
     "import_report": "SELECT source, count(*) AS documents, count(DISTINCT sha256(text)) AS texts, max(doc_id) AS latest FROM documents GROUP BY 1",
     "recalculate_batch": f"WITH {_OBS} SELECT spec_id, operation, status, CASE WHEN status = 'OK' THEN round(value, 4) END AS result, used FROM res",
+    "recalculate_filtered": """
+WITH obs AS (
+  SELECT c_nationkey % 5 AS snapshot_id, c_nationkey, year(o_orderdate) AS period, c_mktsegment AS seg, o_orderpriority AS pri, o_orderstatus AS st,
+    CASE WHEN o_orderstatus <> 'P' THEN CAST(CAST(CAST(o_totalprice AS DECIMAL(24,6)) AS DECIMAL(24,2)) AS DECIMAL(38,12)) END AS number
+  FROM orders JOIN customer ON o_custkey = c_custkey
+), specs AS (
+  SELECT s.i AS snapshot_id, op, how, f FROM range(5) s(i), (VALUES ('count', 'sum'), ('mean', 'sum'), ('percent_change', 'sum'), ('percent_change', 'mean')) o(op, how),
+    (VALUES ('none'), ('segment'), ('tags'), ('both'), ('absent'), ('unmet')) t(f)
+), got AS (
+  SELECT specs.snapshot_id, op, how, f, count(c_nationkey) AS n, count(number) AS numeric, CAST(sum(number) AS DOUBLE) AS total, count(c_nationkey) FILTER (period IN (1996, 1999)) AS both_n,
+    CAST(sum(number) FILTER (period = 1996) AS DOUBLE) AS b, CAST(sum(number) FILTER (period = 1999) AS DOUBLE) AS c, count(number) FILTER (period = 1996) AS bn, count(number) FILTER (period = 1999) AS cn
+  FROM specs LEFT JOIN obs ON obs.snapshot_id = specs.snapshot_id AND CASE f WHEN 'segment' THEN seg = 'BUILDING' WHEN 'tags' THEN pri = '1-URGENT' OR st = 'P'
+    WHEN 'both' THEN seg IN ('BUILDING', 'MACHINERY') AND st = 'F' AND c_nationkey BETWEEN 1 AND 5 WHEN 'unmet' THEN false ELSE true END
+  GROUP BY ALL
+), r AS (
+  SELECT *, CASE WHEN op = 'mean' AND numeric = 0 OR op = 'percent_change' AND (b IS NULL OR c IS NULL) THEN 'NO_NUMERIC' ELSE 'OK' END AS status,
+    CASE WHEN how = 'mean' THEN b / bn ELSE b END AS base, CASE WHEN how = 'mean' THEN c / cn ELSE c END AS cur FROM got
+)
+SELECT snapshot_id || '-' || op || '-' || how || '-' || f AS spec_id, snapshot_id, op AS operation, '1' AS engine_version, status,
+  CASE WHEN status = 'OK' THEN round(CASE op WHEN 'count' THEN n WHEN 'mean' THEN total / numeric ELSE (cur - base) / base * 100 END, 4) END AS result,
+  CASE op WHEN 'count' THEN n WHEN 'mean' THEN numeric ELSE both_n END AS used
+FROM r""",
     "verify_assertions": f"""WITH {_OBS}
 SELECT spec_id || '/' || k AS assertion_id, spec_id, CASE WHEN status <> 'OK' THEN 'INDETERMINATE' WHEN off <= 0.5 THEN 'VERIFIED' ELSE 'REFUTED' END AS verdict, CASE WHEN status = 'OK' THEN -off END AS delta
 FROM res, (SELECT unnest([0, 1, 2]) AS k, unnest([0.0, 0.4, 2.0]) AS off)""",
