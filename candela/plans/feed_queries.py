@@ -23,13 +23,22 @@ def _through_json(rows, schema):
     return staged(rows.select(F.to_json(F.struct(*rows.columns)).alias("j")).select(F.from_json("j", schema).alias("r")).select("r.*"), "feed")
 
 
-def _tally(parsed):
-    """Edges per relation, entities per kind and problems per reason, in one table."""
-    e = parsed.edges.groupBy(F.lit("edge").alias("part"), F.col("relation").alias("kind")).agg(F.count(F.lit(1)).alias("rows"), F.count("amount").alias("with_amount"), F.count("ownership_percent").alias("with_percent"))
-    zero = [F.lit(0).cast("long").alias("with_amount"), F.lit(0).cast("long").alias("with_percent")]
-    n = parsed.entities.groupBy(F.lit("entity").alias("part"), F.col("entity_type").alias("kind")).agg(F.count(F.lit(1)).alias("rows")).select("*", *zero)
-    p = parsed.problems.groupBy(F.lit("problem").alias("part"), F.col("reason").alias("kind")).agg(F.count(F.lit(1)).alias("rows")).select("*", *zero)
-    return e.unionByName(n).unionByName(p)
+def _parsed_rows(parsed):
+    """Entities, edges and problems with all their columns in one table; times are seconds."""
+    columns = {c: F.lit(None).cast("string") for c in ("a", "b", "scheme", "identifier", "currency", "contract", "locator", "level")}
+    columns |= {"valid_from": F.lit(None).cast("long"), "valid_to": F.lit(None).cast("long"), "amount": F.lit(None).cast("double"), "percent": F.lit(None).cast("double")}
+
+    def rows(frame, part, kind, **given):
+        return frame.select(F.lit(part).alias("part"), F.col(kind).alias("kind"), *[given.get(c, none).alias(c) for c, none in columns.items()])
+
+    same = lambda *names: {c: F.col(c) for c in names}
+    second = lambda c: F.unix_seconds(F.col(c).cast("timestamp"))
+    entities = rows(parsed.entities, "entity", "entity_type", a=F.col("key"), b=F.col("name"), **same("scheme", "identifier"))
+    edges = rows(
+        parsed.edges, "edge", "relation", a=F.col("subject"), b=F.col("object"), valid_from=second("valid_from"), valid_to=second("valid_to"),
+        amount=F.col("amount").cast("double"), percent=F.col("ownership_percent").cast("double"), **same("currency", "contract", "locator"),
+    )
+    return entities.unionByName(edges).unionByName(rows(parsed.problems, "problem", "reason", **same("locator", "level")))
 
 
 def _contracting(spark, sf_dir):
@@ -48,7 +57,7 @@ def _contracting(spark, sf_dir):
 
 def src_contracting(spark, sf_dir):
     """S1/P13."""
-    return _tally(_contracting(spark, sf_dir))
+    return _parsed_rows(_contracting(spark, sf_dir))
 
 
 def import_job(spark, sf_dir):
@@ -79,7 +88,7 @@ def src_envelopes(spark, sf_dir):
     r = c.select("c_nationkey", F.struct(F.concat(F.lit("c"), "c_custkey").alias("subject"), F.concat(F.lit("s"), F.col("c_custkey") % 10).alias("object"), F.lit("AWARDED_TO").alias("relation"), money("c_acctbal").alias("amount"), F.lit("/r").alias("locator")).alias("r"))
     left = e.groupBy("c_nationkey").agg(F.collect_list("e").alias("entities"))
     rows = left.join(r.groupBy("c_nationkey").agg(F.collect_list("r").alias("relationships")), "c_nationkey").drop("c_nationkey")
-    return _tally(landing.normalized_envelopes(_through_json(rows, landing.ENVELOPE)))
+    return _parsed_rows(landing.normalized_envelopes(_through_json(rows, landing.ENVELOPE)))
 
 
 def _people(spark, sf_dir):
@@ -95,7 +104,7 @@ def src_ownership_statements(spark, sf_dir):
     interest = lambda kind, exact: F.struct(kind.alias("type"), (F.col("person_id") % 2 == 0).alias("isBeneficialOwnershipOrControl"), F.lit("2020-01-01").alias("startDate"), F.struct(exact.alias("exact")).alias("share"))
     link = c.select((F.col("person_id") * 2 + 1).cast("int").alias("position"), F.concat(F.lit("x"), "person_id").alias("statementID"), F.lit("ownershipOrControlStatement").alias("statementType"), details, F.struct(F.concat(F.lit("s"), "company_id").alias("describedByEntityStatement")).alias("subject"), F.struct(F.concat(F.lit("c"), "person_id").alias("describedByPersonStatement")).alias("interestedParty"), F.array(interest(F.lit("shareholding"), (F.col("person_id") % 100).cast("decimal(7,4)")), interest(F.when(F.col("person_id") % 7 == 0, "gift").otherwise("voting-rights"), F.lit(None).cast("decimal(7,4)"))).alias("interests"))
     parts = [_through_json(x, feeds.STATEMENT) for x in (person, entity, link)]
-    return _tally(feeds.ownership_statements(parts[0].unionByName(parts[1]).unionByName(parts[2])))
+    return _parsed_rows(feeds.ownership_statements(parts[0].unionByName(parts[1]).unionByName(parts[2])))
 
 
 def src_ownership_records(spark, sf_dir):
@@ -114,7 +123,7 @@ def src_ownership_records(spark, sf_dir):
 
     parts = [person, entity, link(1, "new", "2024-01-01").drop("person_id"), link(2, "closed", "2024-02-01").where("person_id % 5 = 0").drop("person_id")]
     rows = [_through_json(x, feeds.RECORD) for x in parts]
-    return _tally(feeds.ownership_records(rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])))
+    return _parsed_rows(feeds.ownership_records(rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])))
 
 
 def src_procurement(spark, sf_dir):
@@ -122,7 +131,7 @@ def src_procurement(spark, sf_dir):
     n = views.notices(spark, sf_dir).where(F.size("winners") == 1)
     side = lambda i: F.struct(F.lit("VAT").alias("scheme"), i.alias("id"), i.alias("name"))
     rows = n.select(F.col("notice_id").cast("int").alias("position"), F.lit(PROCUREMENT_TAG).alias("schema"), F.col("notice_id").alias("id"), F.when(F.col("notice_id").cast("int") % 3 == 0, "DRAFT").otherwise("AWARDED").alias("status"), F.col("decision_date").cast("string").alias("decision_date"), F.col("total_value").alias("amount"), "currency", side(F.col("buyers")[0]).alias("buyer"), side(F.col("winners")[0]).alias("supplier"))
-    return _tally(feeds.procurement_export(_through_json(rows, feeds.NOTICE), PROCUREMENT_TAG))
+    return _parsed_rows(feeds.procurement_export(_through_json(rows, feeds.NOTICE), PROCUREMENT_TAG))
 
 
 def src_lei(spark, sf_dir):

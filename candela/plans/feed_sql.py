@@ -8,32 +8,41 @@ from candela.plans.views import NOTICES
 
 _N = f"n AS (SELECT x.*, o_orderstatus FROM ({NOTICES}) x JOIN orders ON notice_id = CAST(o_orderkey AS VARCHAR))"
 _OWN = "own AS (SELECT c_custkey AS p, c_custkey % (SELECT count(*) FROM supplier) AS s FROM customer)"
-_ROW = "SELECT '{}' AS part, '{}' AS kind, CAST({} AS BIGINT) AS rows, CAST({} AS BIGINT) AS with_amount, CAST({} AS BIGINT) AS with_percent"
+_DAY_2020 = "CAST(epoch(DATE '2020-01-01') AS BIGINT)"
+_COLUMNS = {"a": "VARCHAR", "b": "VARCHAR", "scheme": "VARCHAR", "identifier": "VARCHAR", "currency": "VARCHAR", "contract": "VARCHAR", "locator": "VARCHAR", "level": "VARCHAR", "valid_from": "BIGINT", "valid_to": "BIGINT", "amount": "DOUBLE", "percent": "DOUBLE"}
 
 
 def _rows(source: str, rows: list[tuple]) -> str:
-    """One row per tally, those without members left out."""
-    parts = [_ROW.format(part, kind, f"count(*) FILTER ({cond})", amount, percent) + f" FROM {src}" for part, kind, src, cond, amount, percent in rows]
-    return f"WITH {source} SELECT * FROM (" + " UNION ALL ".join(parts) + ") WHERE rows > 0"
+    """Rows of (part, kind, table and condition, columns); what isn't given is null."""
+    parts = [f"SELECT '{part}' AS part, '{kind}' AS kind, " + ", ".join(f"CAST({given.get(c, 'NULL')} AS {t}) AS {c}" for c, t in _COLUMNS.items()) + f" FROM {src}" for part, kind, src, given in rows]
+    return f"WITH {source} " + " UNION ALL ".join(parts)
+
+
+def _problem(locator: str, level: str = "WARNING") -> dict:
+    return {"locator": locator, "level": f"'{level}'"}
 
 
 ORACLE_SQL = {
     "src_contracting": _rows(
-        f"{_N}, w AS (SELECT *, unnest(winners) AS winner FROM n WHERE o_orderstatus <> 'P')",
+        f"{_N}, c AS (SELECT *, 'o-' || notice_id || ':party:' AS pre, 'o-' || notice_id || ':award:1' AS c, '/releases/' || notice_id || '/awards/0' AS place, CAST(epoch(decision_date) AS BIGINT) AS t FROM n), live AS (SELECT * FROM c WHERE o_orderstatus <> 'P'), w AS (SELECT *, unnest(winners) AS winner FROM live)",
         [
-            ("edge", "ISSUED_CONTRACT", "n", "o_orderstatus <> 'P'", 0, 0),
-            ("edge", "SUPPLIER_OF", "w", "true", 0, 0),
-            ("edge", "AWARDED_TO", "w", "true", "count(*) FILTER (len(winners) = 1)", 0),
-            ("entity", "PUBLIC_BODY", "n", "true", 0, 0),
-            ("entity", "ORGANIZATION", "(SELECT unnest(winners) FROM n)", "true", 0, 0),
-            ("entity", "CONTRACT", "n", "o_orderstatus <> 'P'", 0, 0),
-            ("problem", "award is not active", "n", "o_orderstatus = 'P'", 0, 0),
-            ("problem", "amount is not divided between suppliers", "n", "o_orderstatus <> 'P' AND len(winners) <> 1", 0, 0),
+            ("edge", "ISSUED_CONTRACT", "live", {"a": "pre || buyer", "b": "c", "locator": "place", "valid_from": "t", "valid_to": "t"}),
+            ("edge", "SUPPLIER_OF", "w", {"a": "pre || winner", "b": "c", "locator": "place", "valid_from": "t", "valid_to": "t"}),
+            ("edge", "AWARDED_TO", "w", {"a": "pre || buyer", "b": "pre || winner", "contract": "c", "locator": "place", "valid_from": "t", "valid_to": "t", "amount": "CASE WHEN len(winners) = 1 THEN total_value END", "currency": "CASE WHEN len(winners) = 1 THEN 'EUR' END"}),
+            ("entity", "PUBLIC_BODY", "c", {"a": "pre || buyer", "b": "'N ' || buyer"}),
+            ("entity", "ORGANIZATION", "(SELECT pre, unnest(winners) AS winner FROM c)", {"a": "pre || winner", "b": "'N ' || winner"}),
+            ("entity", "CONTRACT", "live", {"a": "c", "b": "c"}),
+            ("problem", "award is not active", "c WHERE o_orderstatus = 'P'", _problem("place")),
+            ("problem", "amount is not divided between suppliers", "live WHERE len(winners) <> 1", _problem("place")),
         ],
     ),
     "src_envelopes": _rows(
-        "e AS (SELECT c_nationkey AS n FROM customer), s AS (SELECT s_nationkey AS n FROM supplier WHERE s_nationkey IN (SELECT n FROM e))",
-        [("edge", "AWARDED_TO", "e", "true", "count(*)", 0), ("entity", "PUBLIC_BODY", "e", "true", 0, 0), ("entity", "ORGANIZATION", "s", "true", 0, 0)],
+        "e AS (SELECT 'c' || c_custkey AS k, 's' || c_custkey % 10 AS o, c_name AS name, CAST(c_acctbal AS DECIMAL(24,6)) AS amount FROM customer), s AS (SELECT 's' || s_suppkey AS k, s_name AS name FROM supplier WHERE s_nationkey IN (SELECT c_nationkey FROM customer))",
+        [
+            ("edge", "AWARDED_TO", "e", {"a": "k", "b": "o", "amount": "amount", "locator": "'/r'"}),
+            ("entity", "PUBLIC_BODY", "e", {"a": "k", "b": "name"}),
+            ("entity", "ORGANIZATION", "s", {"a": "k", "b": "name"}),
+        ],
     ),
     "import_job": f"""
 WITH {_N}, a AS (SELECT * FROM n WHERE o_orderstatus <> 'P'), w AS (SELECT *, unnest(winners) AS winner FROM a)
@@ -44,36 +53,40 @@ UNION ALL SELECT 'money_flows', count(*) FROM a WHERE len(winners) = 1 UNION ALL
 SELECT *, row_number() OVER (PARTITION BY source, external_id ORDER BY seen_at, content_hash) AS version
 FROM (SELECT source, doc_id % 100 AS external_id, sha256(text) AS content_hash, min(split_part(text, chr(10), 1)) AS title, min(doc_id) AS seen_at FROM documents GROUP BY 1, 2, 3)""",
     "src_ownership_statements": _rows(
-        f"{_OWN}, k AS (SELECT *, p % 2 = 0 AS ben FROM own WHERE p % 10 <> 0), i AS (SELECT *, unnest([true, p % 7 <> 0]) AS ok, unnest([1, 0]) AS exact FROM k)",
+        f"{_OWN}, k AS (SELECT *, p % 2 = 0 AS ben FROM own WHERE p % 10 <> 0), i AS (SELECT *, unnest([true, p % 7 <> 0]) AS ok, unnest([0, 1]) AS j FROM k), good AS (SELECT *, {_DAY_2020} AS t FROM i WHERE ok)",
         [
-            ("edge", "BENEFICIAL_OWNER_OF", "i", "ok AND ben", 0, "count(*) FILTER (ok AND ben AND exact = 1)"),
-            ("edge", "OWNS", "i", "ok AND NOT ben", 0, "count(*) FILTER (ok AND NOT ben AND exact = 1)"),
-            ("entity", "PERSON", "k", "true", 0, 0),
-            ("entity", "ORGANIZATION", "supplier", "true", 0, 0),
-            ("problem", "unknown person", "own", "p % 10 = 0", 0, 0),
-            ("problem", "owner or subject does not resolve", "own", "p % 10 = 0", 0, 0),
-            ("problem", "interest type is not supported", "i", "NOT ok", 0, 0),
+            ("edge", kind, f"good WHERE {cond}", {"a": "'c' || p", "b": "'s' || s", "locator": "'/' || (2 * p + 1) || '/interests/' || j", "valid_from": "t", "percent": "CASE WHEN j = 0 THEN p % 100 END"})
+            for kind, cond in (("BENEFICIAL_OWNER_OF", "ben"), ("OWNS", "NOT ben"))
+        ]
+        + [
+            ("entity", "PERSON", "k", {"a": "'c' || p", "b": "'P ' || p"}),
+            ("entity", "ORGANIZATION", "supplier", {"a": "'s' || s_suppkey", "b": "s_name"}),
+            ("problem", "unknown person", "own WHERE p % 10 = 0", _problem("'c' || p")),
+            ("problem", "owner or subject does not resolve", "own WHERE p % 10 = 0", _problem("'x' || p")),
+            ("problem", "interest type is not supported", "i WHERE NOT ok", _problem("'x' || p")),
         ],
     ),
     "src_ownership_records": _rows(
-        f"{_OWN}, cited AS (SELECT DISTINCT s FROM own WHERE p % 9 = 0), k AS (SELECT * FROM own WHERE p % 10 <> 0)",
+        f"""{_OWN}, r AS (SELECT *, CASE WHEN p % 5 = 0 THEN 3 * p + 2 ELSE 3 * p + 1 END AS position, CASE WHEN p % 9 = 0 THEN 'GB-COH-' || lpad(CAST(s AS VARCHAR), 8, '0') ELSE 's' || s END AS owned FROM own),
+cited AS (SELECT owned, min(position) AS position FROM r WHERE p % 9 = 0 GROUP BY 1), k AS (SELECT * FROM r WHERE p % 10 <> 0), live AS (SELECT *, {_DAY_2020} AS t FROM k WHERE p % 5 <> 0)""",
         [
-            ("edge", "OWNS", "k", "p % 5 <> 0", 0, "count(*) FILTER (p % 5 <> 0 AND p % 4 <> 0)"),
-            ("entity", "PERSON", "k", "true", 0, 0),
-            ("entity", "ORGANIZATION", "(SELECT s_suppkey FROM supplier UNION ALL SELECT s FROM cited)", "true", 0, 0),
-            ("problem", "unknown person", "own", "p % 10 = 0", 0, 0),
-            ("problem", "subject is a register number only", "cited", "true", 0, 0),
-            ("problem", "owner does not resolve", "own", "p % 10 = 0", 0, 0),
-            ("problem", "record is closed", "k", "p % 5 = 0", 0, 0),
+            ("edge", "OWNS", "live", {"a": "'c' || p", "b": "owned", "locator": "'/' || position || '/recordDetails/interests'", "valid_from": "t", "percent": "CASE WHEN p % 4 <> 0 THEN p % 100 END"}),
+            ("entity", "PERSON", "k", {"a": "'c' || p", "b": "'P'"}),
+            ("entity", "ORGANIZATION", "supplier", {"a": "'s' || s_suppkey", "b": "s_name"}),
+            ("entity", "ORGANIZATION", "cited", {"a": "owned", "b": "owned", "scheme": "'GB-COH'", "identifier": "substr(owned, 8, 8)"}),
+            ("problem", "unknown person", "own WHERE p % 10 = 0", _problem("'/' || 3 * p")),
+            ("problem", "subject is a register number only", "cited", _problem("'/' || position")),
+            ("problem", "owner does not resolve", "r WHERE p % 10 = 0", _problem("'/' || position")),
+            ("problem", "record is closed", "k WHERE p % 5 = 0", _problem("'/' || position")),
         ],
     ),
     "src_procurement": _rows(
-        f"{_N}, k AS (SELECT * FROM n WHERE len(winners) = 1 AND CAST(notice_id AS BIGINT) % 3 <> 0)",
+        f"{_N}, k AS (SELECT *, 'VAT:' || buyer AS a, 'VAT:' || winners[1] AS b, CAST(epoch(decision_date) AS BIGINT) AS t FROM n WHERE len(winners) = 1 AND CAST(notice_id AS BIGINT) % 3 <> 0)",
         [
-            ("edge", "AWARDED_TO", "k", "true", "count(*)", 0),
-            ("entity", "PUBLIC_BODY", "(SELECT DISTINCT buyer FROM k)", "true", 0, 0),
-            ("entity", "ORGANIZATION", "(SELECT DISTINCT winners[1] FROM k)", "true", 0, 0),
-            ("entity", "CONTRACT", "k", "true", 0, 0),
+            ("edge", "AWARDED_TO", "k", {"a": "a", "b": "b", "contract": "notice_id", "locator": "'/notices/' || notice_id", "valid_from": "t", "valid_to": "t", "amount": "total_value", "currency": "'EUR'"}),
+            ("entity", "PUBLIC_BODY", "(SELECT DISTINCT a, buyer FROM k)", {"a": "a", "b": "buyer", "scheme": "'VAT'", "identifier": "buyer"}),
+            ("entity", "ORGANIZATION", "(SELECT DISTINCT b, winners[1] AS winner FROM k)", {"a": "b", "b": "winner", "scheme": "'VAT'", "identifier": "winner"}),
+            ("entity", "CONTRACT", "k", {"a": "notice_id", "b": "notice_id"}),
         ],
     ),
     "src_lei": "SELECT CASE WHEN c_custkey % 2 = 0 THEN 'L' || c_custkey ELSE CAST(c_custkey AS VARCHAR) END AS lei, c_name AS name, CASE WHEN c_custkey % 3 <> 0 THEN 'N' ELSE 'A' END || c_nationkey AS jurisdiction, DATE '2020-02-03' AS created FROM customer WHERE c_custkey % 8 <> 0",
