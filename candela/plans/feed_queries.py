@@ -61,14 +61,23 @@ def src_contracting(spark, sf_dir):
 
 
 def import_job(spark, sf_dir):
-    """Rows per table after importing the releases."""
+    """What the import of the releases wrote, read back: entities, edges, claims, flows, ownership and quarantine."""
     empty = [spark.createDataFrame([], s) for s in (imports.NO_MAPPINGS, imports.NO_IDENTIFIERS)]
     tables = imports.import_tables(_contracting(spark, sf_dir), "releases", "batch-1", *empty)
     path = fresh_path(spark, "import")
     imports.write_import(tables, path, "1", "none")
+    shown = {
+        "entities": ("entity_id", "name", "entity_type", None),
+        "edges": ("subject_id", "object_id", "relation", None),
+        "claims": ("subject_entity_id", None, "predicate", None),
+        "money_flows": ("payer_id", "recipient_id", "flow_state", "amount"),
+        "ownership": ("owner_id", "owned_id", None, "ownership_percent"),
+        "quarantine": (None, None, "reason", None),
+    }
     out = None
-    for name in tables:
-        own = spark.read.parquet(f"{path}/{name}").agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("part"), "rows")
+    for name, columns in shown.items():
+        a, b, kind, amount = [F.col(c) if c else F.lit(None) for c in columns]
+        own = spark.read.parquet(f"{path}/{name}").select(F.lit(name).alias("part"), a.cast("string").alias("a"), b.cast("string").alias("b"), kind.cast("string").alias("kind"), amount.cast("double").alias("amount"))
         out = own if out is None else out.unionByName(own)
     return out
 

@@ -45,10 +45,14 @@ ORACLE_SQL = {
         ],
     ),
     "import_job": f"""
-WITH {_N}, a AS (SELECT * FROM n WHERE o_orderstatus <> 'P'), w AS (SELECT *, unnest(winners) AS winner FROM a)
-SELECT 'entities' AS part, (SELECT count(*) FROM n) + (SELECT count(*) FROM a) + (SELECT CAST(sum(len(winners)) AS BIGINT) FROM n) AS rows
-UNION ALL SELECT 'edges', (SELECT count(*) FROM a) + 2 * (SELECT count(*) FROM w) UNION ALL SELECT 'claims', (SELECT count(*) FROM a) + 2 * (SELECT count(*) FROM w)
-UNION ALL SELECT 'money_flows', count(*) FROM a WHERE len(winners) = 1 UNION ALL SELECT 'ownership', 0 UNION ALL SELECT 'quarantine', 0""",
+WITH {_N}, k AS (SELECT *, 'o-' || notice_id || ':party:' || buyer AS bk, 'o-' || notice_id || ':award:1' AS ck FROM n), w AS (SELECT *, 'o-' || notice_id || ':party:' || winner AS wk FROM (SELECT *, unnest(winners) AS winner FROM k)),
+p AS (SELECT *, sha256('=releases|=' || bk) AS b_id, sha256('=releases|=' || ck) AS c_id, sha256('=releases|=' || wk) AS w_id, o_orderstatus <> 'P' AS live FROM w),
+o AS (SELECT DISTINCT notice_id, buyer, bk, ck, b_id, c_id, live FROM p),
+e AS (SELECT b_id AS a, c_id AS b, 'ISSUED_CONTRACT' AS kind FROM o WHERE live UNION ALL SELECT w_id, c_id, 'SUPPLIER_OF' FROM p WHERE live UNION ALL SELECT b_id, w_id, 'AWARDED_TO' FROM p WHERE live)
+SELECT 'entities' AS part, b_id AS a, 'N ' || buyer AS b, 'PUBLIC_BODY' AS kind, NULL::DOUBLE AS amount FROM o
+UNION ALL SELECT 'entities', c_id, ck, 'CONTRACT', NULL FROM o WHERE live UNION ALL SELECT 'entities', w_id, 'N ' || winner, 'ORGANIZATION', NULL FROM p
+UNION ALL SELECT 'edges', a, b, kind, NULL FROM e UNION ALL SELECT 'claims', a, NULL, kind, NULL FROM e
+UNION ALL SELECT 'money_flows', b_id, w_id, 'AWARDED', CAST(total_value AS DOUBLE) FROM p WHERE live AND len(winners) = 1""",
     "document_versions": """
 SELECT *, row_number() OVER (PARTITION BY source, external_id ORDER BY seen_at, content_hash) AS version
 FROM (SELECT source, doc_id % 100 AS external_id, sha256(text) AS content_hash, min(split_part(text, chr(10), 1)) AS title, min(doc_id) AS seen_at FROM documents GROUP BY 1, 2, 3)""",
