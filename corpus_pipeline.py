@@ -17,27 +17,27 @@ from candela.llm.simhash import drop_near_copies
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that reach the quality threshold."""
+    """Documents that reach the quality threshold. A null text is scored as empty; repeated rows share their score."""
     return drop_poor(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts, that with the smallest id."""
+    """One document of each group of equal texts, that with the smallest id; null counts as empty, null ids come last."""
     return drop_exact_copies(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component, that with the smallest id."""
+    """One document of each SimHash component, that with the smallest id; texts without words are one component."""
     return drop_near_copies(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the benchmark does not contaminate."""
+    """Documents that the benchmark does not contaminate; a null text has no words and stays."""
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' pieces, placed in sequences of at most 2048 tokens."""
+    """The documents' pieces, placed in sequences of at most 2048 tokens; a null text is its end token alone."""
     return pack_documents(docs)
 
 
