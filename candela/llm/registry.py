@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from candela.llm.alignment import op12_cross_tokenizer
 from candela.llm.chat import OP9_SQL, op9_chat_format
 from candela.llm.decontam import OP8_SQL, op8_decontamination
 from candela.llm.exact_dedup import OP3_SQL, op3_exact_dedup
@@ -24,5 +25,6 @@ QUERIES: dict = {
     "op8_decontamination": op8_decontamination,
     "op9_chat_format": op9_chat_format,
     "op10_quality": op10_quality,
+    "op12_cross_tokenizer": op12_cross_tokenizer,
 }
 ORACLE_SQL: dict[str, str] = {"op3_exact_dedup": OP3_SQL, "op4_license_scan": OP4_SQL, "op8_decontamination": OP8_SQL, "op9_chat_format": OP9_SQL}
