@@ -38,8 +38,8 @@ from candela.llm.packing import default_tokenizer, encoder
 PIECE = 1 << 16
 #: Id pairs of one pass over the pieces: 13 bytes each.
 PASS_PAIRS = 6_000_000
-#: Stretches that a worker remembers, and the longest of them.
-REMEMBERED, REMEMBERED_CHARS = 150_000, 40
+#: Stretches that a worker remembers; all are forgotten after a batch with so many characters of new ones.
+REMEMBERED, REMEMBERED_CHARS = 400_000, 4_000_000
 SPACE = "▁"
 
 
@@ -53,59 +53,91 @@ def default_pieces() -> str:
 # ---- tokens
 
 
-class Stretches(dict):
-    """Ids by stretch, as bytes; emptied when full."""
-
-    def __init__(self, encode):
-        super().__init__()
-        self.encode = encode
-
-    def __missing__(self, stretch: str) -> bytes:
-        ids = self.encode(stretch)
-        if len(stretch) <= REMEMBERED_CHARS:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[stretch] = ids
-        return ids
-
-
-class Unequal(Exception):
-    """A stretch whose tokens' bytes are not its own."""
-
-
+#: Places where white space on both sides of a space, or a space next to one, forbids to cut at each space.
+_DENSE = re.compile(r"  | \Z|[^\S ] [^\S ]")
 #: From a space after a character that is no white space, up to the next such place.
 _STRETCH = re.compile(r"\s+\S+(?:[^\S ]\s*\S+)*(?:\s+\Z)?")
 
 
+class Tokenizer:
+    """One tokenizer: ids of a space and a text, and the bytes of each token."""
+
+    def __init__(self, encode, token_bytes: list[bytes], kind: np.dtype):
+        self.encode, self.token_bytes, self.kind = encode, token_bytes, kind
+        self.size = np.array([len(x) for x in token_bytes])
+        #: Ids of a space and a stretch, as bytes, by stretch.
+        self.known: dict[str, bytes] = {}
+
+    def ids(self, text: str) -> np.ndarray | None:
+        """Ids of a space and the text, None where the tokens' bytes differ from it."""
+        ids = np.asarray(self.encode(text), self.kind)
+        return ids if b"".join([self.token_bytes[k] for k in ids.tolist()]) == (" " + text).encode("utf-8", "surrogatepass") else None
+
+    def learn(self, stretches: list[str]) -> bool:
+        """Encode stretches in one text, cut again where they end; whether that could be done."""
+        ids = self.ids(" ".join(stretches))
+        if ids is None:
+            return False
+        ends = np.cumsum(self.size[ids])
+        wanted = np.cumsum([len(s.encode("utf-8", "surrogatepass")) + 1 for s in stretches])
+        at = np.searchsorted(ends, wanted)
+        if not np.array_equal(ends[at], wanted):
+            return False
+        at = (np.concatenate(([0], at + 1)) * self.kind.itemsize).tolist()
+        held = ids.tobytes()
+        self.known.update((s, held[i:j]) for s, i, j in zip(stretches, at, at[1:]))
+        return True
+
+
 @dataclass
 class Pair:
-    """Both tokenizers: the bytes of each token, and how long they are."""
-
-    kind: np.dtype
-    a_size: np.ndarray
-    b_size: np.ndarray
-    a_of: Stretches
-    b_of: Stretches
-    a_bytes: list[bytes]
-    b_bytes: list[bytes]
+    """Both tokenizers, and whether stretches may be encoded apart."""
+
+    a: Tokenizer
+    b: Tokenizer
     cut: bool
 
-    def ids(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
-        """A's and B's ids of a space and the text; None where it is empty or the tokens' bytes differ from it."""
-        if not text or SPACE in text:
-            return None
+    @property
+    def kind(self) -> np.dtype:
+        return self.a.kind
+
+    def stretches(self, text: str) -> list[str]:
+        """The text's stretches, each without the space that it begins with, the first after the space before the text."""
         full = " " + text
-        stretches = _STRETCH.findall(full) if self.cut else [full]
-        if sum(map(len, stretches)) != len(full):
-            stretches = [full]
-        try:
-            a, b = (b"".join(map(of.__getitem__, stretches)) for of in (self.a_of, self.b_of))
-        except Unequal:
+        if not _DENSE.search(full):
+            return text.split(" ")
+        found = _STRETCH.findall(full)
+        return [s[1:] for s in found] if sum(map(len, found)) == len(full) else [text]
+
+    def ids(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray] | None]:
+        """A's and B's ids of a space and each text; None where it is empty or the tokens' bytes differ from it."""
+        cut = [self.stretches(t) if t and self.cut and SPACE not in t else None for t in texts]
+        new = {s for own in cut if own for s in own if s not in self.a.known}
+        if len(self.a.known) + len(new) > REMEMBERED:
+            self.a.known.clear()
+            self.b.known.clear()
+            new = {s for own in cut if own for s in own}
+        # Only a text's last stretch can end in white space; it is not to be followed by another.
+        plain = [s for s in new if s and not s[-1].isspace()]
+        learned = not plain or self.a.learn(plain) and self.b.learn(plain)
+        for s in new if not learned else [s for s in new if not s or s[-1].isspace()]:
+            ids = self.a.ids(s), self.b.ids(s)
+            if ids[0] is not None and ids[1] is not None:
+                self.a.known[s], self.b.known[s] = ids[0].tobytes(), ids[1].tobytes()
+        out = []
+        for text, own in zip(texts, cut):
+            if not text or SPACE in text:
+                out.append(None)
+                continue
             try:
-                a, b = self.a_of.encode(full), self.b_of.encode(full)
-            except Unequal:
-                return None
-        return np.frombuffer(a, self.kind), np.frombuffer(b, self.kind)
+                ids = tuple(np.frombuffer(b"".join(map(of.known.__getitem__, own or [None])), self.kind) for of in (self.a, self.b))
+            except KeyError:
+                ids = self.a.ids(text), self.b.ids(text)
+            out.append(None if ids[0] is None or ids[1] is None else ids)
+        if sum(len(s) for s in new) > REMEMBERED_CHARS:
+            self.a.known.clear()
+            self.b.known.clear()
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -119,18 +151,11 @@ def pair(a_path: str, b_path: str) -> Pair:
     names = [model.id_to_piece(k) for k in range(model.get_piece_size())]
     b_bytes = [bytes([int(s[3:5], 16)]) if model.is_byte(k) else s.replace(SPACE, " ").encode() for k, s in enumerate(names)]
     kind = np.dtype("<u2" if max(len(a_bytes), len(b_bytes)) <= 1 << 16 else "<u4")
-
-    def packed(ids, text: str, known: list[bytes]) -> bytes:
-        if b"".join([known[k] for k in ids]) != text.encode("utf-8", "surrogatepass"):
-            raise Unequal
-        return np.asarray(ids, kind).tobytes()
-
     # Pieces that hold a space behind another character would be lost at a cut.
     cut = not any(SPACE in s.lstrip(SPACE) for s in names)
     return Pair(
-        kind, np.array([len(x) for x in a_bytes]), np.array([len(x) for x in b_bytes]),
-        Stretches(lambda s: packed(own.encode_to_numpy(s, allowed_special=set(), disallowed_special=()).tolist(), s, a_bytes)),
-        Stretches(lambda s: packed(model.encode(s[1:], num_threads=1), s, b_bytes)), a_bytes, b_bytes, cut,
+        Tokenizer(lambda s: own.encode_to_numpy(" " + s, allowed_special=set(), disallowed_special=()), a_bytes, kind),
+        Tokenizer(lambda s: model.encode(s, num_threads=1), b_bytes, kind), cut,
     )
 
 
@@ -157,7 +182,7 @@ def pieces_of(a: np.ndarray, b: np.ndarray, both: Pair, work: int) -> Iterator[t
     if len(a) + len(b) <= work:
         yield 0, 0, len(a), len(b), a.tobytes(), b.tobytes()
         return
-    a_end, b_end = np.cumsum(both.a_size[a]), np.cumsum(both.b_size[b])
+    a_end, b_end = np.cumsum(both.a.size[a]), np.cumsum(both.b.size[b])
     at = list(zip(*(x.tolist() for x in diagonals(a_end, b_end, work))))
     for (i, j), (k, m) in zip(at, at[1:]):
         yield int(a_end[i - 1]) if i else 0, int(b_end[j - 1]) if j else 0, k - i, m - j, a[i : k + 1].tobytes(), b[j : m + 1].tobytes()
@@ -173,8 +198,7 @@ def _pieces(a_path: str, b_path: str, work: int):
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*out), PIECES)], [n for n, _ in PIECES])
 
         for batch in small_batches(batches, 200):
-            for row, doc, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                found = both.ids(text)
+            for row, doc, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), both.ids(batch.column(2).to_pylist())):
                 if found is None:
                     out.append((row, doc, 0, 1, 0, 0, 0, 0, b"", b""))
                     continue
@@ -211,15 +235,15 @@ class Merged:
 
 
 def merged(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int, both: Pair, a_at: int = 0, b_at: int = 0) -> Merged:
-    a_end = a_at + np.concatenate(([0], np.cumsum(both.a_size[a[:n_a]])))
-    b_end = b_at + np.cumsum(both.b_size[b[:n_b]])
+    a_end = a_at + np.concatenate(([0], np.cumsum(both.a.size[a[:n_a]])))
+    b_end = b_at + np.cumsum(both.b.size[b[:n_b]])
     a_done = np.searchsorted(a_end[1:], b_end, "right")
     return Merged(a, b, n_a, n_b, np.searchsorted(b_end, a_end[1:], "left"), a_done, a_end[a_done] == b_end)
 
 
 def link_codes(m: Merged, both: Pair) -> tuple[np.ndarray, np.ndarray]:
     """Codes of the links that A's ends close, and of those that B's ends close where no A token ends."""
-    wide = len(both.b_size)
+    wide = len(both.b.size)
     b = np.flatnonzero(~m.tie)
     return m.a[: m.n_a].astype(np.int64) * wide + m.b[m.b_open], m.a[m.a_done[b]].astype(np.int64) * wide + m.b[b]
 
@@ -249,7 +273,7 @@ def groups_text(m: Merged, both: Pair) -> tuple[bytes, np.ndarray, np.ndarray, n
     ids[at_a], ids[at_b] = m.a[:n_a], m.b[:n_b]
     sign[at_a[a_last[a_last > 0] - 1]] = ord("|")
     sign[at_b[b_last]] = ord(";")
-    digits, used = _decimals(max(len(both.a_size), len(both.b_size)))
+    digits, used = _decimals(max(len(both.a.size), len(both.b.size)))
     shown, keep = digits[ids], used[ids]
     shown[:, -1] = sign
     places = np.concatenate(([0], np.cumsum(keep.sum(axis=1))))
@@ -297,7 +321,7 @@ class Batch:
         codes = link_codes(m, self.both)
         doc = np.arange(len(self.whole))
         of_a, of_b = np.repeat(doc, self.sizes("n_a")), np.repeat(doc, self.sizes("n_b"))[~m.tie]
-        wide = len(self.both.a_size) * len(self.both.b_size)
+        wide = len(self.both.a.size) * len(self.both.b.size)
         keys, links = _sorted_counts(np.concatenate((of_a * wide + codes[0], of_b * wide + codes[1])))
         return keys // wide, keys % wide, links
 
@@ -345,7 +369,7 @@ def pair_counts(pieces: DataFrame, a_path: str, b_path: str) -> DataFrame:
     whole = found.where("row IS NULL").select("code", "docs")
     parts = found.where("row IS NOT NULL").select("row", "code").distinct().select("code", F.lit(1).cast("long").alias("docs"))
     both = pair(a_path, b_path)
-    counts = stage_table(whole.unionByName(parts).groupBy("code").agg(F.sum("docs").alias("docs")).withColumn("a", F.expr(f"code div {len(both.b_size)}")), "counts")
+    counts = stage_table(whole.unionByName(parts).groupBy("code").agg(F.sum("docs").alias("docs")).withColumn("a", F.expr(f"code div {len(both.b.size)}")), "counts")
     # At most one row for each of A's ids.
     most = counts.groupBy("a").agg(F.max("docs").alias("most"))
     return counts.join(F.broadcast(most), "a").select("code", "docs", (F.col("docs") == F.col("most")).alias("best"))

@@ -9,6 +9,7 @@ from candela.llm.exact_dedup import OP3_SQL, op3_exact_dedup
 from candela.llm.licenses import OP4_SQL, op4_license_scan
 from candela.llm.packing import op1_packing
 from candela.llm.quality import op10_quality
+from candela.llm.ranking import OP13_SQL, op13_ranked_search
 from candela.llm.sharding import op2_feistel_shards
 from candela.llm.simhash import op7_simhash
 from candela.llm.substring import op5_shared_passages
@@ -26,5 +27,6 @@ QUERIES: dict = {
     "op9_chat_format": op9_chat_format,
     "op10_quality": op10_quality,
     "op12_cross_tokenizer": op12_cross_tokenizer,
+    "op13_ranked_search": op13_ranked_search,
 }
-ORACLE_SQL: dict[str, str] = {"op3_exact_dedup": OP3_SQL, "op4_license_scan": OP4_SQL, "op8_decontamination": OP8_SQL, "op9_chat_format": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_exact_dedup": OP3_SQL, "op4_license_scan": OP4_SQL, "op8_decontamination": OP8_SQL, "op9_chat_format": OP9_SQL, "op13_ranked_search": OP13_SQL}
