@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from candela.llm.alignment import op12_cross_tokenizer
 from candela.llm.chat import OP9_SQL, op9_chat_format
+from candela.llm.credentials import op11_secret_scan
 from candela.llm.decontam import OP8_SQL, op8_decontamination
 from candela.llm.exact_dedup import OP3_SQL, op3_exact_dedup
 from candela.llm.licenses import OP4_SQL, op4_license_scan
@@ -26,6 +27,7 @@ QUERIES: dict = {
     "op8_decontamination": op8_decontamination,
     "op9_chat_format": op9_chat_format,
     "op10_quality": op10_quality,
+    "op11_secret_scan": op11_secret_scan,
     "op12_cross_tokenizer": op12_cross_tokenizer,
     "op13_ranked_search": op13_ranked_search,
 }
