@@ -322,6 +322,7 @@ def op11_secret_scan(spark, sf_dir: str) -> DataFrame:
     """Secrets in all documents."""
     found = find_secrets(table(spark, sf_dir, "documents"))
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["first"], s["end"])), ",")
-    counts = [F.size(F.filter("spans", lambda s, kind=kind: s["kind"] == kind)).cast("long").alias(f"n_{kind}") for kind in KINDS[:3]]
+    of_kind = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    counts = [of_kind(kind) for kind in KINDS[:3]]
     base = F.sha2(joined(F.filter("spans", lambda s: s["kind"] != KINDS[3])), 256).alias("base_sha256")
     return found.select("doc_id", *counts, base, joined(F.col("spans")).alias("spans"))

@@ -89,10 +89,15 @@ def test_defined_results(spark):
     assert credentials.redact_secrets(docs.where("text IS NULL")).first().text is None
 
 
-def test_query_holds_the_base_spans_and_leaves_clean_documents_alone(spark):
-    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
-    got = credentials.op11_secret_scan(spark, SF).collect()
-    assert len(got) == len(texts)
+@pytest.mark.parametrize("planted_ids", [False, True])
+def test_query_holds_the_base_spans_and_leaves_clean_documents_alone(spark, tmp_path, planted_ids):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    if planted_ids:
+        docs = docs.unionByName(spark.createDataFrame([(10_000 + k, t) for k, t in enumerate(TEXTS)], "doc_id long, text string"))
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    got = credentials.op11_secret_scan(spark, str(tmp_path)).collect()
+    assert len(got) == len(texts) and (not planted_ids or sum(bool(r.spans) for r in got) >= 6)
     for r in got:
         base = brute_base(texts[r.doc_id])
         assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(s.startswith(k) for s in base) for k in ("assign", "access", "hex"))
