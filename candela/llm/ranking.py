@@ -130,7 +130,8 @@ def item_blocks(items: DataFrame, id_col: str, text_col: str, block_terms: int)
     rows = stage_table(rows, "items")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     # Some six bytes a word: about a block for each task. Items of one range of rows stay together.
-    dealt = rows.repartitionByRange(max(1, -(-size // (6 * block_terms))), "row")
+    n = -(-size // (6 * block_terms))
+    dealt = rows.repartitionByRange(n, "row") if n > 1 else rows.coalesce(1)
     return stage_table(dealt.mapInArrow(_block_rows(block_terms), "payload binary").withColumn("block", F.monotonically_increasing_id()), "blocks")
 
 
