@@ -103,16 +103,16 @@ def tender_builder(spark, sf_dir):
 
 
 def temporal_paths(spark, sf_dir):
-    """PF1-PF3."""
-    rows = graph.find_paths(views.path_edges(spark, sf_dir), views.path_requests(spark, sf_dir), max_depth=4)
-    return rows.select("request_id", "rank", F.col("hops").cast("long").alias("hops"), F.array_join("nodes", ">").alias("nodes"), "common_from", "common_to", "support")
+    """PF1-PF3 on all edges, up to six hops."""
+    rows, _ = graph.search_paths(views.all_edges(spark, sf_dir), views.path_requests(spark, sf_dir))
+    return rows.select("request_id", "rank", F.col("hops").cast("long").alias("hops"), F.array_join("nodes", ">").alias("nodes"), F.array_join("edge_ids", ">").alias("edge_ids"), "common_from", "common_to", "uncertain", "support")
 
 
 def paths_batch(spark, sf_dir):
-    """PF4."""
-    edges = views.path_edges(spark, sf_dir)
+    """PF4/T4: each request's outcome, on all edges, up to six hops."""
+    edges = views.all_edges(spark, sf_dir)
     entities = edges.select(F.explode(F.array("subject_id", "object_id")).alias("entity_id")).distinct()
-    return graph.investigate(edges, entities, views.path_requests(spark, sf_dir), max_depth=4)
+    return graph.investigate(edges, entities, views.path_requests(spark, sf_dir))
 
 
 def _entities(spark, sf_dir):
@@ -169,20 +169,29 @@ JOIN (SELECT DISTINCT o_orderkey AS award_id, o_custkey AS body_id, l_suppkey AS
   ON a.body_id = r.body_id AND a.company_id = o.company_id
 WHERE r.since <= a.decision_date
 """
-_PATHS = f"""
-WITH RECURSIVE e AS ({views.PATH_EDGES}), adj AS (
-  SELECT a AS src, b AS dst, edge_id, valid_from, valid_to, n FROM e UNION ALL SELECT b, a, edge_id, valid_from, valid_to, n FROM e
-), req AS (
-  SELECT DISTINCT x.b || '>' || y.b AS request_id, x.b AS source_id, y.b AS target_id FROM e x JOIN e y ON x.a = y.a AND x.b < y.b
-  UNION SELECT b || '>s' || (CAST(substr(b, 2) AS BIGINT) + 1), b, 's' || (CAST(substr(b, 2) AS BIGINT) + 1) FROM e
-), p AS (
-  SELECT request_id, target_id, source_id AS tail, [source_id] AS nodes, CAST([] AS STRUCT(t TIMESTAMP, id VARCHAR)[]) AS keys, CAST(NULL AS TIMESTAMP) AS lo, CAST(NULL AS TIMESTAMP) AS hi, CAST(0 AS BIGINT) AS support, 0 AS hops FROM req
-  UNION ALL
-  SELECT request_id, target_id, dst, list_append(nodes, dst), list_append(keys, {{'t': valid_from, 'id': edge_id}}), greatest(lo, valid_from), least(hi, valid_to), CAST(support + n AS BIGINT), hops + 1
-  FROM p JOIN adj ON tail = src WHERE hops < 4 AND tail <> target_id AND NOT list_contains(nodes, dst) AND coalesce(greatest(lo, valid_from) <= least(hi, valid_to), true)
-), f AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY hops, keys) AS found FROM p WHERE tail = target_id
-), first AS (SELECT * FROM f WHERE found <= 10)
-"""
+
+
+def _paths_sql() -> str:
+    """Breadth-first search in levels: a request that has its first paths leaves the frontier, and others go on."""
+    parts = [
+        f"WITH e AS ({views.ALL_EDGES})",
+        "adj AS MATERIALIZED (SELECT a AS src, b AS dst, edge_id, valid_from, valid_to, n FROM e UNION ALL SELECT b, a, edge_id, valid_from, valid_to, n FROM e)",
+        f"req AS ({views.PATH_REQUESTS})",
+        "p0 AS (SELECT request_id, target_id, source_id AS tail, [source_id] AS nodes, CAST([] AS STRUCT(t TIMESTAMP, id VARCHAR)[]) AS keys, CAST(NULL AS TIMESTAMP) AS lo, CAST(NULL AS TIMESTAMP) AS hi, CAST(0 AS BIGINT) AS support, top AS need FROM req)",
+    ]
+    step = "request_id, target_id, dst AS tail, list_append(nodes, dst) AS nodes, list_append(keys, {'t': valid_from, 'id': edge_id}) AS keys, greatest(lo, valid_from) AS lo, least(hi, valid_to) AS hi, CAST(support + n AS BIGINT) AS support, need"
+    fits = "NOT list_contains(nodes, dst) AND coalesce(greatest(lo, valid_from) <= least(hi, valid_to), true)"
+    for k in range(1, 7):
+        parts += [
+            f"f{k} AS MATERIALIZED (SELECT *, {k} AS hops FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY keys) AS rn FROM (SELECT {step} FROM p{k - 1} JOIN adj ON tail = src AND dst = target_id WHERE {fits})) WHERE rn <= need)",
+            f"c{k} AS (SELECT request_id, count(*) AS got FROM f{k} GROUP BY 1)",
+            f"p{k} AS MATERIALIZED (SELECT {step.replace('need', 'need - coalesce(got, 0) AS need')} FROM p{k - 1} LEFT JOIN c{k} USING (request_id) JOIN adj ON tail = src AND dst <> target_id WHERE need > coalesce(got, 0) AND {fits})",
+        ]
+    parts.append("first AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY hops, keys) AS found FROM (" + " UNION ALL ".join(f"SELECT * FROM f{k}" for k in range(1, 7)) + "))")
+    return ", ".join(parts)
+
+
+_PATHS = _paths_sql()
 
 ORACLE_SQL = {
     "asof_snapshot": f"SELECT record_id, version_id, committed_at, event_type, value FROM {_SNAP.replace('@', CUTOFF)}",
@@ -215,7 +224,7 @@ WITH n AS ({views.NOTICES}), e AS (
   UNION ALL SELECT 'HAS_WINNER', CASE WHEN len(winners) = 1 THEN total_value END FROM (SELECT *, unnest(winners) AS w FROM n)
   UNION ALL SELECT 'AWARDED_TO', total_value FROM n WHERE len(winners) = 1)
 SELECT relation, count(*) AS edges, count(amount) AS with_amount, CAST(sum(amount) AS DECIMAL(34,6)) AS total FROM e GROUP BY 1""",
-    "temporal_paths": f"{_PATHS} SELECT request_id, row_number() OVER (PARTITION BY request_id ORDER BY hops, support DESC, found) AS rank, CAST(hops AS BIGINT) AS hops, array_to_string(nodes, '>') AS nodes, lo AS common_from, hi AS common_to, support FROM first",
+    "temporal_paths": f"{_PATHS} SELECT request_id, row_number() OVER (PARTITION BY request_id ORDER BY hops, support DESC, found) AS rank, CAST(hops AS BIGINT) AS hops, array_to_string(nodes, '>') AS nodes, array_to_string(list_transform(keys, lambda k: k.id), '>') AS edge_ids, lo AS common_from, hi AS common_to, false AS uncertain, support FROM first",
     "paths_batch": f"""{_PATHS}, known AS (SELECT a AS id FROM e UNION SELECT b FROM e)
 SELECT r.request_id, CASE WHEN r.source_id NOT IN (SELECT id FROM known) OR r.target_id NOT IN (SELECT id FROM known) THEN 'UNKNOWN_ENTITY' WHEN count(f.found) = 0 THEN 'NO_PATH_FOUND' ELSE 'FOUND' END AS status,
   count(f.found) AS paths, CAST(min(f.hops) AS BIGINT) AS fewest_hops FROM req r LEFT JOIN first f USING (request_id) GROUP BY r.request_id, r.source_id, r.target_id""",

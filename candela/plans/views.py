@@ -115,11 +115,6 @@ def all_edges(spark, sf_dir) -> DataFrame:
     return _edges_of(table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders"))
 
 
-def path_edges(spark, sf_dir) -> DataFrame:
-    """Sparse edges: large returned lines between customer and supplier, valid for a year from the order."""
-    return _edges_of(table(spark, sf_dir, "lineitem").where("l_quantity = 50 and l_returnflag = 'R'"), table(spark, sf_dir, "orders"))
-
-
 def _edges_of(line, orders) -> DataFrame:
     rows = line.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     per = rows.groupBy("o_custkey", "l_suppkey").agg(F.min("o_orderdate").alias("valid_from"), F.count(F.lit(1)).alias("observation_count"))
@@ -139,14 +134,14 @@ SELECT o_custkey || '-' || l_suppkey AS edge_id, 'c' || o_custkey AS a, 's' || l
   min(o_orderdate) + INTERVAL 365 DAYS AS valid_to, count(*) AS n
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_custkey, l_suppkey
 """
-PATH_EDGES = ALL_EDGES.replace("GROUP BY", "WHERE l_quantity = 50 AND l_returnflag = 'R' GROUP BY")
-
 
 def path_requests(spark, sf_dir) -> DataFrame:
-    """A request between every two suppliers of one customer, and from each such supplier to the next by number."""
-    e = path_edges(spark, sf_dir).select("subject_id", "object_id")
-    pairs = e.join(e.select("subject_id", F.col("object_id").alias("target_id")), "subject_id").where("object_id < target_id")
-    next_one = e.select("object_id", F.concat(F.lit("s"), F.substring("object_id", 2, 20).cast("long") + 1).alias("target_id"))
+    """A request from each supplier to the one with the next number, and to the customer with its own."""
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"))
+    target = F.explode(F.array(F.concat(F.lit("s"), F.col("k") + 1), F.concat(F.lit("c"), F.col("k"))))
+    rows = s.select(F.concat(F.lit("s"), "k").alias("source_id"), target.alias("target_id"))
     none = F.lit(None).cast("timestamp_ntz")
-    rows = pairs.select("object_id", "target_id").unionByName(next_one).distinct()
-    return rows.select(F.concat_ws(">", "object_id", "target_id").alias("request_id"), F.col("object_id").alias("source_id"), "target_id", none.alias("from_time"), none.alias("to_time"), F.lit(10).alias("top"))
+    return rows.select(F.concat_ws(">", "source_id", "target_id").alias("request_id"), "source_id", "target_id", none.alias("from_time"), none.alias("to_time"), F.lit(5).alias("top"))
+
+
+PATH_REQUESTS = "SELECT 's' || k || '>' || t AS request_id, 's' || k AS source_id, t AS target_id, 5 AS top FROM (SELECT s_suppkey AS k, unnest(['s' || (s_suppkey + 1), 'c' || s_suppkey]) AS t FROM supplier)"
