@@ -9,7 +9,8 @@ from candela.functions.keys import fingerprint
 from candela.functions.predicates import dimensions_allowed
 from candela.functions.text import plain_number
 
-OPERATIONS = ["count", "distinct_geographies", "sum", "mean", "percent_change"]
+#: The operations that a request can name.
+OPERATIONS = ["count_observations", "count_distinct_geographies", "sum_values", "mean_values", "percent_change"]
 
 
 def exact_mean(total: Column, n: Column) -> Column:
@@ -26,7 +27,8 @@ def recalculate(observations: DataFrame, specs: DataFrame) -> DataFrame:
     them, dimension_filters and attribute_filters (maps of allowed values) go by
     the observations' maps dimensions and attributes (P5), and aggregation, sum
     or mean, tells what percent_change compares (else sums). Specs are requests
-    and join on the snapshot; errors are statuses, never missing rows.
+    and join on the snapshot; errors are statuses, never missing rows. An operation
+    that is none of OPERATIONS is UNKNOWN_OPERATION.
     """
     rows = specs.join(observations.withColumnRenamed("dimension", "own_dimension"), "snapshot_id")
     rows = rows.where(F.col("dimension").isNull() | F.col("dimension").eqNullSafe(F.col("own_dimension")))
@@ -55,16 +57,18 @@ def recalculate(observations: DataFrame, specs: DataFrame) -> DataFrame:
     delta = (F.col("current_total") - F.col("base_total")).cast("decimal(38,12)")
     change = F.bround((F.try_divide(delta, F.abs(F.col("base_total")).cast("decimal(38,12)")) * 100).cast("decimal(38,16)"), 12)
     result = (
-        F.when(op == "count", zero("n"))
-        .when(op == "distinct_geographies", zero("geographies"))
-        .when(op == "sum", F.col("total").cast("decimal(38,12)"))
-        .when(op == "mean", exact_mean(F.col("total"), F.col("numeric")).cast("decimal(38,12)"))
+        F.when(op == "count_observations", zero("n"))
+        .when(op == "count_distinct_geographies", zero("geographies"))
+        .when(op == "sum_values", F.col("total").cast("decimal(38,12)"))
+        .when(op == "mean_values", exact_mean(F.col("total"), F.col("numeric")).cast("decimal(38,12)"))
         .when(op == "percent_change", change.cast("decimal(38,12)"))
     )
-    needs = op.isin("sum", "mean") & (F.coalesce("numeric", F.lit(0)) == 0)
+    sums = op.isin("sum_values", "mean_values")
+    needs = sums & (F.coalesce("numeric", F.lit(0)) == 0)
     absent = (op == "percent_change") & (F.col("base_total").isNull() | F.col("current_total").isNull())
-    status = F.when(needs | absent, "NO_NUMERIC").when((op == "percent_change") & (F.col("base_total") == 0), "ZERO_BASE").otherwise("OK")
-    used = F.when(op == "percent_change", F.col("both")).when(op.isin("sum", "mean"), F.col("numeric")).otherwise(F.col("n"))
+    unknown = ~F.coalesce(op.isin(OPERATIONS), F.lit(False))
+    status = F.when(unknown, "UNKNOWN_OPERATION").when(needs | absent, "NO_NUMERIC").when((op == "percent_change") & (F.col("base_total") == 0), "ZERO_BASE").otherwise("OK")
+    used = F.when(unknown, F.lit(0)).when(op == "percent_change", F.col("both")).when(sums, F.col("numeric")).otherwise(F.col("n"))
     return full.select("spec_id", "operation", status.alias("status"), F.when(status == "OK", result).alias("result"), F.coalesce(used, F.lit(0)).alias("used"))
 
 
@@ -78,10 +82,10 @@ def run_log(specs: DataFrame, recalculated: DataFrame, engine_version: str) -> D
 
 
 def verify(recalculated: DataFrame, assertions: DataFrame) -> DataFrame:
-    """V3: VERIFIED within tolerance, REFUTED beyond it, INDETERMINATE where nothing could be calculated."""
+    """V3: VERIFIED within tolerance, REFUTED beyond it, INDETERMINATE where nothing could be calculated, UNKNOWN_OPERATION as such."""
     rows = assertions.join(recalculated, "spec_id", "left")
     delta = (F.col("result") - F.col("asserted")).cast("decimal(38,12)")
-    verdict = F.when(F.col("status") != "OK", "INDETERMINATE").when(F.col("result").isNull(), "INDETERMINATE").when(F.abs(delta) <= F.col("tolerance"), "VERIFIED").otherwise("REFUTED")
+    verdict = F.when(F.col("status") == "UNKNOWN_OPERATION", "UNKNOWN_OPERATION").when(F.col("status") != "OK", "INDETERMINATE").when(F.col("result").isNull(), "INDETERMINATE").when(F.abs(delta) <= F.col("tolerance"), "VERIFIED").otherwise("REFUTED")
     return rows.select("assertion_id", "spec_id", verdict.alias("verdict"), delta.alias("delta"))
 
 

@@ -28,8 +28,8 @@ def _observations(spark, sf_dir):
 
 
 def _specs(spark):
-    """Five operations for each of five snapshots, without and with a dimension filter."""
-    ops = F.array(*[F.lit(x) for x in statistics.OPERATIONS])
+    """Five operations and an unknown one for each of five snapshots, without and with a dimension filter."""
+    ops = F.array(*[F.lit(x) for x in (*statistics.OPERATIONS, "median_values")])
     rows = spark.range(5).select(F.col("id").alias("snapshot_id"), F.posexplode(ops).alias("k", "operation"))
     rows = rows.withColumn("dimension", F.explode(F.array(F.lit(None).cast("string"), F.lit("1-URGENT"))))
     name = F.concat_ws("-", "snapshot_id", "operation", F.coalesce("dimension", F.lit("any")))
@@ -59,7 +59,7 @@ def _filtered(spark, sf_dir):
     allowed = lambda **kw: F.create_map(*[x for k, v in kw.items() for x in (F.lit(k), F.array(*[F.lit(i) for i in v]))]) if kw else F.create_map().cast("map<string,array<string>>")
     cases = [("none", {}, {}), ("segment", {"segment": ["BUILDING"]}, {}), ("tags", {"tags": ["1-URGENT", "P"]}, {}), ("both", {"segment": ["BUILDING", "MACHINERY"], "tags": ["F"]}, {"nation": ["1", "2", "3", "4", "5"]}), ("absent", {"region": ["None"]}, {}), ("unmet", {"region": ["EU"]}, {})]
     kinds = F.array(*[F.struct(F.lit(name).alias("name"), allowed(**d).alias("dimension_filters"), allowed(**a).alias("attribute_filters")) for name, d, a in cases])
-    ops = F.array(*[F.struct(F.lit(op).alias("operation"), F.lit(how).alias("aggregation")) for op, how in (("count", "sum"), ("mean", "sum"), ("percent_change", "sum"), ("percent_change", "mean"))])
+    ops = F.array(*[F.struct(F.lit(op).alias("operation"), F.lit(how).alias("aggregation")) for op, how in (("count_observations", "sum"), ("mean_values", "sum"), ("percent_change", "sum"), ("percent_change", "mean"))])
     specs = spark.range(5).select(F.col("id").alias("snapshot_id"), F.explode(kinds).alias("f")).select("*", F.explode(ops).alias("o")).select("snapshot_id", "f.*", "o.*")
     name = F.concat_ws("-", "snapshot_id", "operation", "aggregation", "name")
     specs = specs.select(name.alias("spec_id"), "snapshot_id", "operation", "aggregation", "dimension_filters", "attribute_filters", F.lit(None).cast("string").alias("dimension"), F.lit(1996).cast("long").alias("base_period"), F.lit(1999).cast("long").alias("current_period"))

@@ -12,16 +12,16 @@ obs AS (
   FROM orders JOIN customer ON o_custkey = c_custkey
 ), specs AS (
   SELECT s.i || '-' || op || '-' || coalesce(dim, 'any') AS spec_id, s.i AS snapshot_id, op AS operation, dim
-  FROM range(5) s(i), (SELECT unnest(['count', 'distinct_geographies', 'sum', 'mean', 'percent_change']) AS op), (SELECT unnest([NULL, '1-URGENT']) AS dim)
+  FROM range(5) s(i), (SELECT unnest(['count_observations', 'count_distinct_geographies', 'sum_values', 'mean_values', 'percent_change', 'median_values']) AS op), (SELECT unnest([NULL, '1-URGENT']) AS dim)
 ), got AS (
   SELECT spec_id, any_value(operation) AS operation, count(geography) AS n, count(DISTINCT geography) AS geographies, count(number) AS numeric, sum(number) AS total,
     sum(number) FILTER (period = 1996) AS base, sum(number) FILTER (period = 1999) AS cur, count(geography) FILTER (period IN (1996, 1999)) AS both_n
   FROM specs LEFT JOIN obs ON obs.snapshot_id = specs.snapshot_id AND (dim IS NULL OR dim = obs.dimension) GROUP BY 1
 ), res AS (
-  SELECT spec_id, operation, CASE WHEN operation IN ('sum', 'mean') AND numeric = 0 OR operation = 'percent_change' AND (base IS NULL OR cur IS NULL) THEN 'NO_NUMERIC' WHEN operation = 'percent_change' AND base = 0 THEN 'ZERO_BASE' ELSE 'OK' END AS status,
-    CASE operation WHEN 'count' THEN CAST(n AS DOUBLE) WHEN 'distinct_geographies' THEN CAST(geographies AS DOUBLE) WHEN 'sum' THEN CAST(total AS DOUBLE) WHEN 'mean' THEN CAST(total AS DOUBLE) / numeric
+  SELECT spec_id, operation, CASE WHEN operation = 'median_values' THEN 'UNKNOWN_OPERATION' WHEN operation IN ('sum_values', 'mean_values') AND numeric = 0 OR operation = 'percent_change' AND (base IS NULL OR cur IS NULL) THEN 'NO_NUMERIC' WHEN operation = 'percent_change' AND base = 0 THEN 'ZERO_BASE' ELSE 'OK' END AS status,
+    CASE operation WHEN 'count_observations' THEN CAST(n AS DOUBLE) WHEN 'count_distinct_geographies' THEN CAST(geographies AS DOUBLE) WHEN 'sum_values' THEN CAST(total AS DOUBLE) WHEN 'mean_values' THEN CAST(total AS DOUBLE) / numeric
       ELSE (CAST(cur AS DOUBLE) - CAST(base AS DOUBLE)) / abs(CAST(base AS DOUBLE)) * 100 END AS value,
-    CASE WHEN operation = 'percent_change' THEN both_n WHEN operation IN ('sum', 'mean') THEN numeric ELSE n END AS used FROM got
+    CASE WHEN operation = 'median_values' THEN 0 WHEN operation = 'percent_change' THEN both_n WHEN operation IN ('sum_values', 'mean_values') THEN numeric ELSE n END AS used FROM got
 )
 """
 _NAMED = f"""
@@ -175,7 +175,7 @@ WITH obs AS (
     CASE WHEN o_orderstatus <> 'P' THEN CAST(CAST(CAST(o_totalprice AS DECIMAL(24,6)) AS DECIMAL(24,2)) AS DECIMAL(38,12)) END AS number
   FROM orders JOIN customer ON o_custkey = c_custkey
 ), specs AS (
-  SELECT s.i AS snapshot_id, op, how, f FROM range(5) s(i), (VALUES ('count', 'sum'), ('mean', 'sum'), ('percent_change', 'sum'), ('percent_change', 'mean')) o(op, how),
+  SELECT s.i AS snapshot_id, op, how, f FROM range(5) s(i), (VALUES ('count_observations', 'sum'), ('mean_values', 'sum'), ('percent_change', 'sum'), ('percent_change', 'mean')) o(op, how),
     (VALUES ('none'), ('segment'), ('tags'), ('both'), ('absent'), ('unmet')) t(f)
 ), got AS (
   SELECT specs.snapshot_id, op, how, f, count(c_nationkey) AS n, count(number) AS numeric, CAST(sum(number) AS DOUBLE) AS total, count(c_nationkey) FILTER (period IN (1996, 1999)) AS both_n,
@@ -184,14 +184,14 @@ WITH obs AS (
     WHEN 'both' THEN seg IN ('BUILDING', 'MACHINERY') AND st = 'F' AND c_nationkey BETWEEN 1 AND 5 WHEN 'unmet' THEN false ELSE true END
   GROUP BY ALL
 ), r AS (
-  SELECT *, CASE WHEN op = 'mean' AND numeric = 0 OR op = 'percent_change' AND (b IS NULL OR c IS NULL) THEN 'NO_NUMERIC' ELSE 'OK' END AS status,
+  SELECT *, CASE WHEN op = 'mean_values' AND numeric = 0 OR op = 'percent_change' AND (b IS NULL OR c IS NULL) THEN 'NO_NUMERIC' ELSE 'OK' END AS status,
     CASE WHEN how = 'mean' THEN b / bn ELSE b END AS base, CASE WHEN how = 'mean' THEN c / cn ELSE c END AS cur FROM got
 )
 SELECT snapshot_id || '-' || op || '-' || how || '-' || f AS spec_id, snapshot_id, op AS operation, '1' AS engine_version, status,
-  CASE WHEN status = 'OK' THEN round(CASE op WHEN 'count' THEN n WHEN 'mean' THEN total / numeric ELSE (cur - base) / base * 100 END, 4) END AS result,
-  CASE op WHEN 'count' THEN n WHEN 'mean' THEN numeric ELSE both_n END AS used
+  CASE WHEN status = 'OK' THEN round(CASE op WHEN 'count_observations' THEN n WHEN 'mean_values' THEN total / numeric ELSE (cur - base) / base * 100 END, 4) END AS result,
+  CASE op WHEN 'count_observations' THEN n WHEN 'mean_values' THEN numeric ELSE both_n END AS used
 FROM r""",
     "verify_assertions": f"""WITH {_OBS}
-SELECT spec_id || '/' || k AS assertion_id, spec_id, CASE WHEN status <> 'OK' THEN 'INDETERMINATE' WHEN off <= 0.5 THEN 'VERIFIED' ELSE 'REFUTED' END AS verdict, CASE WHEN status = 'OK' THEN -off END AS delta
+SELECT spec_id || '/' || k AS assertion_id, spec_id, CASE WHEN status = 'UNKNOWN_OPERATION' THEN status WHEN status <> 'OK' THEN 'INDETERMINATE' WHEN off <= 0.5 THEN 'VERIFIED' ELSE 'REFUTED' END AS verdict, CASE WHEN status = 'OK' THEN -off END AS delta
 FROM res, (SELECT unnest([0, 1, 2]) AS k, unnest([0.0, 0.4, 2.0]) AS off)""",
 }

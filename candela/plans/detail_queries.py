@@ -67,7 +67,7 @@ def case_synthetic(spark, sf_dir):
     cases = customers.select(F.col("c_custkey").alias("case_id"))
     case_claims = orders.select(F.col("o_custkey").alias("case_id"), F.col("o_orderkey").alias("claim_id"))
     evidence = line.select(F.col("l_orderkey").alias("claim_id"), F.col("l_suppkey").alias("source_record_id"))
-    records = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("source_record_id"), F.col("s_nationkey").alias("source_id"), (F.col("s_suppkey") % 50 == 0).alias("is_demo"))
+    records = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("source_record_id"), F.col("s_nationkey").alias("source_id"))
     sources = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("source_id"), (F.col("n_nationkey") == 7).alias("is_demo"))
     return detail.synthetic_cases(cases, case_claims, evidence, records, sources)
 
@@ -83,14 +83,14 @@ def claim_shapes(spark, sf_dir):
 def source_registry(spark, sf_dir):
     """customers' accounts as sources, of which some are known and some are seeds."""
     c = table(spark, sf_dir, "customer")
-    existing = c.where("c_custkey % 3 <> 0").select(F.col("c_name").alias("code"), _tag("s", "c_custkey").alias("source_id"), F.lit("old").alias("name"), F.lit("old").alias("url"))
-    seeds = c.where("c_custkey % 4 <> 0").select(F.col("c_name").alias("code"), F.col("c_mktsegment").alias("name"), F.when(F.col("c_custkey") % 5 != 0, _tag("u", "c_custkey")).alias("url"))
+    existing = c.where("c_custkey % 3 <> 0").select(F.col("c_name").alias("code"), _tag("s", "c_custkey").alias("source_id"), F.lit("old").alias("name"), F.lit("old").alias("url"), F.lit("old").alias("publisher"), F.lit("OLD").alias("source_type"), (F.col("c_custkey") % 2 == 0).alias("is_active"))
+    seeds = c.where("c_custkey % 4 <> 0").select(F.col("c_name").alias("code"), F.col("c_mktsegment").alias("name"), F.when(F.col("c_custkey") % 5 != 0, _tag("u", "c_custkey")).alias("url"), _tag("p", "c_nationkey").alias("publisher"), F.when(F.col("c_custkey") % 7 != 0, "REGISTER").alias("source_type"), F.when(F.col("c_custkey") % 11 != 0, F.col("c_custkey") % 3 == 0).alias("is_active"))
     return detail.upsert_sources(existing, seeds)
 
 
 def _jobs(spark, sf_dir):
     status = F.when(F.col("event_type") == "error", "FAILED").when(F.col("event_type") == "purchase", "SUCCEEDED").when(F.col("event_type") == "signup", "PARTIAL").otherwise("RUNNING")
-    log = table(spark, sf_dir, "events").select(F.concat_ws("/", "user_id", F.date_format("ts", "yyyy-MM-dd")).alias("job_id"), F.col("event_id").alias("seq"), F.col("ts").alias("at"), status.alias("status"))
+    log = table(spark, sf_dir, "events").select(F.concat_ws("/", "user_id", F.date_format("ts", "yyyy-MM-dd")).alias("job_id"), F.col("event_id").alias("seq"), F.col("ts").alias("at"), status.alias("status"), F.col("user_id").alias("source_record_id"), _tag("a", "event_id").alias("raw_artifact_id"), F.when(F.col("event_type") == "error", F.col("props")).alias("error"))
     return detail.current_jobs(log)
 
 
@@ -124,9 +124,11 @@ def tender_parties(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (edge_bundle, entity_detail, edge_claims, case_synthetic, claim_shapes, source_registry, job_log, audit_append, tender_parties)}
 
 _JOBS = """
-l AS (SELECT user_id || '/' || strftime(ts, '%Y-%m-%d') AS job_id, event_id, ts, CASE event_type WHEN 'error' THEN 'FAILED' WHEN 'purchase' THEN 'SUCCEEDED' WHEN 'signup' THEN 'PARTIAL' ELSE 'RUNNING' END AS status FROM events),
-f AS (SELECT * FROM l WHERE status <> 'RUNNING' QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY ts, event_id) = 1),
-jobs AS (SELECT job_id, min(l.ts) AS started_at, any_value(f.ts) AS finished_at, coalesce(any_value(f.status), 'RUNNING') AS status, count(*) AS entries FROM l LEFT JOIN f USING (job_id) GROUP BY job_id)
+l AS (SELECT user_id || '/' || strftime(ts, '%Y-%m-%d') AS job_id, user_id, event_id, ts, props, CASE event_type WHEN 'error' THEN 'FAILED' WHEN 'purchase' THEN 'SUCCEEDED' WHEN 'signup' THEN 'PARTIAL' ELSE 'RUNNING' END AS status FROM events),
+f AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY ts DESC, event_id DESC) = 1),
+n AS (SELECT job_id, min(ts) AS started_at, count(*) AS entries FROM l GROUP BY job_id),
+jobs AS (SELECT job_id, started_at, CASE WHEN status <> 'RUNNING' THEN ts END AS finished_at, status, CASE WHEN status <> 'RUNNING' THEN user_id END AS source_record_id,
+  CASE WHEN status <> 'RUNNING' THEN 'a' || event_id END AS raw_artifact_id, CASE WHEN status = 'FAILED' THEN props END AS error, entries FROM f JOIN n USING (job_id))
 """
 _LATEST = "SELECT * FROM ({rows}) WHERE ts <= TIMESTAMP '" + CUTOFF + "' QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY ts DESC, event_id DESC) = 1"
 ORACLE_SQL = {
@@ -155,7 +157,7 @@ SELECT e.l_orderkey AS source_record_id, e.l_partkey AS subject_id, e.l_suppkey
 FROM e
 """,
     "case_synthetic": """
-SELECT c_custkey AS case_id, count(s_suppkey) AS evidence, coalesce(bool_or(s_suppkey % 50 = 0 OR s_nationkey = 7), false) AS synthetic
+SELECT c_custkey AS case_id, count(s_suppkey) AS evidence, coalesce(bool_or(s_nationkey = 7), false) AS synthetic
 FROM customer LEFT JOIN orders ON o_custkey = c_custkey LEFT JOIN lineitem ON l_orderkey = o_orderkey LEFT JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1
 """,
     "claim_shapes": """
@@ -164,7 +166,9 @@ UNION ALL SELECT l_orderkey || '/' || l_linenumber, 'evidence_without_citation'
 """,
     "source_registry": """
 SELECT c_name AS code, CASE WHEN c_custkey % 3 <> 0 THEN 's' || c_custkey ELSE sha256('=' || c_name) END AS source_id, CASE WHEN c_custkey % 4 <> 0 THEN c_mktsegment ELSE 'old' END AS name,
-  CASE WHEN c_custkey % 4 <> 0 AND c_custkey % 5 <> 0 THEN 'u' || c_custkey WHEN c_custkey % 3 <> 0 THEN 'old' END AS url,
+  CASE WHEN c_custkey % 4 = 0 THEN 'old' WHEN c_custkey % 5 <> 0 THEN 'u' || c_custkey END AS url,
+  CASE WHEN c_custkey % 4 = 0 THEN 'old' ELSE 'p' || c_nationkey END AS publisher, CASE WHEN c_custkey % 4 = 0 THEN 'OLD' WHEN c_custkey % 7 <> 0 THEN 'REGISTER' END AS source_type,
+  CASE WHEN c_custkey % 4 = 0 THEN c_custkey % 2 = 0 WHEN c_custkey % 11 <> 0 THEN c_custkey % 3 = 0 ELSE true END AS is_active,
   CASE WHEN c_custkey % 3 = 0 THEN 'CREATED' WHEN c_custkey % 4 = 0 THEN 'KEPT' ELSE 'UPDATED' END AS action
 FROM customer WHERE c_custkey % 3 <> 0 OR c_custkey % 4 <> 0
 """,

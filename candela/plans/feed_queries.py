@@ -144,11 +144,14 @@ def src_procurement(spark, sf_dir):
 
 
 def src_lei(spark, sf_dir):
-    """Customers as LEI records."""
+    """Customers as LEI payloads, of which some are lists."""
     c = table(spark, sf_dir, "customer")
     e = F.struct(F.struct(F.when(F.col("c_custkey") % 8 != 0, F.col("c_name")).alias("name")).alias("legalName"), F.when(F.col("c_custkey") % 3 != 0, F.concat(F.lit("N"), "c_nationkey")).alias("legalJurisdiction"), F.lit("ACTIVE").alias("status"), F.lit("2020-02-03T00:00:00Z").alias("creationDate"), F.struct(F.concat(F.lit("A"), "c_nationkey").alias("country")).alias("legalAddress"))
-    rows = c.select(F.struct(F.col("c_custkey").cast("string").alias("id"), F.struct(F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("L"), "c_custkey")).alias("lei"), e.alias("entity")).alias("attributes")).alias("data"))
-    return registers.lei_records(_through_json(rows, registers.LEI)).select("lei", "name", "jurisdiction", "created")
+    record = F.struct(F.when(F.col("c_custkey") % 2 == 1, F.col("c_custkey").cast("string")).alias("id"), F.struct(F.concat(F.lit("L"), "c_custkey").alias("lei"), e.alias("entity")).alias("attributes"))
+    payload = F.when(F.col("c_custkey") % 5 == 0, F.to_json(F.struct(F.array(record).alias("data")))).when(F.col("c_custkey") % 7 == 0, F.lit('{"data":[]}')).otherwise(F.to_json(F.struct(record.alias("data"))))
+    records, problems = registers.lei_payloads(staged(c.select(payload.alias("payload")), "lei"))
+    none = F.lit(None).cast("string")
+    return records.select("lei", "name", "jurisdiction", "created", none.alias("problem")).unionByName(problems.select(none.alias("lei"), none.alias("name"), none.alias("jurisdiction"), F.lit(None).cast("date").alias("created"), F.col("reason").alias("problem")))
 
 
 def src_lei_parents(spark, sf_dir):
@@ -172,7 +175,11 @@ def src_tender_rows(spark, sf_dir):
         F.lit(',"total-value":"'), F.replace(F.col("total_value").cast("string"), F.lit("."), F.lit(",")), F.lit('","total-value-cur":"euro","winner-name":'),
         F.when(key % 2 == 0, F.to_json("winners")).otherwise(F.to_json(F.struct(F.col("winners").alias("eng")))), F.lit("}"),
     )
-    rows = registers.tender_rows(n.select(payload.alias("payload")))
+    # Twenty rows a payload, under one of four names or one level deeper.
+    group = F.floor(key / 20)
+    listed = n.select(group.alias("g"), payload.alias("row")).groupBy("g").agg(F.concat(F.lit("["), F.array_join(F.collect_list("row"), ","), F.lit("]")).alias("rows"))
+    shape = F.element_at(F.array(F.lit('{"notices":#}'), F.lit('{"data":{"results":#}}'), F.lit('{"items":#}'), F.lit('{"data":#}'), F.lit('{"results":{"items":#},"data":[]}')), (F.col("g") % 5 + 1).cast("int"))
+    rows = registers.tender_rows(registers.tender_payload_rows(listed.select(F.replace(shape, F.lit("#"), F.col("rows")).alias("payload"))))
     return rows.select("publication_number", "title", "total_value", "currency", F.size("winners").cast("long").alias("n_winners"), F.array_join(F.transform("winners", lambda w: w["name"]), ",").alias("winners"))
 
 

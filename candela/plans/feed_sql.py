@@ -93,7 +93,10 @@ cited AS (SELECT owned, min(position) AS position FROM r WHERE p % 9 = 0 GROUP B
             ("entity", "CONTRACT", "k", {"a": "notice_id", "b": "notice_id"}),
         ],
     ),
-    "src_lei": "SELECT CASE WHEN c_custkey % 2 = 0 THEN 'L' || c_custkey ELSE CAST(c_custkey AS VARCHAR) END AS lei, c_name AS name, CASE WHEN c_custkey % 3 <> 0 THEN 'N' ELSE 'A' END || c_nationkey AS jurisdiction, DATE '2020-02-03' AS created FROM customer WHERE c_custkey % 8 <> 0",
+    "src_lei": """
+WITH c AS (SELECT *, CASE WHEN c_custkey % 5 <> 0 AND c_custkey % 7 = 0 THEN 'payload holds no record' WHEN c_custkey % 8 = 0 THEN 'record lacks LEI or legal name' END AS problem FROM customer)
+SELECT CASE WHEN problem IS NULL THEN CASE WHEN c_custkey % 2 = 0 THEN 'L' || c_custkey ELSE CAST(c_custkey AS VARCHAR) END END AS lei, CASE WHEN problem IS NULL THEN c_name END AS name,
+  CASE WHEN problem IS NULL THEN CASE WHEN c_custkey % 3 <> 0 THEN 'N' ELSE 'A' END || c_nationkey END AS jurisdiction, CASE WHEN problem IS NULL THEN DATE '2020-02-03' END AS created, problem FROM c""",
     "src_lei_parents": """
 WITH c AS (SELECT c_custkey AS k, (SELECT max(c_custkey) FROM customer) AS m FROM customer)
 SELECT 'DIRECT_PARENT' AS kind, CASE WHEN k % 3 = 0 THEN 'NOT_REPORTED' ELSE 'EDGE' END AS status, count(*) AS rows FROM c GROUP BY 2

@@ -35,7 +35,7 @@ def lei_records(payloads: DataFrame) -> DataFrame:
     a = F.col("data.attributes")
     e = a["entity"]
     rows = payloads.select(
-        F.coalesce(F.nullif(a["lei"], F.lit("")), F.col("data.id")).alias("lei"),
+        F.coalesce(F.nullif(F.col("data.id"), F.lit("")), a["lei"]).alias("lei"),
         F.nullif(e["legalName"]["name"], F.lit("")).alias("name"),
         F.coalesce(F.nullif(e["legalJurisdiction"], F.lit("")), e["legalAddress"]["country"]).alias("jurisdiction"),
         e["status"].alias("status"),
@@ -45,6 +45,26 @@ def lei_records(payloads: DataFrame) -> DataFrame:
     return rows.where("lei is not null and name is not null")
 
 
+#: The record of a LEI payload.
+_LEI_RECORD = LEI.removeprefix("data ")
+
+
+def lei_payloads(payloads: DataFrame, column: str = "payload") -> tuple[DataFrame, DataFrame]:
+    """(records, problems) of JSON texts whose `data` is a record or a list of which the first is meant.
+
+    A payload without a record, or whose record lacks LEI or legal name, is a
+    problem, with the payload.
+    """
+    v = F.try_parse_json(F.col(column))
+    record = F.coalesce(F.try_variant_get(v, "$.data[0]", _LEI_RECORD), F.try_variant_get(v, "$.data", _LEI_RECORD))
+    rows = payloads.withColumn("data", record)
+    e = F.col("data.attributes.entity")
+    named = F.coalesce(F.nullif(F.col("data.id"), F.lit("")), F.nullif(F.col("data.attributes.lei"), F.lit(""))).isNotNull() & F.nullif(e["legalName"]["name"], F.lit("")).isNotNull()
+    reason = F.when(F.col("data").isNull(), "payload holds no record").when(~F.coalesce(named, F.lit(False)), "record lacks LEI or legal name")
+    marked = rows.withColumn("reason", reason)
+    return lei_records(marked.where("reason is null")), marked.where("reason is not null").select(column, "reason")
+
+
 def lei_parents(children: DataFrame, parents: DataFrame) -> DataFrame:
     """Direct and ultimate parent edges for children (lei, direct_parent, ultimate_parent); a missing parent gives a note."""
     kinds = F.array(F.struct(F.lit("DIRECT_PARENT").alias("kind"), F.col("direct_parent").alias("parent")), F.struct(F.lit("ULTIMATE_PARENT").alias("kind"), F.col("ultimate_parent").alias("parent")))
@@ -80,16 +100,43 @@ def parties(names: Column, identifiers: Column, countries: Column) -> Column:
     return F.filter(named, lambda p: p["name"].isNotNull() | p["identifier"].isNotNull())
 
 
+#: Where a tender payload has its rows, in this order; the first three also inside one of the four.
+ROW_LISTS = ("notices", "results", "items", "data")
+
+
+def tender_payload_rows(payloads: DataFrame, column: str = "payload") -> DataFrame:
+    """The rows of tender payloads as JSON texts, with their place; the first list under one of four names counts.
+
+    A name may hold an object that has the list instead. Elements that are no
+    objects are left out; a payload without a list has no rows.
+    """
+    v = F.col("__v")
+    at = lambda path: F.try_variant_get(v, f"$.{path}", "array<variant>")
+    # Parsing a list of another kind gives null, so the order of tries is the order of names.
+    tries = [at(p) for name in ROW_LISTS for p in (name, *(f"{name}.{inner}" for inner in ROW_LISTS[:3]))]
+    rows = payloads.withColumn("__v", F.try_parse_json(F.col(column))).select(F.col(column).alias("__source"), F.posexplode(F.coalesce(*tries)).alias("position", "__row"))
+    text = F.to_json(F.col("__row"))
+    return rows.select(F.col("__source").alias("source"), "position", text.alias(column)).where(F.col(column).startswith("{"))
+
+
+def tender_problems(rows: DataFrame, column: str = "payload") -> DataFrame:
+    """Rows that name no notice."""
+    v = F.try_parse_json(F.col(column))
+    return rows.where(F.coalesce(scalar(v, "['publication-number']"), scalar(v, "['notice-identifier']")).isNull()).withColumn("reason", F.lit("row names no notice"))
+
+
 def tender_rows(payloads: DataFrame, column: str = "payload") -> DataFrame:
     """Tender notices from rows of JSON text whose fields are texts, lists or language maps."""
     v = F.col("__v")
     rows = payloads.withColumn("__v", F.try_parse_json(F.col(column)))
     return rows.select(
         F.coalesce(scalar(v, "['publication-number']"), scalar(v, "['notice-identifier']")).alias("publication_number"),
-        F.coalesce(scalar(v, "['notice-title']"), scalar(v, "['title']")).alias("title"),
+        F.coalesce(scalar(v, "['notice-title']"), scalar(v, "['title-proc']"), F.concat(F.lit("TED notice "), F.coalesce(scalar(v, "['publication-number']"), scalar(v, "['notice-identifier']")))).alias("title"),
+        scalar(v, "['procedure-identifier']").alias("procedure_identifier"),
         loose_date(scalar(v, "['publication-date']")).alias("publication_date"),
-        loose_decimal(scalar(v, "['total-value']")).alias("total_value"),
-        currency_code(scalar(v, "['total-value-cur']")).alias("currency"),
+        loose_date(scalar(v, "['winner-decision-date']")).alias("decision_date"),
+        F.coalesce(loose_decimal(scalar(v, "['result-value-notice']")), loose_decimal(scalar(v, "['total-value']"))).alias("total_value"),
+        currency_code(F.coalesce(scalar(v, "['result-value-cur-notice']"), scalar(v, "['total-value-cur']"))).alias("currency"),
         parties(strings(v, "['buyer-name']"), strings(v, "['buyer-identifier']"), strings(v, "['buyer-country']")).alias("buyers"),
         parties(strings(v, "['winner-name']"), strings(v, "['winner-identifier']"), strings(v, "['winner-country']")).alias("winners"),
     ).where("publication_number is not null")

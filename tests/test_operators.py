@@ -168,9 +168,9 @@ def test_resolution_order(spark):
 def test_recalculation_cases(spark):
     obs = spark.createDataFrame([(1, "x", 2000, Decimal(100), "a"), (1, "y", 2000, Decimal(116), "a"), (1, "x", 2001, None, "b"), (2, "x", 2000, Decimal(0), "a"), (2, "x", 2001, Decimal(5), "a")], "snapshot_id int, geography string, period long, number decimal(38,12), dimension string")
     spec = "spec_id string, snapshot_id int, operation string, dimension string, base_period long, current_period long"
-    specs = spark.createDataFrame([("sum", 1, "sum", None, 0, 0), ("mean", 1, "mean", "a", 0, 0), ("none", 1, "sum", "b", 0, 0), ("zero", 2, "percent_change", None, 2000, 2001), ("gap", 1, "percent_change", None, 2000, 2001), ("empty", 9, "count", None, 0, 0)], spec)
+    specs = spark.createDataFrame([("sum", 1, "sum_values", None, 0, 0), ("mean", 1, "mean_values", "a", 0, 0), ("none", 1, "sum_values", "b", 0, 0), ("odd", 1, "sum", None, 0, 0), ("null", 1, None, None, 0, 0), ("zero", 2, "percent_change", None, 2000, 2001), ("gap", 1, "percent_change", None, 2000, 2001), ("empty", 9, "count_observations", None, 0, 0)], spec)
     got = {r.spec_id: (r.status, r.result) for r in statistics.recalculate(obs, specs).collect()}
-    assert got == {"sum": ("OK", Decimal(216)), "mean": ("OK", Decimal(108)), "none": ("NO_NUMERIC", None), "zero": ("ZERO_BASE", None), "gap": ("NO_NUMERIC", None), "empty": ("OK", Decimal(0))}
+    assert got == {"sum": ("OK", Decimal(216)), "mean": ("OK", Decimal(108)), "none": ("NO_NUMERIC", None), "zero": ("ZERO_BASE", None), "gap": ("NO_NUMERIC", None), "empty": ("OK", Decimal(0)), "odd": ("UNKNOWN_OPERATION", None), "null": ("UNKNOWN_OPERATION", None)}
 
 
 def test_wealth_bridge(spark):
@@ -381,9 +381,9 @@ def test_export_paths_ignore_time(spark):
 
 
 def test_request_rules(spark):
-    rows = spark.createDataFrame([("percent_change", 1, 1), ("percent_change", 1, 2), ("sum", None, None)], "operation string, base_period int, current_period int")
+    rows = spark.createDataFrame([("percent_change", 1, 1), ("percent_change", 1, 2), ("sum_values", None, None), ("sum", None, None)], "operation string, base_period int, current_period int")
     good, bad = quality.split(rows, quality.recalculation_rules())
-    assert good.count() == 2 and bad.count() == 1
+    assert good.count() == 2 and [r.broken for r in bad.orderBy("operation").collect()] == [["periods"], ["operation"]]
 
 
 def test_literal_claims_are_kept_once(spark):
