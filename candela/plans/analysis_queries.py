@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from candela.functions.predicates import dimensions_match, not_restricted, overlaps, shown
 from candela.functions.text import drop_legal_forms, html_title, normalize_ascii, plain_number, strict_number
-from candela.operators import audit, cases, evidence, metrics, quality, resolution, statistics, wealth
+from candela.operators import audit, cases, evidence, metrics, quality, resolution, search, statistics, wealth
 from candela.plans.views import money, stamp, table
 from candela.session import staged
 
@@ -253,7 +253,22 @@ def identifier_type_clash(spark, sf_dir):
 def entity_search(spark, sf_dir):
     """ER10/F6/P7/P8/T1: terms from the nations' and types' words against part names."""
     q = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("query_id"), F.element_at(F.array(*[F.lit(x) for x in ("  RED  widget", "blue b", "small ring eco", "brand 17", "zzz")]), F.col("r_regionkey") + 1).alias("query"), F.when(F.col("r_regionkey") % 2 == 0, "ORGANIZATION").alias("entity_type"), F.lit(20).alias("top"))
-    rows = resolution.search(_named(spark, sf_dir), q)
+    rows = search.search(_named(spark, sf_dir), q)
+    return rows.select("query_id", "entity_id", "normalized_name", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+def entity_search_as_of(spark, sf_dir):
+    """ER10/W1/P4/P8/T1: every part type against the part names known at a cutoff, without demo rows."""
+    own = _named(spark, sf_dir).select("entity_id", "entity_type", "normalized_name", (F.col("entity_id") % 13 == 0).alias("is_demo"))
+    key = F.col("entity_id")
+    # Some names change before the cutoff, some after it, and some entities are deleted.
+    versions = F.array(
+        F.struct(F.lit(1).alias("version_id"), stamp("2024-01-01").alias("committed_at"), F.lit("INSERT").alias("operation"), F.lit("").alias("more")),
+        F.struct(F.lit(2).alias("version_id"), F.when(key % 8 < 4, stamp("2024-01-10")).otherwise(stamp("2024-02-10")).alias("committed_at"), F.when(key % 9 == 0, "DELETE").otherwise("UPDATE").alias("operation"), F.lit(" renewed").alias("more")),
+    )
+    log = own.select("*", F.explode(F.when(key % 4 == 0, versions).otherwise(F.slice(versions, 1, 1))).alias("v")).select("entity_id", "entity_type", F.concat("normalized_name", "v.more").alias("normalized_name"), "is_demo", "v.version_id", "v.committed_at", "v.operation")
+    q = table(spark, sf_dir, "part").select("p_type").distinct().select(F.col("p_type").alias("query_id"), F.concat(F.lit(" "), F.upper("p_type"), F.lit("  renewed")).alias("query"), F.lit(None).cast("string").alias("entity_type"), F.lit(10).alias("top"))
+    rows = search.search_as_of(log, q, stamp("2024-01-20"))
     return rows.select("query_id", "entity_id", "normalized_name", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -422,7 +437,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         recalculate_batch, recalculate_filtered, verify_assertions, page_completeness, dimension_filter, wealth_bridge, row_quality, row_quarantine, unresolved_references, validity_overlap,
-        restricted_evidence, name_normalization, name_candidates, review_queue, pair_scoring, identifier_resolution, identifier_upsert, identifier_type_clash, entity_search,
+        restricted_evidence, name_normalization, name_candidates, review_queue, pair_scoring, identifier_resolution, identifier_upsert, identifier_type_clash, entity_search, entity_search_as_of,
         legal_titles, evidence_manifest, evidence_missing, evidence_tampered, evidence_digest, artifact_upsert, import_idempotence, audit_chain_seal, audit_chain_check,
         case_state, public_releases, duty_violations, claim_review, validity_correction, parser_retirement, request_metrics, latency_percentiles, reconciliation_summary,
         keyset_page, history_topk, import_report, plain_numbers,

@@ -123,6 +123,18 @@ WITH {_NAMED}, q AS (
 )
 SELECT * FROM (SELECT query_id, entity_id, normalized_name, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, normalized_name, entity_id) AS rank
   FROM h JOIN named ON n = normalized_name WHERE (score >= 0.3 OR sub) AND (t IS NULL OR t = entity_type)) WHERE rank <= 20""",
+    "entity_search_as_of": f"""
+WITH {_NAMED}, live AS (
+  SELECT entity_id, normalized_name || CASE WHEN entity_id % 8 = 0 THEN ' renewed' ELSE '' END AS n FROM named WHERE NOT (entity_id % 8 = 0 AND entity_id % 9 = 0)
+), known AS (SELECT entity_id, n FROM live WHERE entity_id % 13 <> 0
+), q AS (SELECT p_type AS query_id, lower(p_type) || ' renewed' AS q FROM (SELECT DISTINCT p_type FROM part)
+), ng AS (
+  SELECT n, list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(n, '[^a-z0-9]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3))))) AS g FROM (SELECT DISTINCT n FROM known)
+), qg AS (
+  SELECT *, list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(q, '[^a-z0-9]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3))))) AS g FROM q
+), h AS (SELECT query_id, n, len(list_intersect(ng.g, qg.g)) / len(list_distinct(list_concat(ng.g, qg.g))) AS score, contains(n, q) AS sub FROM ng, qg)
+SELECT query_id, entity_id, n AS normalized_name, round(score, 6) AS score, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, n, entity_id) AS rank FROM h JOIN known USING (n) WHERE score >= 0.3 OR sub) WHERE rank <= 10""",
     "legal_titles": r"""SELECT page_id, nullif(trim(regexp_replace(replace(replace(replace(replace(replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '\s+', ' ', 'g')), '') AS title FROM pages""",
     "evidence_manifest": f"WITH {_MANIFEST} SELECT source, external_id, content_hash, byte_length, object_key FROM man",
     "evidence_missing": f"WITH {_MANIFEST} SELECT object_key, byte_length FROM man WHERE byte_length % 3 = 0",

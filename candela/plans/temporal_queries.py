@@ -176,7 +176,7 @@ def _paths_sql() -> str:
     parts = [
         f"WITH e AS ({views.ALL_EDGES})",
         "adj AS MATERIALIZED (SELECT a AS src, b AS dst, edge_id, valid_from, valid_to, n FROM e UNION ALL SELECT b, a, edge_id, valid_from, valid_to, n FROM e)",
-        f"req AS ({views.PATH_REQUESTS})",
+        f"req AS (SELECT * FROM ({views.PATH_REQUESTS}) WHERE target_id IN (SELECT src FROM adj))",
         "p0 AS (SELECT request_id, target_id, source_id AS tail, [source_id] AS nodes, CAST([] AS STRUCT(t TIMESTAMP, id VARCHAR)[]) AS keys, CAST(NULL AS TIMESTAMP) AS lo, CAST(NULL AS TIMESTAMP) AS hi, CAST(0 AS BIGINT) AS support, top AS need FROM req)",
     ]
     step = "request_id, target_id, dst AS tail, list_append(nodes, dst) AS nodes, list_append(keys, {'t': valid_from, 'id': edge_id}) AS keys, greatest(lo, valid_from) AS lo, least(hi, valid_to) AS hi, CAST(support + n AS BIGINT) AS support, need"
@@ -227,7 +227,7 @@ SELECT relation, count(*) AS edges, count(amount) AS with_amount, CAST(sum(amoun
     "temporal_paths": f"{_PATHS} SELECT request_id, row_number() OVER (PARTITION BY request_id ORDER BY hops, support DESC, found) AS rank, CAST(hops AS BIGINT) AS hops, array_to_string(nodes, '>') AS nodes, array_to_string(list_transform(keys, lambda k: k.id), '>') AS edge_ids, lo AS common_from, hi AS common_to, false AS uncertain, support FROM first",
     "paths_batch": f"""{_PATHS}, known AS (SELECT a AS id FROM e UNION SELECT b FROM e)
 SELECT r.request_id, CASE WHEN r.source_id NOT IN (SELECT id FROM known) OR r.target_id NOT IN (SELECT id FROM known) THEN 'UNKNOWN_ENTITY' WHEN count(f.found) = 0 THEN 'NO_PATH_FOUND' ELSE 'FOUND' END AS status,
-  count(f.found) AS paths, CAST(min(f.hops) AS BIGINT) AS fewest_hops FROM req r LEFT JOIN first f USING (request_id) GROUP BY r.request_id, r.source_id, r.target_id""",
+  count(f.found) AS paths, CAST(min(f.hops) AS BIGINT) AS fewest_hops FROM ({views.PATH_REQUESTS}) r LEFT JOIN first f USING (request_id) GROUP BY r.request_id, r.source_id, r.target_id""",
     "entity_summary": f"""
 WITH e AS ({views.ALL_EDGES}), ent AS (SELECT 'c' || c_custkey AS entity_id, 'PUBLIC_BODY' AS entity_type, c_name AS name FROM customer UNION ALL SELECT 's' || s_suppkey, 'ORGANIZATION', s_name FROM supplier),
 i AS (SELECT 'c' || o_custkey AS entity_id, count(DISTINCT o_orderpriority) AS identifiers FROM orders GROUP BY 1),

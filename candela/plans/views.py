@@ -136,12 +136,17 @@ FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_custkey, l_suppk
 """
 
 def path_requests(spark, sf_dir) -> DataFrame:
-    """A request from each supplier to the one with the next number, and to the customer with its own."""
-    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"))
-    target = F.explode(F.array(F.concat(F.lit("s"), F.col("k") + 1), F.concat(F.lit("c"), F.col("k"))))
-    rows = s.select(F.concat(F.lit("s"), "k").alias("source_id"), target.alias("target_id"))
+    """A request from each supplier to the one with the next number, and from each nation's first supplier to its first customer."""
+    s, c = table(spark, sf_dir, "supplier"), table(spark, sf_dir, "customer")
+    following = s.select(F.concat(F.lit("s"), F.col("s_suppkey")).alias("source_id"), F.concat(F.lit("s"), F.col("s_suppkey") + 1).alias("target_id"))
+    first = s.groupBy("s_nationkey").agg(F.min("s_suppkey").alias("s")).join(c.groupBy("c_nationkey").agg(F.min("c_custkey").alias("c")), F.col("s_nationkey") == F.col("c_nationkey"))
+    rows = following.unionByName(first.select(F.concat(F.lit("s"), "s").alias("source_id"), F.concat(F.lit("c"), "c").alias("target_id")))
     none = F.lit(None).cast("timestamp_ntz")
     return rows.select(F.concat_ws(">", "source_id", "target_id").alias("request_id"), "source_id", "target_id", none.alias("from_time"), none.alias("to_time"), F.lit(5).alias("top"))
 
 
-PATH_REQUESTS = "SELECT 's' || k || '>' || t AS request_id, 's' || k AS source_id, t AS target_id, 5 AS top FROM (SELECT s_suppkey AS k, unnest(['s' || (s_suppkey + 1), 'c' || s_suppkey]) AS t FROM supplier)"
+PATH_REQUESTS = """
+SELECT s || '>' || t AS request_id, s AS source_id, t AS target_id, 5 AS top FROM (
+  SELECT 's' || s_suppkey AS s, 's' || (s_suppkey + 1) AS t FROM supplier
+  UNION ALL SELECT 's' || s, 'c' || c FROM (SELECT s_nationkey AS n, min(s_suppkey) AS s FROM supplier GROUP BY 1) JOIN (SELECT c_nationkey AS n, min(c_custkey) AS c FROM customer GROUP BY 1) USING (n)
+)"""
