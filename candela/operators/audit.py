@@ -16,36 +16,44 @@ from candela.functions.keys import marked
 GENESIS = "0" * 64
 
 
-def _chained(at_chain: int, at_body: int):
-    """Rows of a partition sorted by chain and order, with the previous and their own hash."""
+def _chained(at_chain: int, at_body: int, at_head: int):
+    """Rows of a partition sorted by chain and order, with the previous and their own hash; a chain starts at its head."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, last = object(), GENESIS
         for batch in batches:
             previous, own = [], []
-            for chain, body in zip(batch.column(at_chain).to_pylist(), batch.column(at_body).to_pylist()):
+            for chain, body, head in zip(*(batch.column(k).to_pylist() for k in (at_chain, at_body, at_head))):
                 if chain != now:
-                    now, last = chain, GENESIS
+                    now, last = chain, head
                 previous.append(last)
                 last = hashlib.sha256(f"{last}|{body}".encode()).hexdigest()
                 own.append(last)
-            columns = [c for k, c in enumerate(batch.columns) if k != at_body]
-            names = [n for k, n in enumerate(batch.schema.names) if k != at_body]
+            columns = [c for k, c in enumerate(batch.columns) if k not in (at_body, at_head)]
+            names = [n for k, n in enumerate(batch.schema.names) if k not in (at_body, at_head)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(previous, pa.string()), pa.array(own, pa.string())], [*names, "previous_hash", "event_hash"])
 
     return run
 
 
-def seal(events: DataFrame, chain: str, order: str, payload: list[str]) -> DataFrame:
+def seal(events: DataFrame, chain: str, order: str, payload: list[str], heads: DataFrame | None = None) -> DataFrame:
     """ST6: each event with the previous hash and its own, which covers both.
 
+    heads (chain's column, event_hash) has the last hash of chains that go on.
+
     A chain is sequential by nature, so its events stream through one task in
     order, with one hash held; a log is keyed into chains by source or day.
     """
     body = F.concat_ws("|", *[marked(F.col(c)) for c in payload])
-    rows = events.withColumn("__body", body).repartition(chain).sortWithinPartitions(chain, order, "__body")
+    rows = events.withColumn("__body", body)
+    if heads is None:
+        rows = rows.withColumn("__head", F.lit(GENESIS))
+    else:
+        known = heads.select(F.col(chain).alias("__chain"), F.col("event_hash").alias("__hash"))
+        rows = rows.join(known, F.col(chain).eqNullSafe(F.col("__chain")), "left").select(*rows.columns, F.coalesce("__hash", F.lit(GENESIS)).alias("__head"))
+    rows = rows.repartition(chain).sortWithinPartitions(chain, order, "__body")
     schema = StructType([*events.schema.fields, StructField("previous_hash", StringType()), StructField("event_hash", StringType())])
-    return rows.mapInArrow(_chained(events.columns.index(chain), len(events.columns)), schema)
+    return rows.mapInArrow(_chained(events.columns.index(chain), len(events.columns), len(events.columns) + 1), schema)
 
 
 def check(sealed: DataFrame, chain: str, order: str, payload: list[str]) -> DataFrame:

@@ -264,7 +264,7 @@ def stream_ingest(spark, sf_dir):
     rows = _landed(spark, sf_dir, "documents").select(F.col("doc_id").alias("batch_id"), F.col("text").alias("payload"))
     for _ in range(2):
         jobs.ingest_envelopes(rows, out, fresh_path(spark, "ck")).awaitTermination()
-    return spark.read.parquet(f"{out}/rows").select("digest", "batch_id")
+    return jobs.committed(spark, out, jobs.ENVELOPES).select("digest", "batch_id")
 
 
 def stream_versions(spark, sf_dir):
@@ -281,7 +281,7 @@ def stream_audit_seal(spark, sf_dir):
     out = fresh_path(spark, "seal")
     rows = _landed(spark, sf_dir, "events").select("user_id", *PAYLOAD)
     jobs.seal_events(rows, "user_id", "event_id", PAYLOAD, out, fresh_path(spark, "ck")).awaitTermination()
-    return spark.read.parquet(out).select("user_id", "event_id", "previous_hash", "event_hash")
+    return jobs.committed(spark, out, jobs.sealed_schema(rows, "user_id", "event_id"))
 
 
 QUERIES = {

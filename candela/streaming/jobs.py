@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
 
+from candela.operators import audit
 from candela.operators.metrics import BOUNDS
 
 
@@ -17,32 +20,74 @@ def read_landing(spark: SparkSession, path: str, schema, files_per_batch: int |
     return reader.parquet(path)
 
 
+class BatchSink:
+    """Rows written by micro-batches, each visible as a whole or not at all.
+
+    A batch has a folder of its own under its token, which names the stream's
+    checkpoint and the batch, so a replay overwrites what the failed run left.
+    The receipt is one row in one file and comes last; readers join receipts,
+    so rows without one don't exist for them. A batch that has its receipt is
+    not written again.
+    """
+
+    def __init__(self, spark: SparkSession, out: str, schema: str, checkpoint: str):
+        self.spark, self.out, self.schema = spark, out, schema
+        self.stream = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+        spark.createDataFrame([], "committed_at timestamp, batch string").write.partitionBy("batch").mode("ignore").parquet(f"{out}/receipts")
+        for name in ("rows", "heads"):
+            spark.createDataFrame([], f"{schema}, batch string").limit(0).write.mode("ignore").parquet(f"{out}/{name}/batch=none")
+
+    def token(self, batch_id: int) -> str:
+        return f"{self.stream}-{batch_id:012d}"
+
+    def receipts(self) -> DataFrame:
+        return self.spark.read.schema("committed_at timestamp, batch string").parquet(f"{self.out}/receipts").select("batch")
+
+    def written(self, name: str = "rows", besides: str = "") -> DataFrame:
+        """Rows of batches that have their receipt, but one."""
+        rows = self.spark.read.schema(f"{self.schema}, batch string").parquet(f"{self.out}/{name}").where(F.col("batch") != besides)
+        return rows.join(self.receipts(), "batch")
+
+    def done(self, batch_id: int) -> bool:
+        return not self.receipts().where(F.col("batch") == self.token(batch_id)).isEmpty()
+
+    def write(self, rows: DataFrame, batch_id: int, name: str = "rows") -> DataFrame:
+        """Write a part of a batch over what a failed run left of it, and read it back."""
+        path = f"{self.out}/{name}/batch={self.token(batch_id)}"
+        rows.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(self.schema).parquet(path)
+
+    def commit(self, batch_id: int) -> None:
+        self.spark.range(1).select(F.current_timestamp().alias("committed_at")).coalesce(1).write.mode("overwrite").parquet(f"{self.out}/receipts/batch={self.token(batch_id)}")
+
+
+def committed(spark: SparkSession, out: str, schema: str) -> DataFrame:
+    """What a sink's readers see: the rows of batches with a receipt."""
+    receipts = spark.read.schema("committed_at timestamp, batch string").parquet(f"{out}/receipts").select("batch")
+    return spark.read.schema(f"{schema}, batch string").parquet(f"{out}/rows").join(receipts, "batch").drop("batch")
+
+
+ENVELOPES = "digest string, batch_id long, payload string"
+
+
 def ingest_envelopes(envelopes: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """ST1: envelopes (batch_id, payload) appended once per payload digest, the receipt last.
+    """ST1: envelopes (batch_id, payload), each payload digest once, whatever is replayed after which failure.
 
-    A replayed micro-batch finds its receipts and appends nothing.
+    Read them with committed(spark, out, ENVELOPES).
     """
+    sink = BatchSink(envelopes.sparkSession, out, ENVELOPES, checkpoint)
 
-    def one_batch(rows: DataFrame, _: int) -> None:
-        spark = rows.sparkSession
+    def one_batch(rows: DataFrame, number: int) -> None:
+        if sink.done(number):
+            return
         marked = rows.withColumn("digest", F.sha2("payload", 256))
         first = marked.groupBy("digest").agg(F.min_by(F.struct("batch_id", "payload"), "batch_id").alias("r")).select("digest", "r.*")
-        fresh = first.join(_receipts(spark, out), "digest", "left_anti").persist()
-        fresh.write.mode("append").parquet(f"{out}/rows")
-        fresh.select("digest").write.mode("append").parquet(f"{out}/receipts")
-        fresh.unpersist()
+        sink.write(first.join(sink.written(besides=sink.token(number)).select("digest"), "digest", "left_anti"), number)
+        sink.commit(number)
 
     return envelopes.writeStream.foreachBatch(one_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _receipts(spark: SparkSession, out: str) -> DataFrame:
-    """Digests that are done; an empty table before the first batch."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{out}/receipts")
-    if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-        return spark.read.schema("digest string").parquet(f"{out}/receipts")
-    return spark.createDataFrame([], "digest string")
-
-
 def append_versions(versions: DataFrame, out: str, checkpoint: str, cluster_id: str) -> StreamingQuery:
     """ST2/ST3: versions appended with one transaction per micro-batch and its receipt last.
 
@@ -90,29 +135,32 @@ def latest_windows(spark: SparkSession, out: str) -> DataFrame:
     return rows.groupBy("window_start", "route").agg(F.max_by(F.struct(*rest), "batch").alias("r")).select("window_start", "route", "r.*").drop("batch")
 
 
+def sealed_schema(events: DataFrame, chain: str, order: str) -> str:
+    """The columns of sealed events: the chain's key, of any type, the order and both hashes."""
+    return ", ".join(f"`{c}` {events.schema[c].dataType.simpleString()}" for c in (chain, order)) + ", previous_hash string, event_hash string"
+
+
 def seal_events(events: DataFrame, chain: str, order: str, payload: list[str], out: str, checkpoint: str) -> StreamingQuery:
-    """ST6: each micro-batch's events sealed after the chain's last hash, kept in state per chain."""
-    from collections.abc import Iterator
-
-    import pandas as pd
-
-    from candela.operators.audit import GENESIS
-
-    def extend(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        import hashlib
-
-        last = state.get[0] if state.exists else GENESIS
-        rows = pd.concat(list(frames)).sort_values(order)
-        made = []
-        for r in rows.to_dict("records"):
-            body = "|".join("~" if r[c] is None else f"={r[c]}" for c in payload)
-            own = hashlib.sha256(f"{last}|{body}".encode()).hexdigest()
-            made.append((key[0], r[order], last, own))
-            last = own
-        state.update((last,))
-        yield pd.DataFrame(made, columns=[chain, order, "previous_hash", "event_hash"])
-
-    kept = events.select(chain, order, *[c for c in payload if c not in (chain, order)])
-    schema = f"{chain} long, {order} long, previous_hash string, event_hash string"
-    sealed = kept.groupBy(chain).applyInPandasWithState(extend, schema, "last string", "append", "NoTimeout")
-    return sealed.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    """ST6: each micro-batch's events sealed after the last hash of their chain, exactly once.
+
+    The state is the head of each chain, a row in the folder of the batch that
+    last changed it. A batch's events are joined to their heads and stream
+    through sorted partitions with one hash held, so no chain is a frame, and a
+    key may have any type. An event that comes in a later batch is sealed after
+    those before it. Read the events with committed(spark, out, sealed_schema(...)).
+    """
+    sink = BatchSink(events.sparkSession, out, sealed_schema(events, chain, order), checkpoint)
+
+    def one_batch(rows: DataFrame, number: int) -> None:
+        if sink.done(number):
+            return
+        kept = rows.select(chain, order, *[c for c in payload if c not in (chain, order)])
+        heads = sink.written("heads", besides=sink.token(number)).groupBy(chain).agg(F.max_by("event_hash", "batch").alias("event_hash"))
+        own = sink.write(audit.seal(kept, chain, order, payload, heads).select(chain, order, "previous_hash", "event_hash"), number)
+        # The last of a chain is the one that no other follows.
+        followed = own.select(F.col(chain).alias("c"), F.col("previous_hash").alias("h"))
+        ends = own.join(followed, F.col(chain).eqNullSafe(F.col("c")) & (F.col("event_hash") == F.col("h")), "left_anti")
+        sink.write(ends, number, "heads")
+        sink.commit(number)
+
+    return events.writeStream.foreachBatch(one_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
