@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from candela.session import staged
+
 #: Fixed values: (state, action) pairs that are legal and the state they lead to.
 TRANSITIONS = {
     ("OPEN", "review"): "REVIEWED",
@@ -15,24 +20,110 @@ TRANSITIONS = {
 }
 
 
+#: All states, the one that cases begin in first.
+STATES = ["OPEN", *sorted(set(TRANSITIONS.values()) - {"OPEN"})]
+CHUNK = "case_id {key}, chunk int, n long, ends array<struct<state: int, accepted: long, published: long>>"
+
+
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (case_id, chunk, seq, action), sorted, as one map per chunk: for each state where the chunk's actions lead from it."""
+    step = [{action: STATES.index(to) for (state, action), to in TRANSITIONS.items() if state == own} for own in STATES]
+    published = STATES.index("PUBLISHED")
+    now, n, ends = None, 0, []
+
+    def told() -> pa.RecordBatch:
+        rows = [{"state": s, "accepted": a, "published": p} for s, a, p in ends]
+        kind = pa.list_(pa.struct([("state", pa.int32()), ("accepted", pa.int64()), ("published", pa.int64())]))
+        return pa.RecordBatch.from_arrays([pa.array([now[0]], key), pa.array([now[1]], pa.int32()), pa.array([n], pa.int64()), pa.array([rows], kind)], ["case_id", "chunk", "n", "ends"])
+
+    for batch in batches:
+        key = batch.schema.types[0]
+        for case, chunk, action in zip(*(batch.column(k).to_pylist() for k in (0, 1, 3))):
+            if now != (case, chunk):
+                if now:
+                    yield told()
+                now, n, ends = (case, chunk), 0, [[k, 0, 0] for k in range(len(STATES))]
+            n += 1
+            for end in ends:
+                to = step[end[0]].get(action)
+                if to is not None:
+                    end[0] = to
+                    end[1] += 1
+                    end[2] += to == published
+    if now:
+        yield told()
+
+
+def _moved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows (case_id, chunk, seq, action, start, published) as (case_id, seq, number, opens): accepted publications and what ends them."""
+    known = STATES.index("PUBLISHED")
+    now, state, number = None, 0, 0
+    for batch in batches:
+        out: list[tuple] = []
+        for case, chunk, seq, action, start, before in zip(*(c.to_pylist() for c in batch.columns)):
+            if now != (case, chunk):
+                now, state, number = (case, chunk), start, before
+            to = TRANSITIONS.get((STATES[state], action))
+            if to is not None:
+                if to == "PUBLISHED":
+                    number += 1
+                    out.append((case, seq, number, True))
+                elif state == known:
+                    out.append((case, seq, number, False))
+                state = STATES.index(to)
+        columns = list(zip(*out)) if out else [()] * 4
+        kinds = [batch.schema.types[0], batch.schema.types[2], pa.int64(), pa.bool_()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["case_id", "seq", "number", "opens"])
+
+
+def _chunks(events: DataFrame) -> DataFrame:
+    """The events with a chunk: ranges of (case_id, seq) of alike size, so a long case is in many of them."""
+    rows = events.select("case_id", "seq", "action").repartitionByRange("case_id", "seq")
+    return staged(rows.withColumn("chunk", F.spark_partition_id()).select("case_id", "chunk", "seq", "action"), "chunks")
+
+
+def _in_order(rows: DataFrame) -> DataFrame:
+    return rows.repartition("case_id", "chunk").sortWithinPartitions("case_id", "chunk", "seq")
+
+
+def _ends(chunks: DataFrame) -> DataFrame:
+    """Per case its chunks' maps folded in order: the end, and the state and publications at each chunk's start.
+
+    Maps from state to state combine whatever their chunks' sizes, so chunks are
+    folded apart; a case has at most as many as there are partitions.
+    """
+    maps = _in_order(chunks).mapInArrow(_folded, CHUNK.format(key=chunks.schema["case_id"].dataType.simpleString()))
+    per = maps.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("chunk", "n", "ends"))).alias("parts"))
+    zero = F.lit(0).cast("long")
+    start = F.struct(F.lit(0).alias("state"), zero.alias("accepted"), zero.alias("published"), zero.alias("n"), F.array().cast("array<struct<chunk: int, state: int, published: bigint>>").alias("starts"))
+
+    def step(acc, part):
+        end = F.get(part["ends"], acc["state"])
+        begin = F.struct(part["chunk"].alias("chunk"), acc["state"].alias("state"), acc["published"].alias("published"))
+        return F.struct(end["state"].alias("state"), (acc["accepted"] + end["accepted"]).alias("accepted"), (acc["published"] + end["published"]).alias("published"), (acc["n"] + part["n"]).alias("n"), F.concat(acc["starts"], F.array(begin)).alias("starts"))
+
+    return per.select("case_id", F.aggregate("parts", start, step).alias("end")).select("case_id", "end.*")
+
+
 def case_states(events: DataFrame) -> DataFrame:
     """Per case its state after its actions in order, how many were legal, and how often it was published.
 
-    events: case_id, seq, action. An illegal action changes nothing and counts
-    as rejected.
+    events: case_id, seq (unique in a case), action. An illegal action changes
+    nothing and counts as rejected.
     """
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("seq", "action"))), lambda x: x["action"])
-    rows = events.groupBy("case_id").agg(ordered.alias("actions"))
-    start = F.struct(F.lit("OPEN").alias("state"), F.lit(0).cast("long").alias("accepted"), F.lit(0).cast("long").alias("published"))
-
-    def step(acc, action):
-        to = F.lit(None).cast("string")
-        for (state, name), after in TRANSITIONS.items():
-            to = F.when((acc["state"] == state) & (action == name), F.lit(after)).otherwise(to)
-        return F.struct(F.coalesce(to, acc["state"]).alias("state"), (acc["accepted"] + to.isNotNull().cast("long")).alias("accepted"), (acc["published"] + F.coalesce(to == "PUBLISHED", F.lit(False)).cast("long")).alias("published"))
-
-    folded = rows.withColumn("end", F.aggregate("actions", start, step))
-    return folded.select("case_id", "end.state", "end.accepted", (F.size("actions") - F.col("end.accepted")).alias("rejected"), "end.published")
+    names = F.array(*[F.lit(s) for s in STATES])
+    return _ends(_chunks(events)).select("case_id", F.get(names, F.col("state")).alias("state"), "accepted", (F.col("n") - F.col("accepted")).alias("rejected"), "published")
+
+
+def case_releases(events: DataFrame) -> DataFrame:
+    """A row for each time a case was published: when, and when a withdrawal or an appeal ended it, if one did."""
+    chunks = _chunks(events)
+    starts = staged(_ends(chunks).select("case_id", F.explode("starts").alias("s")).select("case_id", "s.*"), "starts")
+    rows = _in_order(chunks.join(starts, ["case_id", "chunk"])).select("case_id", "chunk", "seq", "action", "state", "published")
+    kind = {f.name: f.dataType.simpleString() for f in events.schema.fields}
+    moves = rows.mapInArrow(_moved, f"case_id {kind['case_id']}, seq {kind['seq']}, number long, opens boolean")
+    at = lambda opens: F.max(F.when(F.col("opens") == opens, F.col("seq")))
+    return moves.groupBy("case_id", "number").agg(at(True).alias("published_at"), at(False).alias("withdrawn_at"))
 
 
 def public_releases(releases: DataFrame, limit: int = 100) -> DataFrame:

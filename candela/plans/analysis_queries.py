@@ -8,7 +8,7 @@ from candela.functions.predicates import dimensions_match, not_restricted, overl
 from candela.functions.text import drop_legal_forms, html_title, normalize_ascii, plain_number, strict_number
 from candela.operators import audit, cases, evidence, metrics, quality, resolution, search, statistics, wealth
 from candela.plans.views import money, stamp, table
-from candela.session import staged
+from candela.session import fresh_path, staged
 
 # ---- statistics
 
@@ -289,6 +289,28 @@ def evidence_manifest(spark, sf_dir):
     return evidence.manifest(_objects(spark, sf_dir))
 
 
+def evidence_write(spark, sf_dir):
+    """K1/V7: objects put, put again with some new ones, and put once more after the bytes of some have changed."""
+    own = _objects(spark, sf_dir)
+    store = evidence.EvidenceStore(spark, fresh_path(spark, "evidence"))
+    first = store.put(own.where("octet_length(content) % 3 <> 0"), "first")
+    second = store.put(own, "second")
+    # Bytes that change behind the store's back.
+    kept = store.objects()
+    for name in ("first", "second"):
+        rows = kept.where(F.col("put") == name).withColumn("content", F.when(F.col("byte_length") % 4 == 0, F.encode(F.lit("changed"), "UTF-8")).otherwise(F.col("content")))
+        staged(rows.drop("put"), "changed").write.mode("overwrite").parquet(f"{store.path}/objects/put={name}")
+    told = staged(store.changed().select("object_key", F.lit("CHANGED").alias("status")), "told")
+    third = store.put(own, "third")
+    none = store.changed().select("object_key", F.lit("STILL_CHANGED").alias("status"))
+    parts = [("1 put", first), ("2 put", second), ("3 check", told), ("4 put", third), ("5 check", none)]
+    out = None
+    for name, rows in parts:
+        rows = rows.select(F.lit(name).alias("step"), "object_key", "status")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def evidence_missing(spark, sf_dir):
     """V7/V8/K1: manifest rows that the store lacks."""
     own = evidence.manifest(_objects(spark, sf_dir))
@@ -347,6 +369,12 @@ def case_state(spark, sf_dir):
     return cases.case_states(table(spark, sf_dir, "events").select(F.col("user_id").alias("case_id"), F.col("event_id").alias("seq"), action.alias("action")))
 
 
+def case_releases(spark, sf_dir):
+    """Each publication of users' cases, with what ended it."""
+    action = F.when(F.col("event_type") == "view", "review").when(F.col("event_type") == "click", "publish").when(F.col("event_type") == "error", "appeal").when(F.col("event_type") == "signup", "withdraw").otherwise("note")
+    return cases.case_releases(table(spark, sf_dir, "events").select(F.col("user_id").alias("case_id"), F.col("event_id").alias("seq"), action.alias("action")))
+
+
 def public_releases(spark, sf_dir):
     """K6/T3."""
     o = table(spark, sf_dir, "orders")
@@ -437,7 +465,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         recalculate_batch, recalculate_filtered, verify_assertions, page_completeness, dimension_filter, wealth_bridge, row_quality, row_quarantine, unresolved_references, validity_overlap,
-        restricted_evidence, name_normalization, name_candidates, review_queue, pair_scoring, identifier_resolution, identifier_upsert, identifier_type_clash, entity_search, entity_search_as_of,
+        evidence_write, case_releases, restricted_evidence, name_normalization, name_candidates, review_queue, pair_scoring, identifier_resolution, identifier_upsert, identifier_type_clash, entity_search, entity_search_as_of,
         legal_titles, evidence_manifest, evidence_missing, evidence_tampered, evidence_digest, artifact_upsert, import_idempotence, audit_chain_seal, audit_chain_check,
         case_state, public_releases, duty_violations, claim_review, validity_correction, parser_retirement, request_metrics, latency_percentiles, reconciliation_summary,
         keyset_page, history_topk, import_report, plain_numbers,

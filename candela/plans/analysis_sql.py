@@ -137,6 +137,11 @@ SELECT query_id, entity_id, n AS normalized_name, round(score, 6) AS score, rank
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, n, entity_id) AS rank FROM h JOIN known USING (n) WHERE score >= 0.3 OR sub) WHERE rank <= 10""",
     "legal_titles": r"""SELECT page_id, nullif(trim(regexp_replace(replace(replace(replace(replace(replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&'), '\s+', ' ', 'g')), '') AS title FROM pages""",
     "evidence_manifest": f"WITH {_MANIFEST} SELECT source, external_id, content_hash, byte_length, object_key FROM man",
+    "evidence_write": f"""WITH {_MANIFEST}
+SELECT '1 put' AS step, object_key, 'STORED' AS status FROM man WHERE byte_length % 3 <> 0
+UNION ALL SELECT '2 put', object_key, CASE WHEN byte_length % 3 <> 0 THEN 'PRESENT' ELSE 'STORED' END FROM man
+UNION ALL SELECT '3 check', object_key, 'CHANGED' FROM man WHERE byte_length % 4 = 0
+UNION ALL SELECT '4 put', object_key, CASE WHEN byte_length % 4 = 0 THEN 'RESTORED' ELSE 'PRESENT' END FROM man""",
     "evidence_missing": f"WITH {_MANIFEST} SELECT object_key, byte_length FROM man WHERE byte_length % 3 = 0",
     "evidence_tampered": f"WITH {_MANIFEST} SELECT object_key, sha256(object_key) AS registered_hash FROM man WHERE byte_length % 4 = 0",
     "artifact_upsert": "SELECT source, doc_id % 300 AS external_id, max(doc_id) AS seq, arg_max(sha256(text), doc_id) AS content_hash FROM documents GROUP BY 1, 2",
@@ -161,6 +166,15 @@ s AS (
     FROM s JOIN e ON e.user_id = s.user_id AND e.i = s.i + 1)
 )
 SELECT user_id AS case_id, arg_max(state, i) AS state, max(accepted) AS accepted, max(i) - max(accepted) AS rejected, max(published) AS published FROM s GROUP BY 1""",
+    "case_releases": f"""
+WITH RECURSIVE e AS (SELECT user_id, event_id, {_ACTION} AS action, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events),
+s AS (
+  SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS i, CAST(NULL AS BIGINT) AS event_id, 'OPEN' AS before, 'OPEN' AS state FROM events
+  UNION ALL
+  SELECT user_id, i, event_id, state, coalesce(CASE state || '/' || action WHEN 'OPEN/review' THEN 'REVIEWED' WHEN 'REVIEWED/publish' THEN 'PUBLISHED' WHEN 'PUBLISHED/withdraw' THEN 'WITHDRAWN' WHEN 'PUBLISHED/appeal' THEN 'OPEN' WHEN 'WITHDRAWN/appeal' THEN 'OPEN' END, state)
+  FROM (SELECT s.user_id, e.i, e.event_id, s.state, e.action FROM s JOIN e ON e.user_id = s.user_id AND e.i = s.i + 1)
+), m AS (SELECT user_id, event_id, state = 'PUBLISHED' AS opens, lead(event_id) OVER (PARTITION BY user_id ORDER BY i) AS until FROM s WHERE before <> state AND 'PUBLISHED' IN (before, state))
+SELECT user_id AS case_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS number, event_id AS published_at, until AS withdrawn_at FROM m WHERE opens""",
     "public_releases": "SELECT o_orderkey AS release_id, o_orderpriority AS title, o_orderstatus AS summary, o_orderdate AS published_at FROM orders WHERE o_orderstatus <> 'P' ORDER BY o_orderdate DESC, o_orderkey LIMIT 100",
     "duty_violations": """
 SELECT * FROM (SELECT o_orderkey AS case_id, o_custkey % 7 AS creator, CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey % 7 END AS reviewer, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey % 5 END AS publisher FROM orders)

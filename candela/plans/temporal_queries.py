@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from candela.functions.predicates import live, verified_only
-from candela.operators import facts, graph, signals, temporal
+from candela.operators import facts, graph, signals, temporal, versions
 from candela.plans import views
-from candela.session import staged
-from candela.plans.views import table
+from candela.session import fresh_path, staged
+from candela.plans.views import money, stamp, table
 
 CUTOFF = "2024-01-15"
 
@@ -31,6 +31,38 @@ def snapshot_diff(spark, sf_dir):
     return temporal.snapshot_diff(temporal.snapshot(log, views.stamp(CUTOFF)), temporal.snapshot(log, views.stamp("2024-01-22")), "record_id", ["event_type", "value"])
 
 
+def asof_every_purchase(spark, sf_dir):
+    """What was live at the time of each purchase."""
+    log = views.version_log(spark, sf_dir)
+    cutoffs = log.where("event_type = 'purchase'").select(F.col("committed_at").alias("known_at")).distinct()
+    rows = temporal.as_of_many(temporal.knowledge_intervals(log), cutoffs)
+    return rows.groupBy("known_at").agg(F.count(F.lit(1)).alias("live"), F.sum("value").cast("decimal(34,6)").alias("total"))
+
+
+def version_capture(spark, sf_dir):
+    """Customers loaded three times into a version store: its images, and its snapshots before and after they are compacted."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("record_id"), F.col("c_mktsegment").alias("segment"), money("c_acctbal").alias("balance"))
+    key = F.col("record_id")
+    loads = [
+        c.where(key % 5 != 0),
+        c.where(key % 7 != 0).withColumn("balance", F.when(key % 3 == 0, F.col("balance") + 1).when(key % 11 == 0, F.lit(None)).otherwise(F.col("balance")).cast("decimal(24,6)")),
+        c.where(key % 2 == 0),
+    ]
+    store = versions.VersionStore(spark, fresh_path(spark, "versions"), "record_id", {"record_id": "bigint", "segment": "string", "balance": "decimal(24,6)"})
+    days = [f"2024-0{k}-01" for k in (1, 2, 3)]
+    for rows, day in zip(loads, days):
+        store.load(rows, stamp(day))
+    columns = ["record_id", "segment", "balance"]
+    part = lambda rows, name, operation: rows.select(F.lit(name).alias("part"), operation.alias("operation"), *columns)
+    out = staged(part(store.log(), "image", F.col("operation")), "images")
+    for day in days:
+        out = out.unionByName(staged(part(store.snapshot(stamp(day)), day, F.lit(None).cast("string")), "snapshot"))
+    store.compact(2)
+    for day in days[1:]:
+        out = out.unionByName(part(store.snapshot(stamp(day)), f"{day} compacted", F.lit(None).cast("string")))
+    return out
+
+
 def cutoff_status(spark, sf_dir):
     """orders' dates as cutoffs against a history from 1996 to 2001."""
     requests = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 10 != 0, F.col("o_orderdate")).alias("known_at"))
@@ -156,7 +188,7 @@ def edge_provenance(spark, sf_dir):
     return graph.provenance(edges, own, conflicts).select("edge_id", "observations", F.size("sources").cast("long").alias("records"), "conflicts")
 
 
-QUERIES = {f.__name__: f for f in (asof_snapshot, asof_many_cutoffs, snapshot_diff, cutoff_status, conflict_scan, conflict_signals, canonical_edges, numeric_mismatch, edge_support, fact_claims, money_flows, ownership_rows, award_rows, tender_builder, temporal_paths, paths_batch, entity_summary, verified_edges, graph_export, edge_provenance)}
+QUERIES = {f.__name__: f for f in (asof_snapshot, asof_many_cutoffs, asof_every_purchase, version_capture, snapshot_diff, cutoff_status, conflict_scan, conflict_signals, canonical_edges, numeric_mismatch, edge_support, fact_claims, money_flows, ownership_rows, award_rows, tender_builder, temporal_paths, paths_batch, entity_summary, verified_edges, graph_export, edge_provenance)}
 
 _SNAP = f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY committed_at DESC, version_id DESC) AS rn FROM ({views.LOG}) WHERE committed_at <= TIMESTAMP '@') WHERE rn = 1 AND operation <> 'DELETE')"
 _SCAN = f"""
@@ -199,6 +231,21 @@ ORACLE_SQL = {
 WITH v AS (SELECT *, lead(committed_at) OVER (PARTITION BY record_id ORDER BY committed_at) AS until FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY record_id, committed_at ORDER BY version_id DESC) AS rn FROM ({views.LOG})) WHERE rn = 1)),
 c AS (SELECT TIMESTAMP '2024-01-08' + to_days(CAST(i * 7 AS INTEGER)) AS known_at FROM range(4) t(i))
 SELECT known_at, count(*) AS live, CAST(sum(value) AS DECIMAL(34,6)) AS total FROM v JOIN c ON committed_at <= known_at AND (until IS NULL OR known_at < until) WHERE operation <> 'DELETE' GROUP BY 1""",
+    "asof_every_purchase": f"""
+WITH v AS (SELECT *, lead(committed_at) OVER (PARTITION BY record_id ORDER BY committed_at) AS until FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY record_id, committed_at ORDER BY version_id DESC) AS rn FROM ({views.LOG})) WHERE rn = 1)),
+d AS (SELECT committed_at AS t, CASE WHEN operation <> 'DELETE' THEN 1 END AS n, CASE WHEN operation <> 'DELETE' THEN value END AS value FROM v
+  UNION ALL SELECT until, CASE WHEN operation <> 'DELETE' THEN -1 END, CASE WHEN operation <> 'DELETE' THEN -value END FROM v WHERE until IS NOT NULL),
+r AS (SELECT DISTINCT t, sum(n) OVER (ORDER BY t RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS live, sum(value) OVER (ORDER BY t RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS total FROM d)
+SELECT t AS known_at, CAST(live AS BIGINT) AS live, CAST(total AS DECIMAL(34,6)) AS total FROM r WHERE t IN (SELECT ts FROM events WHERE event_type = 'purchase') AND live > 0""",
+    "version_capture": """
+WITH c AS (SELECT c_custkey AS k, c_mktsegment AS s, CAST(c_acctbal AS DECIMAL(24,6)) AS b FROM customer),
+l1 AS (SELECT * FROM c WHERE k % 5 <> 0), l2 AS (SELECT k, s, CASE WHEN k % 3 = 0 THEN CAST(b + 1 AS DECIMAL(24,6)) WHEN k % 11 = 0 THEN NULL ELSE b END AS b FROM c WHERE k % 7 <> 0), l3 AS (SELECT * FROM c WHERE k % 2 = 0),
+i AS (
+  SELECT 'BASELINE' AS operation, k, s, b FROM l1
+  UNION ALL SELECT CASE WHEN l1.k IS NULL THEN 'INSERT' WHEN l2.k IS NULL THEN 'DELETE' ELSE 'UPDATE' END, coalesce(l2.k, l1.k), coalesce(l2.s, l1.s), CASE WHEN l2.k IS NULL THEN l1.b ELSE l2.b END FROM l1 FULL JOIN l2 ON l1.k = l2.k WHERE l1.k IS NULL OR l2.k IS NULL OR l1.b IS DISTINCT FROM l2.b
+  UNION ALL SELECT CASE WHEN l2.k IS NULL THEN 'INSERT' WHEN l3.k IS NULL THEN 'DELETE' ELSE 'UPDATE' END, coalesce(l3.k, l2.k), coalesce(l3.s, l2.s), CASE WHEN l3.k IS NULL THEN l2.b ELSE l3.b END FROM l2 FULL JOIN l3 ON l2.k = l3.k WHERE l2.k IS NULL OR l3.k IS NULL OR l2.b IS DISTINCT FROM l3.b)
+SELECT 'image' AS part, operation, k AS record_id, s AS segment, b AS balance FROM i
+UNION ALL SELECT '2024-01-01', NULL, k, s, b FROM l1 UNION ALL SELECT '2024-02-01' || x, NULL, k, s, b FROM l2, (VALUES (''), (' compacted')) t(x) UNION ALL SELECT '2024-03-01' || x, NULL, k, s, b FROM l3, (VALUES (''), (' compacted')) t(x)""",
     "snapshot_diff": f"""
 WITH a AS {_SNAP.replace("@", CUTOFF)}, b AS {_SNAP.replace("@", "2024-01-22")}
 SELECT * FROM (SELECT coalesce(a.record_id, b.record_id) AS record_id, CASE WHEN a.record_id IS NULL THEN 'INSERT' WHEN b.record_id IS NULL THEN 'DELETE' WHEN (a.event_type, a.value) <> (b.event_type, b.value) THEN 'UPDATE' END AS operation
