@@ -10,7 +10,7 @@ from candela.plans import views
 from candela.plans.analysis_queries import PAYLOAD
 from candela.plans.views import money, table
 from candela.session import fresh_path, staged
-from candela.sources import feeds, landing, registers
+from candela.sources import archives, feeds, landing, legal_xml, registers
 from candela.streaming import jobs
 
 
@@ -193,6 +193,44 @@ def src_legal_relations(spark, sf_dir):
     return registers.legal_relations(nodes, registers.relation_table(spark))
 
 
+def src_legal_xml(spark, sf_dir):
+    """S9 from landed RDF/XML: orders as acts, under a prefix of the file's own, with a nested node and a namesake of another model."""
+    line = table(spark, sf_dir, "lineitem")
+    uri = lambda x: F.concat(F.lit("http://x/resource/celex/3"), x.cast("string"))
+    name = F.element_at(F.array(F.lit("m:work_cites_work"), F.lit("m:resource_legal_amends_resource_legal"), F.lit("cdm:amends")), (F.col("l_linenumber") % 3 + 1).cast("int"))
+    to = lambda tag, target: F.concat(F.lit("<"), tag, F.lit(' rdf:resource="'), target, F.lit('"/>'))
+    acts = line.groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_list(to(name, uri(F.col("l_partkey"))))), "").alias("body"))
+    nested = F.concat(F.lit('<m:based_on><rdf:Description rdf:about="'), uri(F.col("l_orderkey")), F.lit('"><m:corrects rdf:resource="http://x/resource/celex/31"/></rdf:Description></m:based_on>'))
+    about = F.when(F.col("l_orderkey") % 2 == 0, uri(F.col("l_orderkey"))).otherwise(F.lit("http://x/other"))
+    alias = F.when(F.col("l_orderkey") % 2 == 1, to(F.lit("owl:sameAs"), uri(F.col("l_orderkey")))).otherwise(F.lit(""))
+    node = F.concat(F.lit('<rdf:Description rdf:about="'), about, F.lit('">'), alias, "body", nested, F.lit("</rdf:Description>"))
+    head = '<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:owl="http://www.w3.org/2002/07/owl#" xmlns:m="http://publications.europa.eu/ontology/cdm#" xmlns:cdm="http://elsewhere/cdm#">'
+    # Some hundred acts a file.
+    files = acts.groupBy(F.floor(F.col("l_orderkey") / 400).alias("file")).agg(F.concat(F.lit(head), F.array_join(F.collect_list(node), ""), F.lit("</rdf:RDF>")).alias("value"))
+    path = fresh_path(spark, "acts")
+    files.repartition("file").write.partitionBy("file").text(path)
+    nodes, problems = legal_xml.read_legal_nodes(spark, path)
+    found = registers.legal_relations(nodes, registers.relation_table(spark))
+    return found.unionByName(problems.select(F.lit(None).cast("string").alias("subject"), F.col("problem").alias("relation"), F.lit(None).cast("string").alias("target")))
+
+
+def src_archives(spark, sf_dir):
+    """Orders as lines of ZIP archives by status, written and read back by member; some lines are no JSON."""
+    o = table(spark, sf_dir, "orders")
+    text = F.when(F.col("o_orderkey") % 50 == 0, F.concat(F.lit('{"id": '), "o_orderkey")).otherwise(F.to_json(F.struct(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("priority"))))
+    folder = fresh_path(spark, "archives")
+    # The folder is made by a write that every store knows.
+    spark.range(1).write.parquet(f"{folder}/made")
+    made = staged(archives.write_archives(o.select(F.concat_ws("-", F.lit("orders"), "o_orderstatus").alias("archive"), "o_orderkey", text.alias("text")), "archive", "o_orderkey", "text", folder, per_member=500), "members")
+    lines, damaged = archives.archive_lines(spark, folder, ".ndjson", pack_bytes=16 << 10)
+    good, bad = landing.parse_lines(lines, "id BIGINT, priority STRING")
+    none = lambda kind: F.lit(None).cast(kind)
+    out = good.select(F.lit("row").alias("part"), "member", "line", "id", F.col("priority").alias("text"))
+    out = out.unionByName(bad.select(F.lit("bad line").alias("part"), "member", "line", none("long").alias("id"), "text"))
+    out = out.unionByName(damaged.select(F.lit("damaged").alias("part"), "member", "line", none("long").alias("id"), F.col("problem").alias("text")))
+    return out.unionByName(made.select(F.lit("member").alias("part"), "member", none("long").alias("line"), none("long").alias("id"), F.col("archive").alias("text")))
+
+
 def src_sdg(spark, sf_dir):
     """Orders as statistics pages; observations without their copies."""
     o = table(spark, sf_dir, "orders")
@@ -287,7 +325,7 @@ def stream_audit_seal(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        src_contracting, src_envelopes, import_job, document_versions, src_ownership_statements, src_ownership_records, src_procurement, src_lei, src_lei_parents, src_tender_rows, src_legal_relations, src_sdg, src_lobbying,
+        src_contracting, src_envelopes, import_job, document_versions, src_ownership_statements, src_ownership_records, src_procurement, src_lei, src_lei_parents, src_tender_rows, src_legal_relations, src_legal_xml, src_archives, src_sdg, src_lobbying,
         src_wealth_rules, loose_values, stream_metric_rollup, stream_distinct_observations, stream_ingest, stream_versions, stream_audit_seal,
     )
 }

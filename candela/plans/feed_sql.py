@@ -103,6 +103,12 @@ SELECT 'DIRECT_PARENT' AS kind, CASE WHEN k % 3 = 0 THEN 'NOT_REPORTED' ELSE 'ED
 UNION ALL SELECT 'ULTIMATE_PARENT', CASE WHEN k * 2 > m THEN 'UNKNOWN_PARENT' ELSE 'EDGE' END, count(*) FROM c GROUP BY 2""",
     "src_tender_rows": f"SELECT notice_id AS publication_number, 'T ' || notice_id AS title, total_value, 'EUR' AS currency, len(winners) AS n_winners, array_to_string(winners, ',') AS winners FROM ({NOTICES})",
     "src_legal_relations": "SELECT DISTINCT '3' || l_orderkey AS subject, CASE l_linenumber % 3 WHEN 0 THEN 'CITES' ELSE 'AMENDS' END AS relation, '3' || l_partkey AS target FROM lineitem WHERE l_linenumber % 3 <> 2 AND l_partkey <> l_orderkey",
+    "src_legal_xml": "SELECT DISTINCT '3' || l_orderkey AS subject, CASE l_linenumber % 3 WHEN 0 THEN 'CITES' ELSE 'AMENDS' END AS relation, '3' || l_partkey AS target FROM lineitem WHERE l_linenumber % 3 <> 2 AND l_partkey <> l_orderkey",
+    "src_archives": """
+WITH l AS (SELECT o_orderkey AS k, o_orderpriority AS p, o_orderstatus AS s, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) - 1 AS n FROM orders),
+m AS (SELECT *, 'part-' || lpad(CAST(n // 500 AS VARCHAR), 5, '0') || '.ndjson' AS member FROM l)
+SELECT CASE WHEN k % 50 = 0 THEN 'bad line' ELSE 'row' END AS part, member, n % 500 AS line, CASE WHEN k % 50 <> 0 THEN k END AS id, CASE WHEN k % 50 = 0 THEN '{"id": ' || k ELSE p END AS text FROM m
+UNION ALL SELECT DISTINCT 'member', member, NULL, NULL, 'orders-' || s FROM m""",
     "src_sdg": """
 WITH d AS (SELECT DISTINCT o_orderkey % 40 AS snapshot_id, o_custkey % 30 AS g, year(o_orderdate) AS y, o_orderstatus = 'P' AS text, o_orderkey % 50 AS v, o_orderpriority FROM orders)
 SELECT snapshot_id, count(*) AS observations, count(*) FILTER (NOT text) AS numeric, CAST(sum(v + 0.5) FILTER (NOT text) AS DECIMAL(38,2)) AS total FROM d GROUP BY 1""",

@@ -20,14 +20,31 @@ attributes: MAP<STRING,STRING>, dimensions: MAP<STRING,STRING>>>"""
 
 #: Legal-relation names of the publisher's model and the relation each states.
 LEGAL_RELATIONS = {
-    "cites": "CITES", "cited_by": "CITED_BY", "work_cites_work": "CITES", "work_cited_by_work": "CITED_BY", "work_is_cited_by_work": "CITED_BY",
-    "amends": "AMENDS", "amended_by": "AMENDED_BY", "work_amends_work": "AMENDS", "work_is_amended_by_work": "AMENDED_BY",
-    "resource_legal_amends_resource_legal": "AMENDS", "resource_legal_amended_by_resource_legal": "AMENDED_BY",
-    "corrects": "CORRECTS", "corrected_by": "CORRECTED_BY", "work_corrects_work": "CORRECTS", "work_is_corrected_by_work": "CORRECTED_BY",
-    "resource_legal_corrects_resource_legal": "CORRECTS", "resource_legal_corrected_by_resource_legal": "CORRECTED_BY",
-    "basis_for": "BASIS_FOR", "based_on": "BASED_ON", "resource_legal_basis_for_resource_legal": "BASIS_FOR", "resource_legal_is_basis_for_resource_legal": "BASIS_FOR",
-    "resource_legal_based_on_resource_legal": "BASED_ON", "work_is_logical_successor_of_work": "SUCCESSOR_OF", "work_has_logical_successor_work": "HAS_SUCCESSOR",
-}
+    "cites": "CITES",
+    "cited_by": "CITED_BY",
+    "work_cited_by_work": "CITED_BY",
+    "amends": "AMENDS",
+    "amended_by": "AMENDED_BY",
+    "corrects": "CORRECTS",
+    "corrected_by": "CORRECTED_BY",
+    "resource_legal_corrected_by_resource_legal": "CORRECTED_BY",
+    "resource_legal_corrects_resource_legal": "CORRECTS",
+    "resource_legal_amended_by_resource_legal": "AMENDED_BY",
+    "resource_legal_amends_resource_legal": "AMENDS",
+    "basis_for": "BASIS_FOR",
+    "based_on": "BASED_ON",
+    "resource_legal_basis_for_resource_legal": "BASIS_FOR",
+    "work_amends_work": "AMENDS",
+    "work_is_amended_by_work": "AMENDED_BY",
+    "work_cites_work": "CITES",
+    "work_is_cited_by_work": "CITED_BY",
+    "resource_legal_based_on_resource_legal": "BASED_ON",
+    "resource_legal_is_basis_for_resource_legal": "BASIS_FOR",
+    "work_is_logical_successor_of_work": "SUCCESSOR_OF",
+    "work_has_logical_successor_work": "HAS_SUCCESSOR",
+    "work_corrects_work": "CORRECTS",
+    "work_is_corrected_by_work": "CORRECTED_BY",
+}
 
 
 def lei_records(payloads: DataFrame) -> DataFrame:
