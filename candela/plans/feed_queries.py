@@ -41,7 +41,7 @@ def _parsed_rows(parsed):
     return entities.unionByName(edges).unionByName(rows(parsed.problems, "problem", "reason", **same("locator", "level")))
 
 
-def _contracting(spark, sf_dir):
+def _releases(spark, sf_dir):
     """Orders as releases; pending ones are not active."""
     n = views.notices(spark, sf_dir).join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("notice_id"), "o_orderstatus"), "notice_id")
     buyer = F.col("buyers")[0]
@@ -52,7 +52,11 @@ def _contracting(spark, sf_dir):
         F.transform(F.concat("buyers", "winners"), party).alias("parties"),
         F.array(F.struct(F.lit("1").alias("id"), F.when(F.col("o_orderstatus") == "P", "pending").otherwise("active").alias("status"), F.col("decision_date").cast("string").alias("date"), F.struct(F.col("total_value").alias("amount"), F.lit("EUR").alias("currency")).alias("value"), F.transform("winners", party).alias("suppliers"))).alias("awards"),
     )
-    return feeds.contracting_releases(_through_json(rows, feeds.OCDS))
+    return _through_json(rows, feeds.OCDS)
+
+
+def _contracting(spark, sf_dir):
+    return feeds.contracting_releases(_releases(spark, sf_dir))
 
 
 def src_contracting(spark, sf_dir):
@@ -82,6 +86,26 @@ def import_job(spark, sf_dir):
     return out
 
 
+def import_replay(spark, sf_dir):
+    """Releases imported, imported again, and rows of no known format: results, jobs, audit rows and tables."""
+    store = imports.ImportStore(spark, fresh_path(spark, "imports"))
+    rows = staged(_releases(spark, sf_dir), "releases")
+    results = [store.run("releases", rows, "releases", "orders", "importer") for _ in range(2)]
+    try:
+        store.run("spreadsheet", rows, "sheets", "orders", "importer")
+    except ValueError:
+        pass  # what is left of it is in the receipts, jobs and audit rows
+    said = [("result", f"{k} {name}", str(n)) for k, r in enumerate(results) for name, n in [("replayed", r["replayed"]), *r["counts"].items()] if name != "problems"]
+    out = spark.createDataFrame(said, "part string, name string, value string")
+    kept = store.receipts().select(F.lit("receipt").alias("part"), F.col("format").alias("name"), F.coalesce("error_code", "status").alias("value"))
+    held = store.jobs().select(F.lit("job").alias("part"), "status", F.concat_ws("/", F.coalesce("source_record_id", F.lit("-")), F.coalesce("error", F.lit("-")), "entries"))
+    notes = store.audit_log().select(F.lit("audit").alias("part"), "action", "details")
+    edges = store.table("edges").select(F.lit("edges").alias("part"), "relation", F.concat_ws(">", "subject_id", "object_id"))
+    for part in (kept, held, notes, edges):
+        out = out.union(part)
+    return out
+
+
 def document_versions(spark, sf_dir):
     """Documents of a source under one external id as versions, equal texts once."""
     d = table(spark, sf_dir, "documents")
@@ -325,7 +349,7 @@ def stream_audit_seal(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        src_contracting, src_envelopes, import_job, document_versions, src_ownership_statements, src_ownership_records, src_procurement, src_lei, src_lei_parents, src_tender_rows, src_legal_relations, src_legal_xml, src_archives, src_sdg, src_lobbying,
+        src_contracting, src_envelopes, import_job, import_replay, document_versions, src_ownership_statements, src_ownership_records, src_procurement, src_lei, src_lei_parents, src_tender_rows, src_legal_relations, src_legal_xml, src_archives, src_sdg, src_lobbying,
         src_wealth_rules, loose_values, stream_metric_rollup, stream_distinct_observations, stream_ingest, stream_versions, stream_audit_seal,
     )
 }

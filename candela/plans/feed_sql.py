@@ -7,6 +7,10 @@ from candela.plans.analysis_sql import ORACLE_SQL as ANALYSIS
 from candela.plans.views import NOTICES
 
 _N = f"n AS (SELECT x.*, o_orderstatus FROM ({NOTICES}) x JOIN orders ON notice_id = CAST(o_orderkey AS VARCHAR))"
+_IMPORTED = f"""{_N}, k AS (SELECT *, 'o-' || notice_id || ':party:' || buyer AS bk, 'o-' || notice_id || ':award:1' AS ck FROM n), w AS (SELECT *, 'o-' || notice_id || ':party:' || winner AS wk FROM (SELECT *, unnest(winners) AS winner FROM k)),
+p AS (SELECT *, sha256('=releases|=' || bk) AS b_id, sha256('=releases|=' || ck) AS c_id, sha256('=releases|=' || wk) AS w_id, o_orderstatus <> 'P' AS live FROM w),
+o AS (SELECT DISTINCT notice_id, buyer, bk, ck, b_id, c_id, live FROM p),
+e AS (SELECT b_id AS a, c_id AS b, 'ISSUED_CONTRACT' AS kind FROM o WHERE live UNION ALL SELECT w_id, c_id, 'SUPPLIER_OF' FROM p WHERE live UNION ALL SELECT b_id, w_id, 'AWARDED_TO' FROM p WHERE live)"""
 _OWN = "own AS (SELECT c_custkey AS p, c_custkey % (SELECT count(*) FROM supplier) AS s FROM customer)"
 _DAY_2020 = "CAST(epoch(DATE '2020-01-01') AS BIGINT)"
 _COLUMNS = {"a": "VARCHAR", "b": "VARCHAR", "scheme": "VARCHAR", "identifier": "VARCHAR", "currency": "VARCHAR", "contract": "VARCHAR", "locator": "VARCHAR", "level": "VARCHAR", "valid_from": "BIGINT", "valid_to": "BIGINT", "amount": "DOUBLE", "percent": "DOUBLE"}
@@ -45,14 +49,19 @@ ORACLE_SQL = {
         ],
     ),
     "import_job": f"""
-WITH {_N}, k AS (SELECT *, 'o-' || notice_id || ':party:' || buyer AS bk, 'o-' || notice_id || ':award:1' AS ck FROM n), w AS (SELECT *, 'o-' || notice_id || ':party:' || winner AS wk FROM (SELECT *, unnest(winners) AS winner FROM k)),
-p AS (SELECT *, sha256('=releases|=' || bk) AS b_id, sha256('=releases|=' || ck) AS c_id, sha256('=releases|=' || wk) AS w_id, o_orderstatus <> 'P' AS live FROM w),
-o AS (SELECT DISTINCT notice_id, buyer, bk, ck, b_id, c_id, live FROM p),
-e AS (SELECT b_id AS a, c_id AS b, 'ISSUED_CONTRACT' AS kind FROM o WHERE live UNION ALL SELECT w_id, c_id, 'SUPPLIER_OF' FROM p WHERE live UNION ALL SELECT b_id, w_id, 'AWARDED_TO' FROM p WHERE live)
+WITH {_IMPORTED}
 SELECT 'entities' AS part, b_id AS a, 'N ' || buyer AS b, 'PUBLIC_BODY' AS kind, NULL::DOUBLE AS amount FROM o
 UNION ALL SELECT 'entities', c_id, ck, 'CONTRACT', NULL FROM o WHERE live UNION ALL SELECT 'entities', w_id, 'N ' || winner, 'ORGANIZATION', NULL FROM p
 UNION ALL SELECT 'edges', a, b, kind, NULL FROM e UNION ALL SELECT 'claims', a, NULL, kind, NULL FROM e
 UNION ALL SELECT 'money_flows', b_id, w_id, 'AWARDED', CAST(total_value AS DOUBLE) FROM p WHERE live AND len(winners) = 1""",
+    "import_replay": f"""
+WITH {_IMPORTED}, c AS (SELECT (SELECT count(*) FROM o) + (SELECT count(*) FROM o WHERE live) + (SELECT count(*) FROM p) AS entities, (SELECT count(*) FROM e) AS edges, (SELECT count(*) FROM p WHERE live AND len(winners) = 1) AS flows)
+SELECT 'result' AS part, k || ' ' || name AS name, CAST(n AS VARCHAR) AS value FROM c, (VALUES (0), (1)) t(k),
+  LATERAL (VALUES ('entities', entities), ('edges', edges), ('claims', edges), ('money_flows', flows), ('ownership', 0), ('quarantine', 0)) v(name, n)
+UNION ALL VALUES ('result', '0 replayed', 'False'), ('result', '1 replayed', 'True'), ('receipt', 'releases', 'SUCCEEDED'), ('receipt', 'spreadsheet', 'ValueError'), ('job', 'SUCCEEDED', 'orders/-/2'), ('job', 'FAILED', '-/ValueError/2'),
+  ('audit', 'IMPORT_REPLAYED', '{{}}'), ('audit', 'IMPORT_FAILED', '{{"error_code": "ValueError"}}')
+UNION ALL SELECT 'audit', 'IMPORT_SUCCEEDED', '{{"claims": ' || edges || ', "format": "releases"}}' FROM c
+UNION ALL SELECT 'edges', kind, a || '>' || b FROM e""",
     "document_versions": """
 SELECT *, row_number() OVER (PARTITION BY source, external_id ORDER BY seen_at, content_hash) AS version
 FROM (SELECT source, doc_id % 100 AS external_id, sha256(text) AS content_hash, min(split_part(text, chr(10), 1)) AS title, min(doc_id) AS seen_at FROM documents GROUP BY 1, 2, 3)""",
