@@ -140,8 +140,8 @@ SELECT query_id, entity_id, n AS normalized_name, round(score, 6) AS score, rank
     "evidence_write": f"""WITH {_MANIFEST}
 SELECT '1 put' AS step, object_key, 'STORED' AS status FROM man WHERE byte_length % 3 <> 0
 UNION ALL SELECT '2 put', object_key, CASE WHEN byte_length % 3 <> 0 THEN 'PRESENT' ELSE 'STORED' END FROM man
-UNION ALL SELECT '3 check', object_key, 'CHANGED' FROM man WHERE byte_length % 4 = 0
-UNION ALL SELECT '4 put', object_key, CASE WHEN byte_length % 4 = 0 THEN 'RESTORED' ELSE 'PRESENT' END FROM man""",
+UNION ALL SELECT '3 check', object_key, 'CHANGED' FROM man WHERE byte_length % 12 = 0
+UNION ALL SELECT '4 put', object_key, CASE WHEN byte_length % 12 = 0 THEN 'RESTORED' ELSE 'PRESENT' END FROM man""",
     "evidence_missing": f"WITH {_MANIFEST} SELECT object_key, byte_length FROM man WHERE byte_length % 3 = 0",
     "evidence_tampered": f"WITH {_MANIFEST} SELECT object_key, sha256(object_key) AS registered_hash FROM man WHERE byte_length % 4 = 0",
     "artifact_upsert": "SELECT source, doc_id % 300 AS external_id, max(doc_id) AS seq, arg_max(sha256(text), doc_id) AS content_hash FROM documents GROUP BY 1, 2",
