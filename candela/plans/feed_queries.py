@@ -184,8 +184,7 @@ def src_lei_parents(spark, sf_dir):
     name = lambda x: F.concat(F.lit("L"), x.cast("string"))
     key = F.col("c_custkey")
     children = c.select(name(key).alias("lei"), F.when(key % 3 != 0, name(F.floor(key / 2))).alias("direct_parent"), name(key * 2).alias("ultimate_parent"))
-    rows = registers.lei_parents(children, c.select(name(key).alias("lei"), F.col("c_name").alias("name")))
-    return rows.groupBy("kind", "status").agg(F.count(F.lit(1)).alias("rows"))
+    return registers.lei_parents(children, c.select(name(key).alias("lei"), F.col("c_name").alias("name")))
 
 
 def src_tender_rows(spark, sf_dir):
@@ -262,14 +261,14 @@ def src_sdg(spark, sf_dir):
     row = F.struct(F.lit("S").alias("series"), (F.col("o_custkey") % 30).cast("string").alias("geoAreaCode"), F.year("o_orderdate").alias("timePeriodStart"), value.alias("value"), F.create_map(F.lit("p"), F.col("o_orderpriority")).alias("dimensions"))
     pages = o.groupBy((F.col("o_orderkey") % 40).alias("snapshot_id")).agg(F.collect_list(row).alias("data"))
     rows = pages.select("snapshot_id", F.from_json(F.to_json(F.struct("data")), registers.SDG_PAGE).alias("p")).select("snapshot_id", "p.data")
-    return registers.sdg_observations(rows).groupBy("snapshot_id").agg(F.count(F.lit(1)).alias("observations"), F.count("number").alias("numeric"), F.sum("number").cast("decimal(38,2)").alias("total"))
+    return registers.sdg_observations(rows).select("snapshot_id", "series", "geography", "period", "value", F.col("number").cast("double").alias("number"), "dimensions")
 
 
 def src_lobbying(spark, sf_dir):
     """Orders as lobbying rows."""
     o = table(spark, sf_dir, "orders")
     rows = o.select(F.concat(F.lit("T"), "o_custkey").alias("transparency_id"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderpriority")).alias("institution_name"), F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderdate").cast("date")).alias("meeting_date"), F.when(F.col("o_orderkey") % 5 == 0, F.lit("32016R0679")).alias("policy_celex"))
-    return registers.lobbying_edges(_through_json(rows, registers.LOBBYING)).groupBy("relation").agg(F.count(F.lit(1)).alias("rows"), F.max("valid_from").alias("latest"))
+    return registers.lobbying_edges(_through_json(rows, registers.LOBBYING))
 
 
 def src_wealth_rules(spark, sf_dir):

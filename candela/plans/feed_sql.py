@@ -107,9 +107,9 @@ WITH c AS (SELECT *, CASE WHEN c_custkey % 5 <> 0 AND c_custkey % 7 = 0 THEN 'pa
 SELECT CASE WHEN problem IS NULL THEN CASE WHEN c_custkey % 2 = 0 THEN 'L' || c_custkey ELSE CAST(c_custkey AS VARCHAR) END END AS lei, CASE WHEN problem IS NULL THEN c_name END AS name,
   CASE WHEN problem IS NULL THEN CASE WHEN c_custkey % 3 <> 0 THEN 'N' ELSE 'A' END || c_nationkey END AS jurisdiction, CASE WHEN problem IS NULL THEN DATE '2020-02-03' END AS created, problem FROM c""",
     "src_lei_parents": """
-WITH c AS (SELECT c_custkey AS k, (SELECT max(c_custkey) FROM customer) AS m FROM customer)
-SELECT 'DIRECT_PARENT' AS kind, CASE WHEN k % 3 = 0 THEN 'NOT_REPORTED' ELSE 'EDGE' END AS status, count(*) AS rows FROM c GROUP BY 2
-UNION ALL SELECT 'ULTIMATE_PARENT', CASE WHEN k * 2 > m THEN 'UNKNOWN_PARENT' ELSE 'EDGE' END, count(*) FROM c GROUP BY 2""",
+WITH c AS (SELECT c_custkey AS k, 'L' || c_custkey AS lei, c_name AS name FROM customer),
+r AS (SELECT lei, 'DIRECT_PARENT' AS kind, CASE WHEN k % 3 <> 0 THEN 'L' || k // 2 END AS parent FROM c UNION ALL SELECT lei, 'ULTIMATE_PARENT', 'L' || k * 2 FROM c)
+SELECT r.lei, kind, parent, c.name AS parent_name, CASE WHEN parent IS NULL THEN 'NOT_REPORTED' WHEN c.name IS NULL THEN 'UNKNOWN_PARENT' ELSE 'EDGE' END AS status FROM r LEFT JOIN c ON c.lei = parent""",
     "src_tender_rows": f"SELECT notice_id AS publication_number, 'T ' || notice_id AS title, total_value, 'EUR' AS currency, len(winners) AS n_winners, array_to_string(winners, ',') AS winners FROM ({NOTICES})",
     "src_legal_relations": "SELECT DISTINCT '3' || l_orderkey AS subject, CASE l_linenumber % 3 WHEN 0 THEN 'CITES' ELSE 'AMENDS' END AS relation, '3' || l_partkey AS target FROM lineitem WHERE l_linenumber % 3 <> 2 AND l_partkey <> l_orderkey",
     "src_legal_xml": "SELECT DISTINCT '3' || l_orderkey AS subject, CASE l_linenumber % 3 WHEN 0 THEN 'CITES' ELSE 'AMENDS' END AS relation, '3' || l_partkey AS target FROM lineitem WHERE l_linenumber % 3 <> 2 AND l_partkey <> l_orderkey",
@@ -119,11 +119,12 @@ m AS (SELECT *, 'part-' || lpad(CAST(n // 500 AS VARCHAR), 5, '0') || '.ndjson'
 SELECT CASE WHEN k % 50 = 0 THEN 'bad line' ELSE 'row' END AS part, member, n % 500 AS line, CASE WHEN k % 50 <> 0 THEN k END AS id, CASE WHEN k % 50 = 0 THEN '{"id": ' || k ELSE p END AS text FROM m
 UNION ALL SELECT DISTINCT 'member', member, NULL, NULL, 'orders-' || s FROM m""",
     "src_sdg": """
-WITH d AS (SELECT DISTINCT o_orderkey % 40 AS snapshot_id, o_custkey % 30 AS g, year(o_orderdate) AS y, o_orderstatus = 'P' AS text, o_orderkey % 50 AS v, o_orderpriority FROM orders)
-SELECT snapshot_id, count(*) AS observations, count(*) FILTER (NOT text) AS numeric, CAST(sum(v + 0.5) FILTER (NOT text) AS DECIMAL(38,2)) AS total FROM d GROUP BY 1""",
+SELECT DISTINCT o_orderkey % 40 AS snapshot_id, 'S' AS series, CAST(o_custkey % 30 AS VARCHAR) AS geography, CAST(year(o_orderdate) AS INTEGER) AS period, CASE WHEN o_orderstatus = 'P' THEN '<' ELSE '' END || o_orderkey % 50 || '.50' AS value,
+  CASE WHEN o_orderstatus <> 'P' THEN CAST(o_orderkey % 50 AS DOUBLE) + 0.5 END AS number, '{"p":"' || o_orderpriority || '"}' AS dimensions FROM orders""",
     "src_lobbying": """
-WITH o AS (SELECT o_orderkey % 2 = 0 AS i, o_orderkey % 3 <> 0 AS d, o_orderkey % 5 = 0 AS p, CASE WHEN o_orderkey % 3 <> 0 THEN CAST(o_orderdate AS DATE) END AS day FROM orders)
-SELECT relation, count(*) AS rows, max(day) AS latest FROM (SELECT 'MET_WITH' AS relation, day FROM o WHERE i AND d UNION ALL SELECT 'LOBBIED_ON', day FROM o WHERE p UNION ALL SELECT 'NOTE', day FROM o WHERE NOT p AND NOT (i AND d)) GROUP BY 1""",
+WITH o AS (SELECT 'T' || o_custkey AS s, CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority END AS i, CASE WHEN o_orderkey % 3 <> 0 THEN CAST(o_orderdate AS DATE) END AS day, o_orderkey % 5 = 0 AS p FROM orders)
+SELECT s AS subject, i AS object, 'MET_WITH' AS relation, day AS valid_from FROM o WHERE i IS NOT NULL AND day IS NOT NULL
+UNION ALL SELECT s, '32016R0679', 'LOBBIED_ON', day FROM o WHERE p UNION ALL SELECT s, NULL, 'NOTE', day FROM o WHERE NOT p AND (i IS NULL OR day IS NULL)""",
     "src_wealth_rules": """
 WITH r AS (SELECT list_filter([CASE WHEN c_custkey % 9 = 0 THEN 'period' END, CASE WHEN c_custkey % 4 = 0 THEN 'locator_opening_net_worth' END, CASE WHEN c_custkey % 4 = 0 THEN 'locator_closing_net_worth' END,
   CASE WHEN CAST(c_acctbal AS DECIMAL(24,6)) < 500 THEN 'sign_income' END], lambda x: x IS NOT NULL) AS rules FROM customer)

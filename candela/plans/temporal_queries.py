@@ -131,7 +131,7 @@ def award_rows(spark, sf_dir):
 
 def tender_builder(spark, sf_dir):
     """B10/J17."""
-    return facts.notice_edges(views.notices(spark, sf_dir)).groupBy("relation").agg(F.count(F.lit(1)).alias("edges"), F.count("amount").alias("with_amount"), F.sum("amount").cast("decimal(34,6)").alias("total"))
+    return facts.notice_edges(views.notices(spark, sf_dir))
 
 
 def temporal_paths(spark, sf_dir):
@@ -171,11 +171,13 @@ def verified_edges(spark, sf_dir):
 
 
 def graph_export(spark, sf_dir):
-    """K5: nodes and edges by kind."""
+    """K5: node and edge rows."""
     edges = views.all_edges(spark, sf_dir).select("edge_id", "subject_id", "object_id", F.lit("AWARDED_TO").alias("relation"), "valid_from", "valid_to", F.col("edge_id").alias("claim_id"))
     claims = edges.where(F.col("edge_id").endswith("0")).select("claim_id", F.lit("VERIFIED_PRIMARY").alias("verification_status"))
     nodes, rows = graph.export(_entities(spark, sf_dir), edges, claims)
-    return nodes.groupBy(F.lit("node").alias("part"), F.col("entity_type").alias("kind")).agg(F.count(F.lit(1)).alias("n")).unionByName(rows.groupBy(F.lit("edge").alias("part"), F.col("status").alias("kind")).agg(F.count(F.lit(1)).alias("n")))
+    none = F.lit(None).cast("timestamp_ntz")
+    shown = nodes.select(F.lit("node").alias("part"), F.col("entity_id").alias("a"), F.col("name").alias("b"), F.col("entity_type").alias("kind"), none.alias("valid_from"), none.alias("valid_to"))
+    return shown.unionByName(rows.select(F.lit("edge").alias("part"), F.col("subject_id").alias("a"), F.col("object_id").alias("b"), F.col("status").alias("kind"), "valid_from", "valid_to"))
 
 
 def edge_provenance(spark, sf_dir):
@@ -203,27 +205,28 @@ WHERE r.since <= a.decision_date
 """
 
 
-def _paths_sql() -> str:
+def levels_sql(depth: int, timed: bool = True) -> str:
     """Breadth-first search in levels: a request that has its first paths leaves the frontier, and others go on."""
+    started, lasts, seen, support = ("valid_from", "valid_to", "valid_from", "n") if timed else ("NULL::TIMESTAMP", "NULL::TIMESTAMP", "TIMESTAMP '1970-01-01'", "1")
     parts = [
         f"WITH e AS ({views.ALL_EDGES})",
-        "adj AS MATERIALIZED (SELECT a AS src, b AS dst, edge_id, valid_from, valid_to, n FROM e UNION ALL SELECT b, a, edge_id, valid_from, valid_to, n FROM e)",
+        f"adj AS MATERIALIZED (SELECT a AS src, b AS dst, edge_id, {started} AS valid_from, {lasts} AS valid_to, {seen} AS seen, {support} AS n FROM e UNION ALL SELECT b, a, edge_id, {started}, {lasts}, {seen}, {support} FROM e)",
         f"req AS (SELECT * FROM ({views.PATH_REQUESTS}) WHERE target_id IN (SELECT src FROM adj))",
         "p0 AS (SELECT request_id, target_id, source_id AS tail, [source_id] AS nodes, CAST([] AS STRUCT(t TIMESTAMP, id VARCHAR)[]) AS keys, CAST(NULL AS TIMESTAMP) AS lo, CAST(NULL AS TIMESTAMP) AS hi, CAST(0 AS BIGINT) AS support, top AS need FROM req)",
     ]
-    step = "request_id, target_id, dst AS tail, list_append(nodes, dst) AS nodes, list_append(keys, {'t': valid_from, 'id': edge_id}) AS keys, greatest(lo, valid_from) AS lo, least(hi, valid_to) AS hi, CAST(support + n AS BIGINT) AS support, need"
+    step = "request_id, target_id, dst AS tail, list_append(nodes, dst) AS nodes, list_append(keys, {'t': seen, 'id': edge_id}) AS keys, greatest(lo, valid_from) AS lo, least(hi, valid_to) AS hi, CAST(support + n AS BIGINT) AS support, need"
     fits = "NOT list_contains(nodes, dst) AND coalesce(greatest(lo, valid_from) <= least(hi, valid_to), true)"
-    for k in range(1, 7):
+    for k in range(1, depth + 1):
         parts += [
             f"f{k} AS MATERIALIZED (SELECT *, {k} AS hops FROM (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY keys) AS rn FROM (SELECT {step} FROM p{k - 1} JOIN adj ON tail = src AND dst = target_id WHERE {fits})) WHERE rn <= need)",
             f"c{k} AS (SELECT request_id, count(*) AS got FROM f{k} GROUP BY 1)",
             f"p{k} AS MATERIALIZED (SELECT {step.replace('need', 'need - coalesce(got, 0) AS need')} FROM p{k - 1} LEFT JOIN c{k} USING (request_id) JOIN adj ON tail = src AND dst <> target_id WHERE need > coalesce(got, 0) AND {fits})",
         ]
-    parts.append("first AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY hops, keys) AS found FROM (" + " UNION ALL ".join(f"SELECT * FROM f{k}" for k in range(1, 7)) + "))")
+    parts.append("first AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY hops, keys) AS found FROM (" + " UNION ALL ".join(f"SELECT * FROM f{k}" for k in range(1, depth + 1)) + "))")
     return ", ".join(parts)
 
 
-_PATHS = _paths_sql()
+_PATHS = levels_sql(6)
 
 ORACLE_SQL = {
     "asof_snapshot": f"SELECT record_id, version_id, committed_at, event_type, value FROM {_SNAP.replace('@', CUTOFF)}",
@@ -266,11 +269,10 @@ SELECT a.semantic_key, a.id AS observation_a, b.id AS observation_b, a.members,
     "ownership_rows": "SELECT c_custkey AS claim_id, c_custkey AS owner_id, c_custkey % (SELECT count(*) FROM supplier) AS owned_id, CASE WHEN c_custkey % 2 = 0 THEN 'OWNS' ELSE 'BENEFICIAL_OWNER_OF' END AS basis, CAST(c_custkey % 101 AS DECIMAL(7,4)) AS ownership_percent FROM customer WHERE c_custkey % 5 <> 0",
     "award_rows": f"SELECT notice_id, buyer AS buyer_id, unnest(winners) AS winner_id, CASE WHEN len(winners) = 1 THEN total_value END AS amount, decision_date FROM ({views.NOTICES})",
     "tender_builder": f"""
-WITH n AS ({views.NOTICES}), e AS (
-  SELECT 'ISSUED_CONTRACT' AS relation, CAST(NULL AS DECIMAL(24,6)) AS amount FROM n
-  UNION ALL SELECT 'HAS_WINNER', CASE WHEN len(winners) = 1 THEN total_value END FROM (SELECT *, unnest(winners) AS w FROM n)
-  UNION ALL SELECT 'AWARDED_TO', total_value FROM n WHERE len(winners) = 1)
-SELECT relation, count(*) AS edges, count(amount) AS with_amount, CAST(sum(amount) AS DECIMAL(34,6)) AS total FROM e GROUP BY 1""",
+WITH n AS ({views.NOTICES})
+SELECT notice_id, buyer AS subject_id, notice_id AS object_id, 'ISSUED_CONTRACT' AS relation, CAST(NULL AS DECIMAL(24,6)) AS amount, NULL AS currency, decision_date FROM n
+UNION ALL SELECT notice_id, notice_id, w, 'HAS_WINNER', CASE WHEN len(winners) = 1 THEN total_value END, CASE WHEN len(winners) = 1 THEN 'EUR' END, decision_date FROM (SELECT *, unnest(winners) AS w FROM n)
+UNION ALL SELECT notice_id, buyer, winners[1], 'AWARDED_TO', total_value, 'EUR', decision_date FROM n WHERE len(winners) = 1""",
     "temporal_paths": f"{_PATHS} SELECT request_id, row_number() OVER (PARTITION BY request_id ORDER BY hops, support DESC, found) AS rank, CAST(hops AS BIGINT) AS hops, array_to_string(nodes, '>') AS nodes, array_to_string(list_transform(keys, lambda k: k.id), '>') AS edge_ids, lo AS common_from, hi AS common_to, false AS uncertain, support FROM first",
     "paths_batch": f"""{_PATHS}, known AS (SELECT a AS id FROM e UNION SELECT b FROM e)
 SELECT r.request_id, CASE WHEN r.source_id NOT IN (SELECT id FROM known) OR r.target_id NOT IN (SELECT id FROM known) THEN 'UNKNOWN_ENTITY' WHEN count(f.found) = 0 THEN 'NO_PATH_FOUND' ELSE 'FOUND' END AS status,
@@ -283,8 +285,8 @@ SELECT entity_id, entity_type, name, coalesce(identifiers, 0) AS identifiers, co
     "verified_edges": "SELECT o_orderkey, 'VERIFIED_PRIMARY' AS status, 'FACT' AS claim_type FROM orders WHERE o_orderstatus = 'F' AND o_orderkey % 5 <> 0 AND o_orderkey % 11 <> 0",
     "graph_export": f"""
 WITH e AS ({views.ALL_EDGES})
-SELECT 'node' AS part, 'PUBLIC_BODY' AS kind, count(*) AS n FROM customer UNION ALL SELECT 'node', 'ORGANIZATION', count(*) FROM supplier
-UNION ALL SELECT 'edge', CASE WHEN edge_id LIKE '%0' THEN 'VERIFIED_PRIMARY' ELSE 'UNVERIFIED' END, count(*) FROM e GROUP BY 2""",
+SELECT 'node' AS part, 'c' || c_custkey AS a, c_name AS b, 'PUBLIC_BODY' AS kind, NULL::TIMESTAMP AS valid_from, NULL::TIMESTAMP AS valid_to FROM customer UNION ALL SELECT 'node', 's' || s_suppkey, s_name, 'ORGANIZATION', NULL, NULL FROM supplier
+UNION ALL SELECT 'edge', a, b, CASE WHEN edge_id LIKE '%0' THEN 'VERIFIED_PRIMARY' ELSE 'UNVERIFIED' END, valid_from, valid_to FROM e""",
     "edge_provenance": f"""
 WITH {views.KEYED}, c AS (SELECT semantic_key, amount, currency, min(observation_id) AS id FROM keyed GROUP BY 1, 2, 3),
 m AS (SELECT a.semantic_key, count(*) AS conflicts FROM c a JOIN c b ON a.semantic_key = b.semantic_key AND a.id < b.id GROUP BY 1)
