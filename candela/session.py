@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,9 +40,41 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_SCOPE: ContextVar[str | None] = ContextVar("staging", default=None)
+
+
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[str]:
+    """Tables that are staged inside the block share a folder, which is deleted when the block ends.
+
+    Results read staged tables, so write or collect them before the end. The
+    folder may be in any store that Arrow knows; in another it stays.
+    """
+    from pyarrow import fs
+
+    folder = f"{shared_folder(spark)}/scope-{uuid.uuid4().hex}"
+    token = _SCOPE.set(folder)
+    try:
+        yield folder
+    finally:
+        _SCOPE.reset(token)
+        scheme, _, rest = folder.partition(":")
+        try:
+            system, path = (fs.LocalFileSystem(), "/" + rest.lstrip("/")) if scheme == "file" else fs.FileSystem.from_uri(folder)
+        except (ValueError, NotImplementedError, OSError):
+            system, path = None, folder
+        if system is not None and system.get_file_info(path).type == fs.FileType.Directory:
+            system.delete_dir(path)
+
+
+def staging_folder(spark: SparkSession) -> str:
+    """Where tables are staged: the folder of the innermost staging block, else the shared one."""
+    return _SCOPE.get() or shared_folder(spark)
+
+
 def fresh_path(spark: SparkSession, label: str) -> str:
-    """A path in the shared folder that nothing uses yet."""
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    """A path in the staging folder that nothing uses yet."""
+    return f"{staging_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def staged(df: DataFrame, label: str = "staged") -> DataFrame:
