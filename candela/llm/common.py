@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from candela.session import staging_folder
+
 WHITE_SPACE = r"[\x20\x09-\x0D]+"
 #: A word of the licence and contamination contracts, in any case of A-Z.
 ALNUM_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -40,7 +42,7 @@ def stage_table(df: DataFrame, label: str) -> DataFrame:
     values such as partition-based numbers are fixed from here on.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{staging_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
