@@ -36,7 +36,7 @@ from candela.llm.packing import default_tokenizer, encoder
 
 #: Ends that one piece merges.
 PIECE = 1 << 16
-#: Id pairs of one pass over the pieces: 13 bytes each.
+#: Id pairs of one pass over the pieces: 17 bytes each.
 PASS_PAIRS = 6_000_000
 #: Stretches that a worker remembers; all are forgotten after a batch with so many characters of new ones.
 REMEMBERED, REMEMBERED_CHARS = 400_000, 4_000_000
