@@ -21,25 +21,39 @@ def edge_bundle(spark, sf_dir):
     """PF6/J5/J6/T6: canonical edges at a cutoff, each with claim, observations, evidence and conflicts."""
     log = facts.keyed_observations(views.observations(spark, sf_dir))
     named = F.concat_ws("/", "semantic_key", "observation_id")
-    log = log.select(F.col("semantic_key").alias("edge_id"), "observation_id", named.alias("version_id"), "source_record_id", "amount", "currency", F.col("observed_at").alias("committed_at"), F.when(F.col("source_record_id") % 41 == 0, "DELETE").otherwise("INSERT").alias("operation"))
+    log = log.select(F.col("semantic_key").alias("edge_id"), "observation_id", named.alias("version_id"), "source_record_id", "subject_id", "object_id", "amount", "currency", F.col("observed_at").alias("committed_at"), F.when(F.col("source_record_id") % 41 == 0, "DELETE").otherwise("INSERT").alias("operation"))
     live = staged(temporal.snapshot(log, stamp(SEEN), keys=("edge_id", "observation_id")), "live")
-    edges = live.groupBy("edge_id").agg(F.min("source_record_id").alias("first")).select("edge_id", F.when(F.col("first") % 5 != 0, _tag("k", "first")).alias("claim_id"))
+    first = F.min_by(F.struct("subject_id", "object_id", "committed_at"), F.struct("committed_at", "observation_id"))
+    edges = live.groupBy("edge_id").agg(F.min("source_record_id").alias("first"), first.alias("e"))
+    none = F.lit(None).cast("timestamp_ntz")
+    edges = edges.select(
+        "edge_id", F.lit("SUPPLIER_OF").alias("relation"), "e.subject_id", "e.object_id", none.alias("valid_from"), none.alias("valid_to"), F.col("e.committed_at").alias("observed_at"),
+        F.when(F.col("first") % 2 == 0, "IMPORT").alias("derivation_method"), F.when(F.col("first") % 5 != 0, _tag("k", "first")).alias("claim_id"),
+    )
     orders = table(spark, sf_dir, "orders")
-    claims = orders.where("o_orderkey % 3 <> 0").select(_tag("k", "o_orderkey").alias("claim_id"), F.when(F.col("o_orderstatus") == "F", "VERIFIED_PRIMARY").otherwise("UNVERIFIED").alias("verification_status"))
-    records = orders.select(F.col("o_orderkey").alias("source_record_id"), F.substring("o_orderpriority", 1, 1).alias("source_id"), _tag("x", "o_orderkey").alias("external_id"))
+    status = F.when(F.col("o_orderstatus") == "F", "VERIFIED_PRIMARY").otherwise("UNVERIFIED")
+    claims = orders.where("o_orderkey % 3 <> 0").select(_tag("k", "o_orderkey").alias("claim_id"), F.lit("FACT").alias("claim_type"), status.alias("verification_status"), F.when(F.col("o_orderkey") % 7 == 0, F.col("o_orderpriority")).alias("literal_value"))
+    records = orders.select(
+        F.col("o_orderkey").alias("source_record_id"), F.substring("o_orderpriority", 1, 1).alias("source_id"), _tag("x", "o_orderkey").alias("external_id"),
+        _tag("s3/", "o_orderkey").alias("payload_uri"), F.sha2(F.col("o_orderkey").cast("string"), 256).alias("payload_hash"), F.col("o_orderdate").alias("retrieved_at"),
+    )
     sources = orders.select(F.substring("o_orderpriority", 1, 1).alias("source_id"), F.col("o_orderpriority").alias("source_code")).distinct()
     cited = orders.where("o_orderkey % 5 <> 0").select(_tag("k", "o_orderkey").alias("claim_id"), F.explode(F.array(F.lit(0), F.lit(1))).alias("n"), "o_orderkey", "o_custkey")
     evidence = cited.select(
         "claim_id", F.concat_ws("-", "claim_id", "n").alias("evidence_id"), F.concat(F.lit("E"), ((F.col("o_orderkey") + F.col("n")) % 6).cast("string")).alias("strength"),
+        F.when(F.col("n") == 0, "PARSER").otherwise("MANUAL").alias("extraction_method"), F.concat(F.lit("/"), F.col("n")).alias("locator"),
         F.when(F.col("n") == 0, F.col("o_orderkey")).alias("source_record_id"), F.when(F.col("n") == 1, F.col("o_custkey")).alias("document_version_id"),
     )
     customers = table(spark, sf_dir, "customer")
     versions = customers.where("c_custkey % 4 <> 0").select(F.col("c_custkey").alias("document_version_id"), F.col("c_nationkey").alias("document_id"))
-    documents = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("document_id"), F.col("n_name").alias("title"))
-    observed = live.select("edge_id", F.col("version_id").alias("observation_id"), "source_record_id", F.col("committed_at").alias("created_at"), F.col("currency").alias("detail"))
+    documents = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("document_id"), F.col("n_name").alias("title"), _tag("http://d/", "n_nationkey").alias("canonical_uri"))
+    observed = live.select("edge_id", F.col("version_id").alias("observation_id"), "source_record_id", "amount", "currency", none.alias("valid_from"), none.alias("valid_to"), F.lit("ACTIVE").alias("observation_status"), F.to_json(F.struct("currency")).alias("details"), F.col("committed_at").alias("created_at"))
     odd = facts.numeric_mismatches(live.withColumn("semantic_key", F.col("edge_id")))
     one = lambda c: F.concat_ws("/", "semantic_key", c)
-    conflicts = odd.select(F.concat_ws("-", one("observation_a"), "observation_b").alias("conflict_id"), one("observation_a").alias("observation_a"), one("observation_b").alias("observation_b"), stamp(SEEN).alias("created_at"), F.lit("OPEN").alias("status"))
+    conflicts = odd.select(
+        F.concat_ws("-", one("observation_a"), "observation_b").alias("conflict_id"), "conflict_type", F.lit("OPEN").alias("status"), F.to_json(F.struct("members", "other_members")).alias("details"),
+        one("observation_a").alias("observation_a"), one("observation_b").alias("observation_b"), stamp(SEEN).alias("created_at"),
+    )
     return detail.evidence_bundle(edges, claims, observed, evidence, records, sources, versions, documents, conflicts)
 
 
@@ -133,15 +147,19 @@ jobs AS (SELECT job_id, started_at, CASE WHEN status <> 'RUNNING' THEN ts END AS
 _LATEST = "SELECT * FROM ({rows}) WHERE ts <= TIMESTAMP '" + CUTOFF + "' QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY ts DESC, event_id DESC) = 1"
 ORACLE_SQL = {
     "edge_bundle": f"""
-WITH {views.KEYED}, v AS (SELECT semantic_key AS e, observation_id AS o, semantic_key || '/' || observation_id AS oid, source_record_id AS r, amount, currency, observed_at AS ts FROM keyed WHERE observed_at <= TIMESTAMP '{SEEN}' AND source_record_id % 41 <> 0),
-edge AS (SELECT e, CASE WHEN min(r) % 5 <> 0 THEN min(r) END AS k FROM v GROUP BY e),
-cls AS (SELECT e, amount, currency, min(o) AS o FROM v GROUP BY ALL)
-SELECT e AS edge_id, 'edge' AS part, NULL::TIMESTAMP AS order_time, NULL AS order_text, 'k' || k AS item_id, NULL AS source_code, NULL AS external_id, CASE WHEN k % 3 <> 0 THEN CASE WHEN o_orderstatus = 'F' THEN 'VERIFIED_PRIMARY' ELSE 'UNVERIFIED' END END AS detail
+WITH {views.KEYED}, v AS (SELECT semantic_key AS e, observation_id AS o, semantic_key || '/' || observation_id AS oid, source_record_id AS r, subject_id, object_id, amount, currency, observed_at AS ts FROM keyed WHERE observed_at <= TIMESTAMP '{SEEN}' AND source_record_id % 41 <> 0),
+edge AS (SELECT e, min(r) AS f, CASE WHEN min(r) % 5 <> 0 THEN min(r) END AS k, min(subject_id) AS s, min(object_id) AS t, min(ts) AS ts FROM v GROUP BY e),
+cls AS (SELECT e, amount, currency, min(o) AS o, count(*) AS n FROM v GROUP BY e, amount, currency),
+b AS (
+SELECT e AS edge_id, 'edge' AS part, NULL::TIMESTAMP AS order_time, NULL AS order_text, 'k' || k AS item_id, 'SUPPLIER_OF' || CASE WHEN k % 3 <> 0 THEN '/FACT' ELSE '' END AS kind, CASE WHEN k % 3 <> 0 THEN CASE WHEN o_orderstatus = 'F' THEN 'VERIFIED_PRIMARY' ELSE 'UNVERIFIED' END END AS status, s AS a, t AS b,
+  ts AS seen_at, NULL::DECIMAL(24,6) AS amount, NULL AS currency, CASE WHEN f % 2 = 0 THEN 'IMPORT' END AS method, CASE WHEN k % 3 <> 0 AND k % 7 = 0 THEN o_orderpriority END AS literal, NULL AS details, NULL AS source_code, NULL AS external_id, NULL AS uri, NULL AS hash, NULL AS locator, NULL AS document_uri, NULL AS title
 FROM edge LEFT JOIN orders ON o_orderkey = k
-UNION ALL SELECT e, 'observation', ts, NULL, oid, o_orderpriority, 'x' || r, currency FROM v JOIN orders ON o_orderkey = r
-UNION ALL SELECT e, 'evidence', NULL, 'E' || (k + n) % 6, 'k' || k || '-' || n, CASE WHEN n = 0 THEN o_orderpriority END, CASE WHEN n = 0 THEN 'x' || k END, CASE WHEN n = 1 AND o_custkey % 4 <> 0 THEN n_name END
+UNION ALL SELECT e, 'observation', ts, NULL, oid, NULL, 'ACTIVE', NULL, NULL, o_orderdate, amount, currency, NULL, NULL, '{{"currency":"' || currency || '"}}', o_orderpriority, 'x' || r, 's3/' || r, sha256(CAST(r AS VARCHAR)), NULL, NULL, NULL FROM v JOIN orders ON o_orderkey = r
+UNION ALL SELECT e, 'evidence', NULL, 'E' || (k + n) % 6, 'k' || k || '-' || n, NULL, NULL, NULL, NULL, NULL, NULL, NULL, CASE n WHEN 0 THEN 'PARSER' ELSE 'MANUAL' END, NULL, NULL, CASE WHEN n = 0 THEN o_orderpriority END, CASE WHEN n = 0 THEN 'x' || k END, CASE WHEN n = 0 THEN 's3/' || k END, NULL,
+  '/' || n, CASE WHEN n = 1 AND o_custkey % 4 <> 0 THEN 'http://d/' || n_nationkey END, CASE WHEN n = 1 AND o_custkey % 4 <> 0 THEN n_name END
 FROM edge JOIN orders ON o_orderkey = k JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey CROSS JOIN (VALUES (0), (1)) t(n)
-UNION ALL SELECT a.e, 'conflict', TIMESTAMP '{SEEN}', NULL, a.e || '/' || a.o || '-' || b.o, NULL, NULL, 'OPEN' FROM cls a JOIN cls b ON a.e = b.e AND a.o < b.o
+UNION ALL SELECT x.e, 'conflict', TIMESTAMP '{SEEN}', NULL, x.e || '/' || x.o || '-' || y.o, 'NUMERIC_MISMATCH', 'OPEN', x.e || '/' || x.o, x.e || '/' || y.o, NULL, NULL, NULL, NULL, NULL, '{{"members":' || x.n || ',"other_members":' || y.n || '}}', NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM cls x JOIN cls y ON x.e = y.e AND x.o < y.o)
+SELECT *, NULL::TIMESTAMP AS valid_from, NULL::TIMESTAMP AS valid_to FROM b
 """,
     "entity_detail": f"""
 WITH e AS ({_LATEST.format(rows="SELECT * FROM events", keys="user_id")}), i AS ({_LATEST.format(rows="SELECT * FROM events", keys="user_id, event_type")})
