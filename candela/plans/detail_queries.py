@@ -118,8 +118,8 @@ def audit_append(spark, sf_dir):
     return detail.audit_entries(_jobs(spark, sf_dir).where("finished_at is not null"), "importer", "JOB_FINISHED", "job", "job_id", ["status", "entries"])
 
 
-def tender_parties(spark, sf_dir):
-    """ER9/F27: suppliers as winners of orders, matched by national number, then by the tender's own identifiers."""
+def _tender_parties(spark, sf_dir):
+    """Suppliers as winners of orders, matched by national number, then by the tender's own identifiers."""
     line, supplier = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "supplier")
     won = line.select("l_orderkey", "l_linenumber", "l_suppkey").join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
     parties = won.select(
@@ -127,15 +127,29 @@ def tender_parties(spark, sf_dir):
         F.when(F.col("s_suppkey") % 3 != 0, _tag("n", "s_suppkey")).alias("identifier"), F.when(F.col("s_suppkey") % 5 != 0, F.col("s_nationkey").cast("string")).alias("country"),
     )
     rows = [
-        supplier.where(f"s_suppkey % {step} = 0").select(F.concat(F.lit(prefix), F.col("s_suppkey")).alias("entity_id"), F.lit(scheme).alias("scheme"), _tag("n", "s_suppkey").alias("value"), F.when(F.col("s_suppkey") % 11 != 0, F.col("s_nationkey").cast("string")).alias("country"), (F.col("s_suppkey") % step == 0).alias("verified"), F.col("s_suppkey").alias("created_at"))
+        supplier.where(f"s_suppkey % {step} = 0").select(F.concat(F.lit(prefix), F.col("s_suppkey")).alias("entity_id"), F.lit(scheme).alias("scheme"), _tag("N", "s_suppkey").alias("value"), F.when(F.col("s_suppkey") % 11 != 0, F.col("s_nationkey").cast("string")).alias("country"), (F.col("s_suppkey") % step == 0).alias("verified"), F.col("s_suppkey").alias("created_at"))
         for scheme, prefix, step in (("NATIONAL_COMPANY_NUMBER", "e", 2), ("NATIONAL_COMPANY_NUMBER", "f", 4), ("TED_ORG_IDENTIFIER", "t", 7))
     ]
     identifiers = rows[0].unionByName(rows[1]).unionByName(rows[2])
-    mappings = supplier.where("s_suppkey % 9 = 0").select(F.lit("TENDERS").alias("source"), F.concat(F.lit("winner:1:1:"), F.col("s_name")).alias("external_key"), _tag("m", "s_suppkey").alias("entity_id"))
-    return detail.match_parties(parties, mappings, identifiers).drop("source")
+    mappings = supplier.where("s_suppkey % 9 = 0").select(F.lit("TENDERS").alias("source"), F.concat(F.lit("winner:1:1:"), F.lower(F.replace(F.col("s_name"), F.lit("#"), F.lit(" ")))).alias("external_key"), _tag("m", "s_suppkey").alias("entity_id"))
+    return parties, detail.match_parties(parties, mappings, identifiers)
+
+
+def tender_parties(spark, sf_dir):
+    """ER9/F27: the parties' entities."""
+    return _tender_parties(spark, sf_dir)[1].drop("source")
+
 
+def tender_party_rows(spark, sf_dir):
+    """ER9/ER5: the identifiers and mappings that the parties leave behind."""
+    parties, matched = _tender_parties(spark, sf_dir)
+    ids, mappings = detail.party_rows(parties, staged(matched, "matched"))
+    none = F.lit(None)
+    shown = ids.select(F.lit("identifier").alias("part"), "entity_id", F.col("scheme").alias("kind"), "value", "country", none.cast("double").alias("confidence"))
+    return shown.unionByName(mappings.select(F.lit("mapping").alias("part"), "entity_id", F.col("method").alias("kind"), F.col("external_key").alias("value"), none.cast("string").alias("country"), "confidence"))
 
-QUERIES = {f.__name__: f for f in (edge_bundle, entity_detail, edge_claims, case_synthetic, claim_shapes, source_registry, job_log, audit_append, tender_parties)}
+
+QUERIES = {f.__name__: f for f in (edge_bundle, entity_detail, edge_claims, case_synthetic, claim_shapes, source_registry, job_log, audit_append, tender_parties, tender_party_rows)}
 
 _JOBS = """
 l AS (SELECT user_id || '/' || strftime(ts, '%Y-%m-%d') AS job_id, user_id, event_id, ts, props, CASE event_type WHEN 'error' THEN 'FAILED' WHEN 'purchase' THEN 'SUCCEEDED' WHEN 'signup' THEN 'PARTIAL' ELSE 'RUNNING' END AS status FROM events),
@@ -144,6 +158,18 @@ n AS (SELECT job_id, min(ts) AS started_at, count(*) AS entries FROM l GROUP BY
 jobs AS (SELECT job_id, started_at, CASE WHEN status <> 'RUNNING' THEN ts END AS finished_at, status, CASE WHEN status <> 'RUNNING' THEN user_id END AS source_record_id,
   CASE WHEN status <> 'RUNNING' THEN 'a' || event_id END AS raw_artifact_id, CASE WHEN status = 'FAILED' THEN props END AS error, entries FROM f JOIN n USING (job_id))
 """
+_PARTIES = """
+p AS (SELECT 'winner:' || l_orderkey || ':' || l_linenumber || ':' || CASE WHEN s_suppkey % 3 <> 0 THEN 'N' || s_suppkey ELSE lower(replace(s_name, '#', ' ')) END AS external_key, s_suppkey AS k, CAST(s_nationkey AS VARCHAR) AS nation, l_orderkey, l_linenumber FROM lineitem JOIN supplier ON l_suppkey = s_suppkey),
+m AS (SELECT DISTINCT external_key, k, nation,
+  CASE WHEN k % 3 <> 0 AND k % 5 <> 0 AND k % 2 = 0 THEN 'e' || k
+       WHEN k % 9 = 0 AND l_orderkey = 1 AND l_linenumber = 1 THEN 'm' || k WHEN k % 3 <> 0 AND k % 7 = 0 THEN 't' || k
+       WHEN k % 3 <> 0 THEN sha256('=TED_ORG_IDENTIFIER|=N' || k || '|' || CASE WHEN k % 5 <> 0 THEN '=' || nation ELSE '~' END)
+       ELSE sha256('=TENDERS|=' || external_key) END AS entity_id,
+  CASE WHEN k % 3 <> 0 AND k % 5 <> 0 AND k % 2 = 0 THEN 'CROSS_SOURCE_NATIONAL_ID_MATCH' WHEN k % 9 = 0 AND l_orderkey = 1 AND l_linenumber = 1 THEN 'SOURCE_MAPPING'
+       WHEN k % 3 <> 0 AND k % 7 = 0 THEN 'IDENTIFIER_MATCH' ELSE 'MINTED' END AS method,
+  CASE WHEN k % 3 <> 0 AND k % 5 <> 0 AND k % 2 = 0 THEN 1.0::DOUBLE END AS confidence
+FROM p)
+"""
 _LATEST = "SELECT * FROM ({rows}) WHERE ts <= TIMESTAMP '" + CUTOFF + "' QUALIFY row_number() OVER (PARTITION BY {keys} ORDER BY ts DESC, event_id DESC) = 1"
 ORACLE_SQL = {
     "edge_bundle": f"""
@@ -192,16 +218,9 @@ FROM customer WHERE c_custkey % 3 <> 0 OR c_custkey % 4 <> 0
 """,
     "job_log": f"WITH {_JOBS} SELECT * FROM jobs",
     "audit_append": f"""WITH {_JOBS} SELECT 'importer' AS actor, 'JOB_FINISHED' AS action, 'job:' || job_id AS resource, '{{"status":"' || status || '","entries":' || entries || '}}' AS details FROM jobs WHERE finished_at IS NOT NULL""",
-    "tender_parties": """
-WITH p AS (SELECT 'winner:' || l_orderkey || ':' || l_linenumber || ':' || CASE WHEN s_suppkey % 3 <> 0 THEN 'n' || s_suppkey ELSE s_name END AS external_key, s_name, s_suppkey AS k, CAST(s_nationkey AS VARCHAR) AS nation, l_orderkey, l_linenumber FROM lineitem JOIN supplier ON l_suppkey = s_suppkey)
-SELECT DISTINCT external_key,
-  CASE WHEN k % 3 <> 0 AND k % 5 <> 0 AND k % 2 = 0 THEN 'e' || k
-       WHEN k % 9 = 0 AND l_orderkey = 1 AND l_linenumber = 1 THEN 'm' || k WHEN k % 3 <> 0 AND k % 7 = 0 THEN 't' || k
-       WHEN k % 3 <> 0 THEN sha256('=TED_ORG_IDENTIFIER|=n' || k || '|' || CASE WHEN k % 5 <> 0 THEN '=' || nation ELSE '~' END)
-       ELSE sha256('=TENDERS|=' || external_key) END AS entity_id,
-  CASE WHEN k % 3 <> 0 AND k % 5 <> 0 AND k % 2 = 0 THEN 'CROSS_SOURCE_NATIONAL_ID_MATCH' WHEN k % 9 = 0 AND l_orderkey = 1 AND l_linenumber = 1 THEN 'SOURCE_MAPPING'
-       WHEN k % 3 <> 0 AND k % 7 = 0 THEN 'IDENTIFIER_MATCH' ELSE 'MINTED' END AS method,
-  CASE WHEN k % 3 <> 0 AND k % 5 <> 0 AND k % 2 = 0 THEN 1.0::DOUBLE END AS confidence
-FROM p
-""",
+    "tender_parties": f"WITH {_PARTIES} SELECT external_key, entity_id, method, confidence FROM m",
+    "tender_party_rows": f"""
+WITH {_PARTIES}, r AS (SELECT * FROM m WHERE method <> 'SOURCE_MAPPING')
+SELECT DISTINCT 'identifier' AS part, entity_id, CASE WHEN k % 3 <> 0 THEN 'TED_ORG_IDENTIFIER' ELSE 'SOURCE:TENDERS' END AS kind, CASE WHEN k % 3 <> 0 THEN 'N' || k ELSE external_key END AS value, CASE WHEN k % 5 <> 0 THEN nation END AS country, NULL::DOUBLE AS confidence FROM r
+UNION ALL SELECT 'mapping', entity_id, CASE WHEN method LIKE 'CROSS%' THEN method WHEN k % 3 <> 0 THEN 'EXACT_TED_ORG_IDENTIFIER' ELSE 'SOURCE_SCOPED_ID' END, external_key, NULL, 1.0 FROM r""",
 }

@@ -73,3 +73,19 @@ def test_countries_are_two_characters_and_amounts_fit(spark):
     edges = spark.createDataFrame([(Decimal(a),) for a in ("1.5", "0.0000001", "999999999999999999", "9999999999999999999")], "amount decimal(38,12)")
     found = edges.select("amount", quality.broken_rules({"amount": quality.edge_rules()["amount"]}).alias("b")).collect()
     assert [bool(r.b) for r in found] == [False, True, False, True]
+
+
+def test_parties_leave_identifiers_and_mappings_under_normal_forms(spark):
+    parties = spark.createDataFrame(
+        [("TED", "n1", "winner", 0, "Ácme, GmbH", "cz 12-3", "CZ"), ("TED", "n1", "winner", 1, "Ácme, GmbH", None, "CZ"), ("TED", "n2", "buyer", 0, "Town  Hall", " ", None), ("TED", "n3", "winner", 0, "Known", "7", "CZ")],
+        "source string, notice_id string, role string, index int, name string, identifier string, country string",
+    )
+    identifiers = spark.createDataFrame([("e1", "NATIONAL_COMPANY_NUMBER", "CZ123", "CZ", True, 1)], "entity_id string, scheme string, value string, country string, verified boolean, created_at long")
+    mappings = spark.createDataFrame([("TED", "winner:n3:0:7", "m1")], "source string, external_key string, entity_id string")
+    matched = detail.match_parties(parties, mappings, identifiers)
+    got = {r.external_key: (r.entity_id, r.method) for r in matched.collect()}
+    assert set(got) == {"winner:n1:0:CZ123", "winner:n1:1:ácme", "buyer:n2:0:town hall", "winner:n3:0:7"}
+    assert got["winner:n1:0:CZ123"] == ("e1", "CROSS_SOURCE_NATIONAL_ID_MATCH") and got["winner:n3:0:7"] == ("m1", "SOURCE_MAPPING")
+    ids, rows = detail.party_rows(parties, matched)
+    assert {(r.scheme, r.value, r.verified) for r in ids.collect()} == {("TED_ORG_IDENTIFIER", "CZ123", True), ("SOURCE:TED", "winner:n1:1:ácme", True), ("SOURCE:TED", "buyer:n2:0:town hall", True)}
+    assert {(r.external_key, r.method, r.confidence) for r in rows.collect()} == {("winner:n1:0:CZ123", "CROSS_SOURCE_NATIONAL_ID_MATCH", 1.0), ("winner:n1:1:ácme", "SOURCE_SCOPED_ID", 1.0), ("buyer:n2:0:town hall", "SOURCE_SCOPED_ID", 1.0)}
