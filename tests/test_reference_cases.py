@@ -4,6 +4,8 @@ import json
 from datetime import datetime as D
 from decimal import Decimal
 
+from pyspark.sql import functions as F
+
 from candela.operators import detail, quality
 from candela.sources import registers
 
@@ -89,3 +91,19 @@ def test_parties_leave_identifiers_and_mappings_under_normal_forms(spark):
     ids, rows = detail.party_rows(parties, matched)
     assert {(r.scheme, r.value, r.verified) for r in ids.collect()} == {("TED_ORG_IDENTIFIER", "CZ123", True), ("SOURCE:TED", "winner:n1:1:ácme", True), ("SOURCE:TED", "buyer:n2:0:town hall", True)}
     assert {(r.external_key, r.method, r.confidence) for r in rows.collect()} == {("winner:n1:0:CZ123", "CROSS_SOURCE_NATIONAL_ID_MATCH", 1.0), ("winner:n1:1:ácme", "SOURCE_SCOPED_ID", 1.0), ("buyer:n2:0:town hall", "SOURCE_SCOPED_ID", 1.0)}
+
+
+def test_only_active_observations_count_and_details_merge(spark):
+    from candela.operators import facts
+
+    rows = [("r1", "k", 1, D(2024, 1, 1), Decimal(5), "ACTIVE", {"a": "1", "b": "1"}), ("r2", "k", 2, D(2024, 1, 2), Decimal(6), "SUPERSEDED", {"a": "x"}), ("r3", "k", 3, D(2024, 1, 3), Decimal(7), "ACTIVE", {"b": "2"}), ("r4", "j", 4, D(2024, 1, 1), None, "ACTIVE", None)]
+    keyed = spark.createDataFrame(rows, "source_record_id string, semantic_key string, observation_id long, observed_at timestamp_ntz, amount decimal(24,6), observation_status string, details map<string,string>")
+    for c in ("subject_id", "relation", "object_id", "currency"):
+        keyed = keyed.withColumn(c, F.lit(c))
+    for c in ("valid_from", "valid_to"):
+        keyed = keyed.withColumn(c, F.lit(None).cast("timestamp_ntz"))
+    got = {r.semantic_key: (r.observation_count, r.first_observation_id, r.details) for r in facts.canonical_edges(keyed).collect()}
+    assert got == {"k": (2, 1, {"a": "1", "b": "2"}), "j": (1, 4, None)}
+    assert [(r.observation_a, r.observation_b) for r in facts.numeric_mismatches(keyed).collect()] == [(1, 3)]
+    links = facts.evidence_links(keyed.unionByName(keyed).withColumn("locator", F.lit("/x"))).collect()
+    assert len(links) == 4 and {(r.evidence_strength, r.locator) for r in links} == {("E1", "/x")}
