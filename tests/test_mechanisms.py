@@ -110,6 +110,24 @@ def test_many_cutoffs_need_no_nested_loop(spark, capsys):
     assert "NestedLoop" not in capsys.readouterr().out
 
 
+def test_running_totals_meet_no_pair_of_version_and_cutoff(spark, capsys):
+    rng = random.Random(4)
+    day = lambda: D(2024, 1, 1) + timedelta(hours=rng.randrange(300))
+    intervals = [(s, s + timedelta(hours=rng.randrange(0, 90)) if rng.random() < 0.8 else None, rng.choice(["INSERT", "DELETE"]), rng.choice([None, Decimal(rng.randrange(-500, 500)) / 8])) for _ in range(80) for s in [day()]] + [(None, None, "INSERT", Decimal(1)), (D(2023, 6, 1), D(2023, 6, 2), "INSERT", None)]
+    cutoffs = {day() for _ in range(50)} | {D(2023, 6, 1, 5), D(2022, 1, 1), D(2030, 1, 1), None}
+    rows, asked = spark.createDataFrame(intervals, "known_from timestamp_ntz, known_to timestamp_ntz, operation string, value decimal(24,6)"), spark.createDataFrame([(t,) for t in cutoffs], "known_at timestamp_ntz")
+    want = {}
+    for t in cutoffs - {None}:
+        live = [v for s, e, o, v in intervals if o != "DELETE" and s and s <= t and (e is None or t < e)]
+        if live:
+            want[t] = (len(live), sum((v for v in live if v is not None), Decimal(0)) if any(v is not None for v in live) else None)
+    for bins in (1, 3, 1024):
+        got = temporal.live_totals(rows, asked, "value", bins=bins)
+        assert {r.known_at: (r.live, r.total) for r in got.collect()} == want
+    got.explain()
+    assert "NestedLoop" not in capsys.readouterr().out
+
+
 def test_evidence_store(spark, tmp_path):
     store = evidence.EvidenceStore(spark, f"{tmp_path}/e")
     rows = lambda *r: spark.createDataFrame([(s, e, bytearray(c) if c is not None else None) for s, e, c in r], "source string, external_id string, content binary")
