@@ -2,6 +2,7 @@
 
 import datetime as dt
 import difflib
+import random
 import re
 import unicodedata
 from decimal import Decimal
@@ -162,6 +163,27 @@ def test_resolution_order(spark):
     assert got["1"] == ("mapped", "SOURCE_MAPPING") and got["2"] == ("good", "IDENTIFIER_MATCH") and got["3"][1] == got["4"][1] == "MINTED"
 
 
+def test_resolution_meets_each_shared_value_once(spark):
+    rng = random.Random(3)
+    country, value = lambda: rng.choice(["SK", "CZ", None]), lambda: rng.choice(["A", "B", "C", "", None])
+    ids = [(f"e{k}", rng.choice(["LEI", "VAT"]), rng.choice("ABD"), country(), rng.random() < 0.3, rng.randrange(4)) for k in range(60)]
+    asked = [("f", str(k), rng.choice(["LEI", "VAT", None]), value(), country()) for k in range(80)] + [("f", "5", "LEI", "A", "SK")]
+    records = spark.createDataFrame(asked, "source string, external_key string, scheme string, value string, country string")
+    none = spark.createDataFrame([], "source string, external_key string, entity_id string")
+    rows = resolution.resolve(records, none, spark.createDataFrame(ids, "entity_id string, scheme string, value string, country string, verified boolean, created_at long"))
+    hits = {}
+    for _, key, scheme, v, c in asked:
+        hits.setdefault(key, []).extend((not ok, at, e) for e, s, w, d, ok, at in ids if v and (s, w) == (scheme, v) and (c is None or d is None or c == d))
+    assert sorted((r.external_key, r.entity_id if r.method == "IDENTIFIER_MATCH" else None) for r in rows.collect()) == sorted((key, min(hits[key])[2] if hits[key] else None) for _, key, *_ in asked)
+    # All records and identifiers share one value: rows of the joins stay those of the records.
+    same = spark.range(3000).select(F.lit("f").alias("source"), F.col("id").cast("string").alias("external_key"), F.lit("VAT").alias("scheme"), F.lit("1").alias("value"), F.when(F.col("id") % 3 != 0, F.lit("SK")).alias("country"))
+    known = spark.range(3000).select(F.concat(F.lit("e"), "id").alias("entity_id"), F.lit("VAT").alias("scheme"), F.lit("1").alias("value"), F.lit("SK").alias("country"), F.lit(True).alias("verified"), F.col("id").alias("created_at"))
+    plan = resolution.resolve(same, none, known)
+    assert [tuple(r) for r in plan.groupBy("entity_id").count().collect()] == [("e0", 3000)]
+    text = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert "known_country#" not in "".join(line for line in text.splitlines() if "Join" in line)
+
+
 # ---- statistics, wealth
 
 
