@@ -127,6 +127,18 @@ def test_paths_share_an_interval(spark):
         graph.find_paths(edges, requests, degree_budget=0)
 
 
+def test_keys_move_as_texts_and_end_as_digests(spark):
+    rows = [(1, "r", "a", "REL", "b", None, None, D(2020, 1, 2), Decimal(1), "EUR"), (2, "r", "a", "REL", "b", None, None, D(2020, 1, 1), Decimal(2), "EUR"), (3, "q", "a", "REL", "b", None, D(2021, 1, 1), D(2020, 1, 1), None, None), (4, "q", "a", "REL", "a", None, None, D(2020, 1, 1), None, None)]
+    seen = spark.createDataFrame(rows, "observation_id long, source_record_id string, subject_id string, relation string, object_id string, valid_from timestamp_ntz, valid_to timestamp_ntz, observed_at timestamp_ntz, amount decimal(24,6), currency string")
+    keyed, texts = facts.keyed_observations(seen), facts.keyed_observations(seen, digest=False)
+    assert sorted(map(tuple, texts.withColumn("semantic_key", facts.digested("semantic_key")).collect())) == sorted(map(tuple, keyed.collect()))
+    expected = keys.semantic_key(*[F.col(c) for c in facts.PARTS])
+    assert keyed.where(expected != F.col("semantic_key")).count() == 0 and sorted(r.observation_id for r in keyed.collect()) == [2, 3]
+    # The digest is made after the rows have moved.
+    plan = texts._jdf.queryExecution().optimizedPlan().toString()
+    assert "sha2" not in plan
+
+
 # ---- resolution
 
 
