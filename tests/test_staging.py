@@ -2,7 +2,8 @@
 
 import os
 
-from candela.session import staged, staging
+from candela.plans import feed_queries
+from candela.session import shared_folder, staged, staging
 
 
 def test_a_block_deletes_what_it_staged_and_no_more(spark):
@@ -17,3 +18,10 @@ def test_a_block_deletes_what_it_staged_and_no_more(spark):
     with staging(spark) as empty:
         pass
     assert not os.path.exists(empty)
+
+
+def test_an_import_keeps_its_tables_and_nothing_that_it_staged(spark):
+    folder = shared_folder(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
+    assert feed_queries.import_job(spark, "/root/testdata/sf0.001").where("part = 'claims'").count() > 0
+    assert [name.split("-")[0] for name in set(os.listdir(folder)) - before] == ["import"]
