@@ -107,3 +107,12 @@ def test_only_active_observations_count_and_details_merge(spark):
     assert [(r.observation_a, r.observation_b) for r in facts.numeric_mismatches(keyed).collect()] == [(1, 3)]
     links = facts.evidence_links(keyed.unionByName(keyed).withColumn("locator", F.lit("/x"))).collect()
     assert len(links) == 4 and {(r.evidence_strength, r.locator) for r in links} == {("E1", "/x")}
+
+
+def test_parties_are_made_distinct_once(spark):
+    parties = spark.createDataFrame([("TED", "n1", "winner", 0, "Known", "7", "CZ")] * 2, "source string, notice_id string, role string, index int, name string, identifier string, country string")
+    identifiers = spark.createDataFrame([], "entity_id string, scheme string, value string, country string, verified boolean, created_at long")
+    matched = detail.match_parties(parties, spark.createDataFrame([("TED", "winner:n1:0:7", "m1")], "source string, external_key string, entity_id string"), identifiers)
+    assert [(r.external_key, r.entity_id) for r in matched.collect()] == [("winner:n1:0:7", "m1")]
+    # All branches read what that gave.
+    assert matched.inputFiles() and all("/parties-" in f for f in matched.inputFiles())
