@@ -189,7 +189,7 @@ def test_resolution_meets_each_shared_value_once(spark):
     assert sorted((r.external_key, r.entity_id if r.method == "IDENTIFIER_MATCH" else None) for r in rows.collect()) == sorted((key, min(hits[key])[2] if hits[key] else None) for _, key, *_ in asked)
     # All records and identifiers share one value: rows of the joins stay those of the records.
     same = spark.range(3000).select(F.lit("f").alias("source"), F.col("id").cast("string").alias("external_key"), F.lit("VAT").alias("scheme"), F.lit("1").alias("value"), F.when(F.col("id") % 3 != 0, F.lit("SK")).alias("country"))
-    known = spark.range(3000).select(F.concat(F.lit("e"), "id").alias("entity_id"), F.lit("VAT").alias("scheme"), F.lit("1").alias("value"), F.lit("SK").alias("country"), F.lit(True).alias("verified"), F.col("id").alias("created_at"))
+    known = spark.range(3000).select(F.concat(F.lit("e"), "id").alias("entity_id"), F.lit("VAT").alias("scheme"), F.lit("1").alias("value"), F.when(F.col("id") % 5 != 4, F.lit("SK")).alias("country"), F.lit(True).alias("verified"), F.col("id").alias("created_at"))
     plan = resolution.resolve(same, none, known)
     assert [tuple(r) for r in plan.groupBy("entity_id").count().collect()] == [("e0", 3000)]
     text = plan._jdf.queryExecution().optimizedPlan().toString()
