@@ -585,6 +585,21 @@ def test_quality_weights_lessen_the_pairwise_loss():
     assert np.mean(model.scores(x) >= quality.THRESHOLD) == pytest.approx(good.mean(), abs=0.01)
 
 
+def test_quality_learns_from_every_labelled_row(spark, monkeypatch):
+    monkeypatch.setattr(quality, "BINS", 16)
+    n = 11_000
+    texts = [(k, "plain words that say something. " * (1 + k % 7) + ("$$ ## " * (k % 5) if k % 3 == 0 else "")) for k in range(n)]
+    docs, labels = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame([(k, int(k % 3 != 0)) for k in range(n)], "doc_id long, quality int")
+    learned = [(k, t) for k, t in texts if zlib.crc32(str(k).encode()) % 4 != 2]
+    x, good = quality.matrix([t for _, t in learned]), np.array([int(k % 3 != 0) for k, _ in learned])
+    model = quality.train(docs, labels)
+    assert model.mean == pytest.approx(x.mean(axis=0), rel=1e-9)
+    assert model.spread == pytest.approx(x.std(axis=0) + 1e-6, rel=1e-6, abs=1e-9)
+    assert model.middle == pytest.approx(np.quantile(model.worth(x), (good == 0).mean()), rel=1e-9)
+    monkeypatch.setattr(quality, "BLOCK", 20_000)
+    assert quality.train(docs, labels).weights == pytest.approx(quality.fit(x, good).weights, abs=1e-6)
+
+
 def test_quality_of_odd_labels(spark):
     rows = [(k, f"A fine sentence number {k}, with words." if k % 2 else "$$ ## $$ ##") for k in range(40)] + [(None, "x"), (3, None), (3, "y"), (50, "")]
     labels = [(k, k % 2) for k in range(40)] + [(None, 1), (2, 0), (2, 1), (5, None), (900, 1)]
