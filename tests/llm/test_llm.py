@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -442,6 +443,38 @@ def test_shared_passages_of_repeated_ids_and_hot_documents(spark, monkeypatch):
     assert set(links) == set(range(9)) and min(links.values()) >= 1
 
 
+def test_passages_between_later_sharers_of_common_seeds(spark):
+    # Every seed of the passage has a document before, and one between, the two that hold all of it; none of those shares 50 words.
+    texts = {}
+    for trial in range(6):
+        p = [f"p{trial}x{k}" for k in range(80)]
+        edited = [w if k != 40 else "edited" for k, w in enumerate(p)]
+        parts = {0: p[:36], 1: p[18:58], 2: p[44:], 3: p, 4: p[:36], 5: p[18:58], 6: p[44:], 7: edited}
+        for doc, own in parts.items():
+            texts[trial * 10 + doc] = " ".join([f"f{trial}x{doc}x{k}" for k in range(70)] + own + [f"g{trial}x{doc}x{k}" for k in range(70)])
+    got = substring.shared_passages(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.other_id, r.class_id) for r in got} == {(10 * t + 7, 10 * t + 3, 10 * t + 3) for t in range(6)}
+
+
+def test_key_pairs_over_blocks_are_all_pairs():
+    rng = np.random.default_rng(2)
+    n = 200
+    c, doc, x1 = rng.integers(-1, 3, n), rng.integers(0, 80, n), rng.integers(0, 500, n)
+    x2, block = x1 + rng.integers(1, substring.NEAR, n), rng.integers(0, 3, n)
+    rows = list(zip(c.tolist(), doc.tolist(), x1.tolist(), x2.tolist()))
+    near = lambda p, q: p[3] - p[2] + q[3] - q[2] < substring.NEAR + substring.SEED
+    want = sorted((q[1], p[1], q[2], q[3], p[2], p[3]) for p in rows for q in rows if p[1] < q[1] and (p[0] != q[0] or p[0] < 0) and near(p, q))
+    tiles = []
+    for low in range(3):
+        for high in range(low, 3):
+            at = np.flatnonzero((block == low) | (block == high))
+            at = at[np.argsort(block[at], kind="stable")]
+            tiles.append(pa.RecordBatch.from_arrays([pa.array(v) for v in (np.zeros(len(at), int), np.full(len(at), low), np.full(len(at), high), block[at], c[at], doc[at], x1[at], x2[at])], list("klhocdxy")))
+    cut = [b.slice(s, 7) for b in tiles for s in range(0, b.num_rows, 7)]
+    got = [tuple(r.values()) for b in substring._compared_rows(iter(cut)) for r in b.to_pylist()]
+    assert sorted(got) == want
+
+
 def test_shared_passages_empty(none):
     assert substring.shared_passages(none).count() == 0
 
