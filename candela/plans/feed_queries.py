@@ -16,6 +16,8 @@ from candela.streaming import jobs
 
 #: The tag of the export that the queries build and read.
 PROCUREMENT_TAG = "procurement-export/1"
+#: Order keys whose acts share a file.
+ACT_KEYS = 40_000
 
 
 def _through_json(rows, schema):
@@ -229,10 +231,12 @@ def src_legal_xml(spark, sf_dir):
     alias = F.when(F.col("l_orderkey") % 2 == 1, to(F.lit("owl:sameAs"), uri(F.col("l_orderkey")))).otherwise(F.lit(""))
     node = F.concat(F.lit('<rdf:Description rdf:about="'), about, F.lit('">'), alias, "body", nested, F.lit("</rdf:Description>"))
     head = '<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:owl="http://www.w3.org/2002/07/owl#" xmlns:m="http://publications.europa.eu/ontology/cdm#" xmlns:cdm="http://elsewhere/cdm#">'
-    # Some hundred acts a file.
-    files = acts.groupBy(F.floor(F.col("l_orderkey") / 400).alias("file")).agg(F.concat(F.lit(head), F.array_join(F.collect_list(node), ""), F.lit("</rdf:RDF>")).alias("value"))
+    # Some ten thousand acts a file, a line each, so that files are few and no task holds one whole.
+    lines = acts.select(F.floor(F.col("l_orderkey") / ACT_KEYS).alias("file"), F.lit(1).alias("place"), node.alias("value"))
+    ends = F.array(F.struct(F.lit(0).alias("place"), F.lit(head).alias("value")), F.struct(F.lit(2).alias("place"), F.lit("</rdf:RDF>").alias("value")))
+    files = line.select(F.floor(F.col("l_orderkey") / ACT_KEYS).alias("file")).distinct().select("file", F.explode(ends).alias("e")).select("file", "e.*")
     path = fresh_path(spark, "acts")
-    files.repartition("file").write.partitionBy("file").text(path)
+    lines.unionByName(files).repartition("file").sortWithinPartitions("file", "place").drop("place").write.partitionBy("file").text(path)
     nodes, problems = legal_xml.read_legal_nodes(spark, path)
     found = registers.legal_relations(nodes, registers.relation_table(spark))
     return found.unionByName(problems.select(F.lit(None).cast("string").alias("subject"), F.col("problem").alias("relation"), F.lit(None).cast("string").alias("target")))

@@ -29,3 +29,14 @@ def test_many_nodes_are_streamed(spark, tmp_path, monkeypatch):
 
 def test_the_relation_table_has_no_doubt():
     assert len(registers.LEGAL_RELATIONS) == 24
+
+
+def test_acts_are_written_in_few_files(spark, monkeypatch):
+    from pathlib import Path
+
+    from candela.plans import feed_queries
+
+    read, paths = legal_xml.read_legal_nodes, []
+    monkeypatch.setattr(legal_xml, "read_legal_nodes", lambda s, path: paths.append(path) or read(s, path))
+    feed_queries.src_legal_xml(spark, "/root/testdata/sf0.01")
+    assert 1 <= len(list(Path(paths[0].removeprefix("file:")).rglob("part-*"))) <= 4
