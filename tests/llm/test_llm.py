@@ -475,6 +475,39 @@ def test_key_pairs_over_blocks_are_all_pairs():
     assert sorted(got) == want
 
 
+def test_places_with_equal_words_around_are_compared_once():
+    # A line of 12 words 60 times in each of two documents: without the words around, each place meets all of the other's.
+    line = [f"w{k}" for k in range(12)]
+    marks = substring.word_marks(substring.word_numbers(" ".join(line * 60)))
+    rows = [(None, None, d, None, None, marks) for d in (1, 2)]
+    rows += [(7, -1, d, 12 * n, 12 * n + 4, None) for d in (1, 2) for n in range(60)]
+    rows.sort(key=lambda r: (r[2], r[0] is not None))
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+    batch = pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*rows), kinds)], ["k", "c", "doc", "x1", "x2", "marks"])
+    kept = [r for b in substring._around_rows(iter([batch.slice(0, 50), batch.slice(50)])) for r in b.to_pylist()]
+    assert sorted({r["x1"] for r in kept if r["doc"] == 2}) == [12 * n for n in (0, 1, 2, 3, 4, 56, 57, 58, 59)]
+
+
+def test_many_of_a_class_meet_a_place_once_if_it_is_a_passage():
+    rng = np.random.default_rng(4)
+    words = rng.integers(0, 2**63, 120).astype(np.uint64)
+    near = [substring.around(substring.word_marks(words), 50, 60)]
+    for n in range(30):
+        own = words.copy()
+        own[rng.integers(0, 120, n)] = 1
+        own[50:65] = words[50:65]
+        near.append(substring.around(substring.word_marks(own), 50, 60))
+    n = len(near)
+    c, doc, at = np.array([-1] + [5] * (n - 1)), np.arange(n)[::-1].copy(), np.full(n, 50)
+    marks = np.frombuffer(b"".join(near), np.uint8).reshape(n, -1)
+    assert len(substring.key_pairs(c, doc, at, at + 10, np.zeros(n, int), marks)[0]) == 1
+    # Where none is a passage by itself, all that may be pieces of one stay.
+    apart = marks.copy()
+    apart[1:, : substring.SIDE - 4] = 255 - apart[0, : substring.SIDE - 4]
+    apart[1:, 4 - substring.SIDE :] = 255 - apart[0, 4 - substring.SIDE :]
+    assert len(substring.key_pairs(c, doc, at, at + 10, np.zeros(n, int), apart)[0]) > substring.FEW
+
+
 def test_shared_passages_empty(none):
     assert substring.shared_passages(none).count() == 0
 
