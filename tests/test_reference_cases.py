@@ -116,3 +116,8 @@ def test_parties_are_made_distinct_once(spark):
     assert [(r.external_key, r.entity_id) for r in matched.collect()] == [("winner:n1:0:7", "m1")]
     # All branches read what that gave.
     assert matched.inputFiles() and all("/parties-" in f for f in matched.inputFiles())
+
+
+def test_tender_rows_are_parsed_once(spark):
+    plan = registers.tender_rows(payload(spark, {"notice-identifier": "9"}))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parse_json") + plan.count("parseJson") == 1
