@@ -337,6 +337,28 @@ def test_shared_passages_when_a_better_chain_gives_none(spark):
     assert not uncovered(texts, got)
 
 
+def test_shared_passages_with_all_partners_of_covered_words(spark):
+    # All of the third's words are in its passage with the second; the first holds some of them, one edited, so that no run of LEAST_WORDS is shared.
+    texts = {}
+    for trial in range(6):
+        p = [f"p{trial}x{k}" for k in range(120)]
+        some = [w if k != 45 else "edited" for k, w in enumerate(p)][:90]
+        for doc, own in {1: some, 2: p, 3: p}.items():
+            texts[10 * trial + doc] = " ".join([f"f{trial}x{doc}x{k}" for k in range(70)] + own + [f"g{trial}x{doc}x{k}" for k in range(70)])
+    got = substring.shared_passages(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.other_id) for r in got} == {(10 * t + a, 10 * t + b) for t in range(6) for a, b in ((2, 1), (3, 1), (3, 2))}
+
+
+def test_word_numbers_are_of_the_words_alone():
+    texts = ["", "ab", "cd ", "Ab-ab abcdefgh abcdefghi", "\u00e9l\u00e9ment\u00e9 x", "x" * 100 + " " + "x" * 99, "", "z"]
+    seen, names = {}, {}
+    for text, numbers in zip(texts, substring.worded(pa.array(["left out", *texts])[1:])):
+        words = decontam.words_of(text)
+        assert len(words) == len(numbers) and (substring.word_numbers(text) == numbers).all()
+        for word, number in zip(words, numbers.tolist()):
+            assert seen.setdefault(word, number) == number and names.setdefault(number, word) == word
+
+
 def stretches_by_recursion(gain, at=0):
     """The definition: the stretch of the largest sum, then those before and after it in the same way."""
     best, where = 0, None
