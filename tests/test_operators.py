@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from candela.functions import keys, predicates, text
-from candela.operators import audit, cases, evidence, facts, graph, quality, resolution, signals, statistics, temporal, wealth
+from candela.operators import audit, cases, detail, evidence, facts, graph, quality, resolution, signals, statistics, temporal, wealth
 from candela.sources import feeds, registers
 
 D = dt.datetime
@@ -425,3 +425,31 @@ def test_literal_claims_are_kept_once(spark):
 
     rows = spark.createDataFrame([("s", "p", "1", "r")] * 2, "subject_id string, predicate string, literal_value string, source_record_id string")
     assert imports.literal_claims(rows).count() == 1
+
+
+def rows_moved(spark, act):
+    """Rows that the shuffles of an action write."""
+    store, gateway = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+
+    def stages():
+        found = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+        return {found.apply(k).stageId(): found.apply(k).shuffleWriteRecords() for k in range(found.size())}
+
+    before = stages()
+    act()
+    return sum(n for k, n in stages().items() if k not in before)
+
+
+def test_only_disputed_observations_move_for_conflicts(spark):
+    row = lambda k: (k, f"k{k // 2}", Decimal(k if k < 4 else 5), None if k == 5 else "EUR")
+    keyed = spark.createDataFrame([row(k) for k in range(4000)], "observation_id long, semantic_key string, amount decimal(24,6), currency string")
+    found = []
+    assert rows_moved(spark, lambda: found.extend(facts.numeric_mismatches(keyed).collect())) < 2500
+    assert sorted((r.semantic_key, r.observation_a, r.observation_b) for r in found) == [("k0", 0, 1), ("k1", 2, 3), ("k2", 4, 5)]
+    named = lambda c: F.concat(F.lit("o"), c)
+    own = keyed.select(named("observation_id").alias("observation_id"), F.col("semantic_key").alias("edge_id"), F.col("observation_id").alias("source_record_id"))
+    pairs = spark.createDataFrame([(r.semantic_key, f"o{r.observation_a}", f"o{r.observation_b}") for r in found], "conflict_id string, observation_a string, observation_b string")
+    edges = own.select("edge_id").distinct()
+    got = []
+    assert rows_moved(spark, lambda: got.extend(graph.provenance(edges, own, pairs).collect())) < 7000
+    assert {r.edge_id for r in got if r.conflicts} == {"k0", "k1", "k2"} and len(got) == 2000 and all(r.observations == 2 for r in got)
