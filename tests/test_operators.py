@@ -453,3 +453,16 @@ def test_only_disputed_observations_move_for_conflicts(spark):
     got = []
     assert rows_moved(spark, lambda: got.extend(graph.provenance(edges, own, pairs).collect())) < 7000
     assert {r.edge_id for r in got if r.conflicts} == {"k0", "k1", "k2"} and len(got) == 2000 and all(r.observations == 2 for r in got)
+
+
+def test_matched_parties_tell_what_they_leave_behind(spark):
+    parties = spark.createDataFrame([("T", "1", "winner", 1, "A", "n1", "CZ"), ("T", "1", "winner", 2, "B", None, None), ("T", "2", "winner", 1, "C", "n 2", "CZ"), ("T", "2", "winner", 2, "D", "n3", None), ("T", "2", "winner", 2, "D", "n3", None)], "source string, notice_id string, role string, index int, name string, identifier string, country string")
+    known = "entity_id string, scheme string, value string, country string, verified boolean, created_at long"
+    identifiers = spark.createDataFrame([("e1", "NATIONAL_COMPANY_NUMBER", "N1", "CZ", True, 1), ("e2", "NATIONAL_COMPANY_NUMBER", "N1", None, True, 2), ("t3", "TED_ORG_IDENTIFIER", "N3", "SK", False, 1)], known)
+    mappings = spark.createDataFrame([("T", "winner:1:2:b", "m")], "source string, external_key string, entity_id string")
+    plain = detail.match_parties(parties, mappings, identifiers)
+    told = detail.match_parties(parties, mappings, identifiers, told=True)
+    assert sorted(map(str, told.select(plain.columns).collect())) == sorted(map(str, plain.collect()))
+    for joined, kept in zip(detail.party_rows(parties, plain), detail.party_rows(parties, told)):
+        assert joined.count() == 3
+        assert sorted(map(str, kept.select(sorted(kept.columns)).collect())) == sorted(map(str, joined.select(sorted(joined.columns)).collect()))
